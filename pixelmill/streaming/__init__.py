@@ -1,0 +1 @@
+"""Empty on purpose: all inputs are closed files, there is no unbounded source to follow."""
