@@ -147,10 +147,10 @@ def unit_hash(cols: Sequence[Column], seed: int) -> Column:
 
 
 def first_by_hash(df: DataFrame, key: Sequence[str], seed: int, take: Column, strata: Sequence[str] = (),
-                  out: str = "selected") -> DataFrame:
-    """Flag exactly ``take`` rows per stratum, the ones with the smallest key hash.
+                  out: str = "selected", keep_count: bool = False) -> DataFrame:
+    """Flag exactly ``take`` rows per stratum, the ones with the smallest key hash; the key is unique.
 
-    ``take`` may use ``_count``, the number of rows of the stratum. Counts per (stratum, leading hash
+    ``take`` may use ``_count``, the number of rows of the stratum, which ``keep_count`` leaves in. Counts per (stratum, leading hash
     bits) settle all rows but those of one boundary bucket per stratum; only these are ordered.
     """
     strata, key = list(strata), list(key)
@@ -161,16 +161,16 @@ def first_by_hash(df: DataFrame, key: Sequence[str], seed: int, take: Column, st
         .withColumn("_end", F.sum("_bn").over(upto)) \
         .withColumn("_count", F.sum("_bn").over(Window.partitionBy(*strata)))
     plan = totals.withColumn("_take", take.cast("bigint")).groupBy(*strata).agg(
-        F.max("_take").alias("_take"),
+        F.max("_take").alias("_take"), F.max("_count").alias("_count"),
         F.coalesce(F.min(F.when(F.col("_end") > F.col("_take"), F.col(BUCKET))), F.lit(1 << SUBSET_BITS)).alias("_edge"),
         F.coalesce(F.max(F.when(F.col("_end") <= F.col("_take"), F.col("_end"))), F.lit(0)).alias("_before"))
     if strata:
         joined = df.join(plan, same(df, plan, strata)).select(
-            df["*"], plan["_take"], plan["_edge"], plan["_before"])
+            df["*"], plan["_take"], plan["_edge"], plan["_before"], plan["_count"])
     else:
-        one = plan.select(F.struct("_take", "_edge", "_before")).scalar()
+        one = plan.select(F.struct("_take", "_edge", "_before", "_count")).scalar()
         joined = df.withColumn("_p", one).select(*df.columns, "_p.*")
     settled = joined.filter(F.col(BUCKET) != F.col("_edge")).withColumn(out, F.col(BUCKET) < F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy(*strata, BUCKET).orderBy("_h", *key))
     edge = joined.filter(F.col(BUCKET) == F.col("_edge")).withColumn(out, rank + F.col("_before") <= F.col("_take"))
-    return settled.unionByName(edge).drop("_h", BUCKET, "_take", "_edge", "_before")
+    return settled.unionByName(edge).drop("_h", BUCKET, "_take", "_edge", "_before", *([] if keep_count else ["_count"]))

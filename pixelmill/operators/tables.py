@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -245,6 +244,3 @@ def permute_column(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     shuffled = ranks.row_index(df.select(key, col, h.alias("_h")), F.col("_h"), [F.col(key)], out="_r")
     return by_key.drop(col).join(shuffled.select("_r", col), "_r").drop("_r")
 
-
-def ticks_for(n_points: int, d: int) -> int:
-    return max(2, math.floor(n_points ** (1 / d) + 1e-9))
