@@ -68,7 +68,7 @@ def balance_classes(df: DataFrame, label: str, key: Sequence[str], seed: int, ov
 def sample_fraction(df: DataFrame, key: Sequence[str], frac: float, seed: int) -> DataFrame:
     """frac > 1 gives whole copies plus an exact remainder without replacement."""
     whole = int(frac)
-    flagged = ranks.first_by_hash(df, key, seed, F.floor(F.col("_count") * (frac - whole)), (), "_sel")
+    flagged = ranks.first_by_hash(df, key, seed, F.bround(F.col("_count") * (frac - whole)), (), "_sel")
     copies = F.lit(whole) + F.col("_sel").cast("int")
     numbers = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
     return flagged.withColumn("copy", F.explode(numbers)).drop("_sel")
@@ -78,7 +78,8 @@ def split(df: DataFrame, key: Sequence[str], train: float, val: float, seed: int
     """Column ``split`` with exact shares of train, val and test (per class when stratified)."""
     strata = [stratify] if stratify else []
     n_train = F.floor(F.col("_count") * train + 1e-9)
-    n_both = n_train + F.floor(F.col("_count") * val + 1e-9)
+    n_test = F.floor((F.col("_count") - n_train) * ((1 - train - val) / (1 - train)) + 1e-9) if train < 1 else F.lit(0)
+    n_both = F.col("_count") - n_test
     out = ranks.first_by_hash(df, key, seed, n_train, strata, "_train")
     out = ranks.first_by_hash(out, key, seed, n_both, strata, "_both")
     return out.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_both"), "val").otherwise("test")) \

@@ -57,12 +57,12 @@ def _balance_over(t):
 
 
 @query("sample_fraction", f"""WITH {POINTS_SQL}, c AS (SELECT id, row_number() OVER (ORDER BY {h(7)}, id) AS rn, count(*) OVER () AS n FROM points)
-  SELECT id, CAST(unnest(range(1, 3 + CASE WHEN rn <= floor(n*0.25) THEN 1 ELSE 0 END)) AS INT) AS copy FROM c""")
+  SELECT id, CAST(unnest(range(1, 3 + CASE WHEN rn <= round_even(n*0.25, 0) THEN 1 ELSE 0 END)) AS INT) AS copy FROM c""")
 def _fraction(t):
     return sp.sample_fraction(t.points.select("id"), KEY, 2.25, 7)
 
 
-_SPLIT_SQL = """SELECT id, fire, CASE WHEN rn <= floor(n*0.5 + 1e-9) THEN 'train' WHEN rn <= floor(n*0.5 + 1e-9) + floor(n*0.2 + 1e-9) THEN 'val'
+_SPLIT_SQL = """SELECT id, fire, CASE WHEN rn <= floor(n*0.5 + 1e-9) THEN 'train' WHEN rn <= n - floor((n - floor(n*0.5 + 1e-9))*0.6 + 1e-9) THEN 'val'
   ELSE 'test' END AS split FROM c"""
 
 
