@@ -83,14 +83,11 @@ def off_globe(v: Column, h: Column, i: Column, j: Column, res: int = 1) -> Colum
 
 
 def known_tile(v: Column, h: Column) -> Column:
-    """True for tiles with land, without a join."""
-    result = F.lit(False)
-    for row, ranges in LAND_TILES.items():
-        in_row = F.lit(False)
-        for first, last in ranges:
-            in_row = in_row | h.between(first, last)
-        result = result | ((v == row) & in_row)
-    return result
+    """True for tiles with land, without a join: one bit per h in a number per v."""
+    masks = F.array(*[F.lit(sum(1 << k for first, last in LAND_TILES[row] for k in range(first, last + 1))).cast("bigint")
+                      for row in sorted(LAND_TILES)])
+    mask = F.when(h.between(0, 35), F.get(masks, v))
+    return F.coalesce(F.getbit(mask, h) == 1, F.lit(False))
 
 
 def upscale(i: Column, j: Column) -> Column:

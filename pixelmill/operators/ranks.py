@@ -37,7 +37,12 @@ def _bucketize(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> Data
     return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def range_bucket(df: DataFrame, order: Column, tie: Column | None = None) -> DataFrame:
+def value_cuts(df: DataFrame, col: str) -> list[float]:
+    """Approximate equal-count cuts of a column, to be shared by operators that order by it."""
+    return _cuts(df, [col], slots(df))[0]
+
+
+def range_bucket(df: DataFrame, order: Column, tie: Column | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
     """Add an integer bucket that grows with (order, tie) and holds about 1/slots of the rows.
 
     A single ``order`` value that fills several buckets alone is cut further along ``tie``.
@@ -46,26 +51,31 @@ def range_bucket(df: DataFrame, order: Column, tie: Column | None = None) -> Dat
     df = df.withColumn("_o", order.cast("double"))
     if tie is not None:
         df = df.withColumn("_t", tie.cast("double"))
-    cuts = _cuts(df, ["_o"] + (["_t"] if tie is not None else []), n)
-    main = cuts[0]
+    found = [cuts] if cuts is not None and tie is None else _cuts(df, ["_o"] + (["_t"] if tie is not None else []), n)
+    main = found[0]
     hot = sorted({a for a, b in zip(main, main[1:]) if a == b})
     df = _bucketize(df, "_o", main, "_b1").withColumn(BUCKET, F.col("_b1").cast("bigint") * 2 * n)
     if hot and tie is not None:
         is_hot = F.col("_o").isin(hot)
-        df = _bucketize(df, "_t", cuts[1], "_b2")
+        df = _bucketize(df, "_t", found[1], "_b2")
         df = df.withColumn(BUCKET, F.col(BUCKET) + F.when(is_hot, F.col("_b2").cast("bigint")).otherwise(n + 1)) \
             .drop("_b2")
     return df.drop("_o", "_t", "_b1")
 
 
 def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie: Sequence[Column] = (),
-                 keys: Sequence[str] = (), ascending: bool = True) -> DataFrame:
-    """Inclusive running sum of each column along (order, tie), per key group, over any number of rows."""
+                 keys: Sequence[str] = (), ascending: bool = True, cuts: Sequence[float] | None = None) -> DataFrame:
+    """Inclusive running sum of each column along (order, tie), per key group, over any number of rows.
+
+    ``cuts`` are known cuts of ``order`` in ascending sense.
+    """
     for name, c in sums.items():
         df = df.withColumn(f"_v_{name}", c)
     tie = list(tie)
     order = order if ascending else -order
-    df = range_bucket(df, order, tie[0] if tie else None)
+    if cuts is not None and not ascending:
+        cuts = [-c for c in cuts]
+    df = range_bucket(df, order, tie[0] if tie else None, cuts)
     keys = list(keys)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{s}").alias(f"_s_{s}") for s in sums]) \
@@ -88,17 +98,17 @@ def row_index(df: DataFrame, order: Column, tie: Sequence[Column] = (), keys: Se
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
-              out: str = "q") -> DataFrame:
+              out: str = "q", cuts: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles as an array column, one row per key group.
 
     Equal values are counted before anything is ordered, and only the few buckets that hold a wanted
-    rank are looked into.
+    rank are looked into. ``weight`` names a column of row counts.
     """
     keys = list(keys)
     df = df.filter(F.col(col).isNotNull())
-    n = slots(df)
-    cuts = _cuts(df, [col], n)[0]
-    hist = df.groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = value_cuts(df, col) if cuts is None else cuts
+    n_rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hist = df.groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(n_rows.alias("_n"))
     hist = _bucketize(hist, "_x", cuts, BUCKET)
     upto = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
     totals = hist.groupBy(*keys, BUCKET).agg(F.sum("_n").alias("_bn")) \
