@@ -115,7 +115,8 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[st
         .withColumn("_end", F.sum("_bn").over(upto)) \
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys))) \
         .withColumn("_start", F.col("_end") - F.col("_bn"))
-    pos = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    # rounded, so that a rank like 62.99999999999999 is the 63 it stands for
+    pos = [F.round((F.col("_total") - 1) * F.lit(float(p)), 9) for p in probs]
 
     def wanted(lo: Column, hi: Column) -> Column:
         return reduce(lambda a, b: a | b, [

@@ -221,9 +221,8 @@ def score_correlations(scores: DataFrame, run: Sequence[str], measures: Sequence
         raise ValueError("method must be 'pearson' or 'spearman'")
     long = scores
     if method == "spearman":
-        r = _average_ranks(scores.filter("value IS NOT NULL"), "value", ["measure"])
-        long = scores.join(r, (scores["measure"] == r["measure"]) & (scores["value"] == r["_v"])).select(
-            *run, scores["measure"], F.col("_rank").alias("value"))
+        r = _average_ranks(scores.filter("value IS NOT NULL"), "value", ["measure"]).withColumnsRenamed({"_v": "value"})
+        long = scores.join(r, ["measure", "value"]).select(*run, "measure", F.col("_rank").alias("value"))
     wide = long.groupBy(*run).agg(*[F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in measures])
     pairs = list(combinations_with_replacement(measures, 2))
     one = wide.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])

@@ -244,3 +244,8 @@ def permute_column(df: DataFrame, key: str, col: str, seed: int) -> DataFrame:
     shuffled = ranks.row_index(df.select(key, col, h.alias("_h")), F.col("_h"), [F.col(key)], out="_r")
     return by_key.drop(col).join(shuffled.select("_r", col), "_r").drop("_r")
 
+
+
+def concat(parts: Sequence[DataFrame]) -> DataFrame:
+    """Append frames by column name; missing columns become NULL."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -42,10 +42,20 @@ def _rel_uniform(t):
     return rounded(rel.reliability(t.preds, n_bins=12))
 
 
-_Q10 = "[" + ", ".join(f"{k/10}" for k in range(11)) + "]"
+def quantile_sql(source, col, probs, keys=()):
+    """Sub-select with keys and q, the linearly interpolated quantiles at exact ranks."""
+    k = "".join(f"{c}, " for c in keys)
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+
+    def at(p):
+        r = f"round((len(s) - 1)*{p}::DOUBLE, 9)"
+        lo, hi = f"s[CAST(floor({r}) AS BIGINT) + 1]", f"s[CAST(ceil({r}) AS BIGINT) + 1]"
+        return f"{lo} + ({hi} - {lo})*({r} - floor({r}))"
 
+    return f"(SELECT {k}[{', '.join(at(p) for p in probs)}] AS q FROM (SELECT {k}list_sort(list({col})) AS s FROM {source} {grp}))"
 
-@query("reliability_quantile", f"""WITH {PREDS_SQL}, {bins_sql('preds', [], f'SELECT 1 AS st, list_sort(list_distinct(quantile_cont(y_proba, {_Q10}))) AS e FROM preds')}
+
+@query("reliability_quantile", f"""WITH {PREDS_SQL}, {bins_sql('preds', [], 'SELECT 1 AS st, list_sort(list_distinct(q)) AS e FROM ' + quantile_sql("preds", "y_proba", [j / 10 for j in range(11)]))}
   SELECT {REL_COLS} FROM rel""")
 def _rel_quantile(t):
     return rounded(rel.reliability(t.preds, mode="quantile"))
@@ -70,8 +80,7 @@ def _cal_error(t):
 
 def suite_sets(source, keys):
     k = "".join(f"{c}, " for c in keys)
-    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
-    q = f"(SELECT {k}quantile_cont(y_proba, {_Q10[:-1]}, 0.9, 0.95]) AS q FROM {source} {grp})"
+    q = quantile_sql(source, "y_proba", [j / 10 for j in range(11)] + [0.9, 0.95], keys)
     return " UNION ALL ".join([
         f"SELECT {k}'q' AS st, list_sort(list_distinct(q[1:11])) AS e FROM {q}", f"SELECT {k}'u90', {uniform_sql('0.0', 'q[12]', 10)} FROM {q}",
         f"SELECT {k}'u95', {uniform_sql('0.0', 'q[13]', 10)} FROM {q}", f"SELECT {k}'umm', {uniform_sql('q[1]', 'q[11]', 10)} FROM {q}"])
