@@ -7,18 +7,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators import ranks
-
 
 def per_distinct(samples: DataFrame, keys: Sequence[str], lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a lookup once per distinct key and join its columns back.
 
     Many samples share a grid cell and day, so everything expensive works on unique keys; the last join
-    has a unique side, which AQE can pair with a split hot partition of the samples.
+    has a unique side, which AQE can pair with a split hot partition of the samples. A NULL key finds nothing.
     """
     found = lookup(samples.select(*keys).distinct())
     new = [c for c in found.columns if c not in keys]
-    return samples.join(found, ranks.same(samples, found, keys), "left").select(samples["*"], *[found[c] for c in new])
+    return samples.join(found, list(keys), "left").select(*samples.columns, *new)
 
 
 def asof_dates(wanted: DataFrame, layers: DataFrame, max_days: int, include_same_day: bool = False,

@@ -26,8 +26,9 @@ def ridge_scores(train: DataFrame, query: DataFrame, cols: Sequence[str], y: str
     is ``max_proba``."""
     from pyspark.ml.regression import LinearRegression
 
-    n = train.count()
-    model = LinearRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, regParam=alpha / n, standardization=False,
+    n, spread = train.agg(F.count(F.lit(1)), F.stddev_pop(y)).head()
+    # the estimator divides its penalty by the deviation of the label
+    model = LinearRegression(featuresCol="_features", labelCol=y, elasticNetParam=0.0, regParam=alpha / n * spread, standardization=False,
                              solver="normal", predictionCol="_p").fit(_vectors(train, cols))
     score = s.linear([F.col(c) for c in cols], [float(w) for w in model.coefficients], float(model.intercept))
     out = query.withColumn("proba", score)

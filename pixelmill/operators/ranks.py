@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
-MAX_SLOTS = 4096
+MAX_SLOTS = 1 << 14
 
 
 def slots(df: DataFrame) -> int:
@@ -111,35 +111,33 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[st
     hist = df.groupBy(*keys, F.col(col).cast("double").alias("_x")).agg(n_rows.alias("_n"))
     hist = _bucketize(hist, "_x", cuts, BUCKET)
     upto = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
-    totals = hist.groupBy(*keys, BUCKET).agg(F.sum("_n").alias("_bn")) \
+    # positions are rounded, so that a rank like 62.99999999999999 is the 63 it stands for
+    positions = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p: F.round((F.col("_total") - 1) * p, 9))
+    ends = F.array_distinct(F.flatten(F.transform("_pos", lambda p: F.array(F.floor(p), F.ceil(p)))))
+    needed = hist.groupBy(*keys, BUCKET).agg(F.sum("_n").alias("_bn")) \
         .withColumn("_end", F.sum("_bn").over(upto)) \
         .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys))) \
-        .withColumn("_start", F.col("_end") - F.col("_bn"))
-    # rounded, so that a rank like 62.99999999999999 is the 63 it stands for
-    pos = [F.round((F.col("_total") - 1) * F.lit(float(p)), 9) for p in probs]
-
-    def wanted(lo: Column, hi: Column) -> Column:
-        return reduce(lambda a, b: a | b, [
-            ((F.floor(p) >= lo) & (F.floor(p) < hi)) | ((F.ceil(p) >= lo) & (F.ceil(p) < hi)) for p in pos])
-
-    needed = totals.filter(wanted(F.col("_start"), F.col("_end"))).select(*keys, BUCKET, "_start", "_total")
+        .withColumn("_start", F.col("_end") - F.col("_bn")) \
+        .withColumn("_pos", positions).withColumn("_ranks", ends) \
+        .filter(F.exists("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_end")))) \
+        .select(*keys, BUCKET, "_start", "_pos", "_ranks")
     if keys:
         rows = hist.join(needed, same(hist, needed, [*keys, BUCKET])).select(
-            hist["*"], needed["_start"], needed["_total"])
+            hist["*"], needed["_start"], needed["_pos"], needed["_ranks"])
     else:
         rows = hist.join(F.broadcast(needed), BUCKET)  # at most 2 rows per probability
     within = Window.partitionBy(*keys, BUCKET).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_hi", F.col("_start") + F.sum("_n").over(within)) \
-        .withColumn("_lo", F.col("_hi") - F.col("_n")).filter(wanted(F.col("_lo"), F.col("_hi")))
+        .withColumn("_lo", F.col("_hi") - F.col("_n")) \
+        .filter(F.exists("_ranks", lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))))
+    found = rows.groupBy(*keys).agg(F.first("_pos").alias("_pos"),
+                                    F.collect_list(F.struct("_lo", "_hi", "_x")).alias("_v"))  # at most 2 per probability
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_lo")) & (rank < F.col("_hi")), F.col("_x")))
+        return F.get(F.filter("_v", lambda e: (rank >= e["_lo"]) & (rank < e["_hi"])), F.lit(0))["_x"]
 
-    ends = rows.groupBy(*keys).agg(F.max("_total").alias("_total"),
-                                   *[at(F.floor(p)).alias(f"_a{k}") for k, p in enumerate(pos)],
-                                   *[at(F.ceil(p)).alias(f"_b{k}") for k, p in enumerate(pos)])
-    values = [F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (p - F.floor(p)) for k, p in enumerate(pos)]
-    return ends.select(*keys, F.array(*values).alias(out))
+    value = F.transform("_pos", lambda p: at(F.floor(p)) + (at(F.ceil(p)) - at(F.floor(p))) * (p - F.floor(p)))
+    return found.select(*keys, value.alias(out))
 
 
 def key_hash(cols: Sequence[Column], seed: int) -> Column:
@@ -149,7 +147,7 @@ def key_hash(cols: Sequence[Column], seed: int) -> Column:
 
 
 HASH_BITS = 60
-SUBSET_BITS = 10  # 1024 hash buckets decide which rows an exact subset needs to rank
+SUBSET_BITS = 18  # hash buckets that decide which rows an exact subset needs to rank; one of them is ordered
 
 
 def unit_hash(cols: Sequence[Column], seed: int) -> Column:
@@ -157,31 +155,54 @@ def unit_hash(cols: Sequence[Column], seed: int) -> Column:
     return key_hash(cols, seed) / F.lit(float(2 ** HASH_BITS))
 
 
-def first_by_hash(df: DataFrame, key: Sequence[str], seed: int, take: Column, strata: Sequence[str] = (),
-                  out: str = "selected", keep_count: bool = False) -> DataFrame:
-    """Flag exactly ``take`` rows per stratum, the ones with the smallest key hash; the key is unique.
+def flag_first_by_hash(df: DataFrame, key: Sequence[str], seed: int, takes: Mapping[str, Column], strata: Sequence[str] = (),
+                       keep_count: bool = False) -> DataFrame:
+    """Flag exactly ``takes[name]`` rows per stratum for each name, those with the smallest key hash.
 
-    ``take`` may use ``_count``, the number of rows of the stratum, which ``keep_count`` leaves in. Counts per (stratum, leading hash
-    bits) settle all rows but those of one boundary bucket per stratum; only these are ordered.
+    A take may use ``_count``, the number of rows of the stratum, which ``keep_count`` leaves in. Keys are
+    unique. Counts per (stratum, leading hash bits) show in which bucket the last taken row lies; only that
+    bucket is ordered to find its key, and the rows themselves are then compared with it in one narrow pass.
     """
     strata, key = list(strata), list(key)
-    df = df.withColumn("_h", key_hash([F.col(k) for k in key], seed)) \
-        .withColumn(BUCKET, F.shiftright("_h", HASH_BITS - SUBSET_BITS))
+    hashed = df.withColumn("_h", key_hash([F.col(k) for k in key], seed))
+    bucket = F.shiftright("_h", HASH_BITS - SUBSET_BITS).alias(BUCKET)
     upto = Window.partitionBy(*strata).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
-    totals = df.groupBy(*strata, BUCKET).agg(F.count(F.lit(1)).alias("_bn")) \
+    totals = hashed.groupBy(*strata, bucket).agg(F.count(F.lit(1)).alias("_bn")) \
         .withColumn("_end", F.sum("_bn").over(upto)) \
         .withColumn("_count", F.sum("_bn").over(Window.partitionBy(*strata)))
-    plan = totals.withColumn("_take", take.cast("bigint")).groupBy(*strata).agg(
-        F.max("_take").alias("_take"), F.max("_count").alias("_count"),
-        F.coalesce(F.min(F.when(F.col("_end") > F.col("_take"), F.col(BUCKET))), F.lit(1 << SUBSET_BITS)).alias("_edge"),
-        F.coalesce(F.max(F.when(F.col("_end") <= F.col("_take"), F.col("_end"))), F.lit(0)).alias("_before"))
+    for n, c in takes.items():
+        totals = totals.withColumn(f"_take_{n}", c.cast("bigint"))
+    plan = totals.groupBy(*strata).agg(F.max("_count").alias("_count"), *[a for n in takes for a in (
+        F.max(f"_take_{n}").alias(f"_take_{n}"),
+        F.coalesce(F.min(F.when(F.col("_end") > F.col(f"_take_{n}"), F.col(BUCKET))), F.lit(1 << SUBSET_BITS)).alias(f"_edge_{n}"),
+        F.coalesce(F.max(F.when(F.col("_end") <= F.col(f"_take_{n}"), F.col("_end"))), F.lit(0)).alias(f"_before_{n}"))])
+
+    def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
+        new = [c for c in table.columns if c not in strata]
+        if strata:
+            return rows.join(table, same(rows, table, strata)).select(rows["*"], *[table[c] for c in new])
+        return rows.withColumn("_p", table.select(F.struct(*new)).scalar()).select(*rows.columns, "_p.*")
+
+    narrow = attach(hashed.select(*strata, *key, "_h", bucket), plan) \
+        .filter(reduce(lambda a, b: a | b, [F.col(BUCKET) == F.col(f"_edge_{n}") for n in takes]))
+    rank = F.row_number().over(Window.partitionBy(*strata, BUCKET).orderBy("_h", *key))
+    narrow = narrow.withColumn("_rank", rank)
+    last = narrow.groupBy(*strata).agg(*[F.max(F.when(
+        (F.col(BUCKET) == F.col(f"_edge_{n}")) & (F.col("_rank") + F.col(f"_before_{n}") <= F.col(f"_take_{n}")),
+        F.struct("_h", *key))).alias(f"_last_{n}") for n in takes])
     if strata:
-        joined = df.join(plan, same(df, plan, strata)).select(
-            df["*"], plan["_take"], plan["_edge"], plan["_before"], plan["_count"])
+        cut = plan.join(last, same(plan, last, strata), "left").select(plan["*"], *[last[f"_last_{n}"] for n in takes])
     else:
-        one = plan.select(F.struct("_take", "_edge", "_before", "_count")).scalar()
-        joined = df.withColumn("_p", one).select(*df.columns, "_p.*")
-    settled = joined.filter(F.col(BUCKET) != F.col("_edge")).withColumn(out, F.col(BUCKET) < F.col("_edge"))
-    rank = F.row_number().over(Window.partitionBy(*strata, BUCKET).orderBy("_h", *key))
-    edge = joined.filter(F.col(BUCKET) == F.col("_edge")).withColumn(out, rank + F.col("_before") <= F.col("_take"))
-    return settled.unionByName(edge).drop("_h", BUCKET, "_take", "_edge", "_before", *([] if keep_count else ["_count"]))
+        cut = plan.withColumn("_p", last.select(F.struct(*[f"_last_{n}" for n in takes])).scalar()).select(*plan.columns, "_p.*")
+    cut = cut.select(*strata, *[f"{k}_{n}" for n in takes for k in ("_edge", "_last")], *(["_count"] if keep_count else []))
+    out = attach(hashed, cut)
+    here, me = F.shiftright("_h", HASH_BITS - SUBSET_BITS), F.struct("_h", *key)
+    for n in takes:
+        out = out.withColumn(n, (here < F.col(f"_edge_{n}")) | F.coalesce((here == F.col(f"_edge_{n}")) & (me <= F.col(f"_last_{n}")), F.lit(False)))
+    return out.drop("_h", *[f"{k}_{n}" for n in takes for k in ("_edge", "_last")])
+
+
+def first_by_hash(df: DataFrame, key: Sequence[str], seed: int, take: Column, strata: Sequence[str] = (),
+                  out: str = "selected", keep_count: bool = False) -> DataFrame:
+    """One flag of ``flag_first_by_hash``."""
+    return flag_first_by_hash(df, key, seed, {out: take}, strata, keep_count)

@@ -80,8 +80,7 @@ def split(df: DataFrame, key: Sequence[str], train: float, val: float, seed: int
     n_train = F.floor(F.col("_count") * train + 1e-9)
     n_test = F.floor((F.col("_count") - n_train) * ((1 - train - val) / (1 - train)) + 1e-9) if train < 1 else F.lit(0)
     n_both = F.col("_count") - n_test
-    out = ranks.first_by_hash(df, key, seed, n_train, strata, "_train")
-    out = ranks.first_by_hash(out, key, seed, n_both, strata, "_both")
+    out = ranks.flag_first_by_hash(df, key, seed, {"_train": n_train, "_both": n_both}, strata)
     return out.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_both"), "val").otherwise("test")) \
         .drop("_train", "_both")
 

@@ -56,7 +56,11 @@ def implode(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), keep_
     out = df.groupBy(*keys).agg(rows.alias("_r"))
     if not keep_singletons:
         out = out.filter(F.size("_r") > 1)
-    return out.select(*keys, *[F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in rest])
+
+    def column(c: str) -> Column:
+        return F.transform("_r", lambda r: r[c]).alias(c)
+
+    return out.select(*keys, *[column(c) for c in rest])
 
 
 def null_ratio(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -185,11 +189,13 @@ def grid_over(df: DataFrame, cols: Sequence[str], n_points: int, pad: float = 0.
     varying = reduce(lambda a, b: a + b, [(F.col(c)["hi"] > F.col(c)["lo"]).cast("int") for c in cols])
     ticks = F.greatest(F.lit(2), F.floor(F.pow(F.lit(float(n_points)), 1.0 / F.greatest(varying, F.lit(1))) + 1e-9)).cast("int")
     stats = stats.withColumn("_n", ticks)
-    out = stats.select(*by, *[F.when(
-        F.col(c)["hi"] > F.col(c)["lo"],
-        F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k, c=c: F.col(c)["lo"] - pad * (F.col(c)["hi"] - F.col(c)["lo"])
-                    + k * (1 + 2 * pad) * (F.col(c)["hi"] - F.col(c)["lo"]) / (F.col("_n") - 1)))
-        .otherwise(F.array(F.col(c)["lo"])).alias(f"_t_{c}") for c in cols])
+
+    def axis(c: str) -> Column:
+        lo, span = F.col(c)["lo"], F.col(c)["hi"] - F.col(c)["lo"]
+        steps = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: lo - pad * span + k * (1 + 2 * pad) * span / (F.col("_n") - 1))
+        return F.when(span > 0, steps).otherwise(F.array(lo)).alias(f"_t_{c}")
+
+    out = stats.select(*by, *[axis(c) for c in cols])
     return grid_product(out, {c: f"_t_{c}" for c in cols})
 
 

@@ -12,22 +12,27 @@ from pixelmill.operators.asof import per_distinct
 CELL_DAY = ("row", "col", "d")
 
 
-def daily_window_lookup(samples: DataFrame, grid: DataFrame, ndays: int, out: str = "lags", year_guard: bool = True) -> DataFrame:
+def pack_years(grid: DataFrame, out: str = "series") -> DataFrame:
+    """Daily grid to one array per cell and year, day of year 1 first; missing days are NULL."""
+    days = F.array_sort(F.collect_list(F.struct(F.dayofyear("date").alias("k"), F.col("value").alias("x"))))
+    packed = grid.groupBy("row", "col", F.year("date").alias("_y")).agg(days.alias("_d"))  # at most 366 entries
+    gapless = F.transform("_d", lambda e: e["x"])
+    spread = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda k: F.try_element_at(F.map_from_entries("_d"), k))
+    return packed.select("row", "col", "_y", F.when(F.element_at("_d", -1)["k"] == F.size("_d"), gapless).otherwise(spread).alias(out))
+
+
+def daily_window_lookup(samples: DataFrame, grid: DataFrame, ndays: int, out: str = "lags") -> DataFrame:
     """Array of the grid values on the sample's day and the ndays-1 days before.
 
-    Days before 1 January of the sample's year and cells off the grid give NULL. Only distinct (cell, day)
-    pairs of the samples are spread over the days.
+    Days before 1 January of the sample's year and cells off the grid give NULL. A cell's year is one array,
+    so a look-back is a few array reads after one join and no row is multiplied by its days.
     """
 
     def lookup(keys: DataFrame) -> DataFrame:
-        spread = keys.filter("row IS NOT NULL AND col IS NOT NULL") \
-            .withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(ndays - 1)))) \
-            .withColumn("date", F.date_sub("d", F.col("_lag")))
-        if year_guard:
-            spread = spread.filter(F.year("date") == F.year("d"))
-        hits = spread.join(grid.select("row", "col", "date", "value"), ["row", "col", "date"])
-        return hits.groupBy(*CELL_DAY).agg(F.array(*[
-            F.max(F.when(F.col("_lag") == k, F.col("value"))) for k in range(ndays)]).alias(out))
+        day = F.dayofyear("d")
+        found = keys.withColumn("_y", F.year("d")).join(pack_years(grid, "_s"), ["row", "col", "_y"])
+        return found.select(*CELL_DAY, F.transform(F.sequence(F.lit(0), F.lit(ndays - 1)),
+                                                   lambda k: F.when(k < day, F.get("_s", day - 1 - k))).alias(out))
 
     found = per_distinct(samples, CELL_DAY, lookup)
     empty = F.array_repeat(F.lit(None).cast("double"), F.lit(ndays))
@@ -49,8 +54,9 @@ def add_weather(samples: DataFrame, grid: DataFrame, var: str, ndays: int, agg_s
 
 
 def add_fire_weather_index(samples: DataFrame, grid: DataFrame, rename: str = "fwi") -> DataFrame:
-    found = daily_window_lookup(samples, grid, 1, "_lags")
-    return found.withColumn(f"x_{rename}", F.get("_lags", F.lit(0))).drop("_lags")
+    """Grid value on the sample's own day."""
+    day = grid.select("row", "col", F.col("date").alias("d"), F.col("value").alias(f"x_{rename}"))
+    return samples.join(day, list(CELL_DAY), "left").select(*samples.columns, f"x_{rename}")
 
 
 def monthly_means(daily: DataFrame, cell: Sequence[str] = ("row", "col")) -> DataFrame:
@@ -68,7 +74,7 @@ def precip_deficit(precip: DataFrame, targets: DataFrame, n_climate: int, n_defi
     t = targets.select("row", "col", (F.col("year") * 12 + F.col("month") - 1).alias("_t")).distinct()
     need = t.select("row", "col", F.explode(F.sequence(F.col("_t") - 12, F.col("_t"))).alias("_m"), F.lit(None).cast("double").alias("value"))
     series = precip.select("row", "col", (F.col("year") * 12 + F.col("month") - 1).alias("_m"), "value").unionByName(need) \
-        .groupBy("row", "col", "_m").agg(F.max("value").alias("value")).repartition("row", "col")
+        .repartition("row", "col").groupBy("row", "col", "_m").agg(F.max("value").alias("value"))
     year, cal = F.floor(F.col("_m") / 12), F.col("_m") % 12
     by_year = Window.partitionBy("row", "col", "_c").orderBy("_y")
     climate_years = by_year.rangeBetween(-(n_deficit + n_climate - 1), -n_deficit)
