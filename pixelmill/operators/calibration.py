@@ -17,10 +17,13 @@ from pixelmill.operators import ranks
 from pixelmill.operators.reliability import literal_bin_index, reliability
 
 
-def percentile_edges(df: DataFrame, col: str, probs: Sequence[float]) -> list[float]:
-    """Distinct exact percentiles; [0, 1] for a constant column."""
-    edges = sorted(set(ranks.quantiles(df, col, probs).head()["q"]))
-    return edges if len(edges) > 1 else [0.0, 1.0]
+def percentile_edges(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[str, list[float]]:
+    """Distinct exact percentiles per column, all columns in one job; [0, 1] for a constant column."""
+    every = sorted({p for ps in probs.values() for p in ps})
+    long = df.unpivot([], list(probs), "_column", "_x")
+    found = {r["_column"]: dict(zip(every, r["q"])) for r in ranks.quantiles(long, "_x", every, ["_column"]).collect()}
+    edges = {c: sorted({found[c][p] for p in ps}) for c, ps in probs.items()}
+    return {c: e if len(e) > 1 else [0.0, 1.0] for c, e in edges.items()}
 
 
 def piecewise_linear(x: Column, knots: Sequence[tuple[float, float]], clip: bool = False) -> Column:
@@ -74,11 +77,12 @@ class FactorSettings:
 def factor_edges(df: DataFrame, cfg: FactorSettings, qf: str = "qf", qi: str = "qi") -> tuple[list[float], list[float]]:
     lo, hi = cfg.pad / 100, 1 - cfg.pad / 100
     probs = [lo + k * (hi - lo) / cfg.n_qf for k in range(cfg.n_qf + 1)]
-    e_f = percentile_edges(df, qf, [0.0, *probs, 1.0] if cfg.pad > 0 else probs)
+    wanted = {qf: [0.0, *probs, 1.0] if cfg.pad > 0 else probs}
     if cfg.qi_mode == "quantile":
-        return e_f, percentile_edges(df, qi, [k / cfg.n_qi for k in range(cfg.n_qi + 1)])
+        wanted[qi] = [k / cfg.n_qi for k in range(cfg.n_qi + 1)]
+    edges = percentile_edges(df, wanted)
     n = cfg.n_qi - 1 if cfg.legacy else cfg.n_qi
-    return e_f, [k / n for k in range(n + 1)]
+    return edges[qf], edges.get(qi) or [k / n for k in range(n + 1)]
 
 
 def two_factor_bins(df: DataFrame, e_f: Sequence[float], e_i: Sequence[float], cfg: FactorSettings, y: str = "y",
@@ -164,8 +168,8 @@ def reference_points_2d(df: DataFrame, qf_percentiles: Sequence[float], qi_perce
     rate as a running maximum along qf that ends at 1. Bins without rows are left out."""
     if centering not in ("mean", "mid", "median"):
         raise ValueError("centering must be mean, mid or median")
-    e_f = percentile_edges(df, qf, [0.0, *[p / 100 for p in qf_percentiles], 1.0])
-    e_i = percentile_edges(df, qi, [0.0, *[p / 100 for p in qi_percentiles], 1.0])
+    edges = percentile_edges(df, {c: [0.0, *[p / 100 for p in ps], 1.0] for c, ps in ((qf, qf_percentiles), (qi, qi_percentiles))})
+    e_f, e_i = edges[qf], edges[qi]
     target = F.col(qf) * F.col(qi) if y is None else F.col(y).cast("double")
     rows = df.select(F.col(qf).alias("qf"), F.col(qi).alias("qi"), target.alias("_y")).withColumns(
         {"qf_bin": literal_bin_index(F.col("qf"), e_f), "qi_bin": literal_bin_index(F.col("qi"), e_i)})

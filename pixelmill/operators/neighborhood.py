@@ -56,13 +56,19 @@ def add_neighboring_fires(samples: DataFrame, burn: DataFrame, distance: int = 1
     name = f"x_{rename}"
 
     def lookup(keys: DataFrame) -> DataFrame:
-        spread = _spread(burn_events(burn, max_bduc), distance)
-        hits = keys.join(spread, list(CELL)).filter(F.datediff("d", "burned").between(1, hindsight))
+        def slot(day) -> Column:
+            return F.floor(F.unix_date(day) / (4 * hindsight))
+
+        # an event acts on `hindsight` days, so it is listed under one or two time slots, mostly one
+        slots = F.array_distinct(F.array(slot(F.date_add("burned", 1)), slot(F.date_add("burned", hindsight))))
+        spread = _spread(burn_events(burn, max_bduc).withColumn("_t", F.explode(slots)), distance)
+        hits = keys.withColumn("_t", slot(F.col("d"))).join(spread, [*CELL, "_t"]) \
+            .filter(F.datediff("d", "burned").between(1, hindsight))
         if (2 * distance + 1) ** 2 - 1 <= 62:
             count = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_k"))))
         else:
             count = F.count_distinct("_k")
-        return hits.groupBy(*CELL, "d").agg(count.cast("int").alias(name))
+        return hits.groupBy(*CELL, "_t", "d").agg(count.cast("int").alias(name)).drop("_t")
 
     return per_distinct(samples, [*CELL, "d"], lookup).withColumn(name, F.coalesce(name, F.lit(0)))
 

@@ -29,7 +29,9 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _cuts(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
-    return df.approxQuantile(cols, [k / n for k in range(1, n)], 1.0 / (2 * n))
+    probs = F.array(*[F.lit(k / n) for k in range(1, n)])
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(2 * n)).alias(c) for c in cols]).head()
+    return [list(row[c] or []) for c in cols]
 
 
 def _bucketize(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> DataFrame:
@@ -177,28 +179,35 @@ def flag_first_by_hash(df: DataFrame, key: Sequence[str], seed: int, takes: Mapp
         F.coalesce(F.min(F.when(F.col("_end") > F.col(f"_take_{n}"), F.col(BUCKET))), F.lit(1 << SUBSET_BITS)).alias(f"_edge_{n}"),
         F.coalesce(F.max(F.when(F.col("_end") <= F.col(f"_take_{n}"), F.col("_end"))), F.lit(0)).alias(f"_before_{n}"))])
 
-    def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
-        new = [c for c in table.columns if c not in strata]
-        if strata:
-            return rows.join(table, same(rows, table, strata)).select(rows["*"], *[table[c] for c in new])
-        return rows.withColumn("_p", table.select(F.struct(*new)).scalar()).select(*rows.columns, "_p.*")
-
-    narrow = attach(hashed.select(*strata, *key, "_h", bucket), plan) \
-        .filter(reduce(lambda a, b: a | b, [F.col(BUCKET) == F.col(f"_edge_{n}") for n in takes]))
-    rank = F.row_number().over(Window.partitionBy(*strata, BUCKET).orderBy("_h", *key))
-    narrow = narrow.withColumn("_rank", rank)
-    last = narrow.groupBy(*strata).agg(*[F.max(F.when(
+    in_bucket = Window.partitionBy(*strata, BUCKET).orderBy("_h", *key)
+    narrow = hashed.select(*strata, *key, "_h", bucket)
+    keep = ["_count"] if keep_count else []
+    if strata:
+        edges = narrow.join(plan, same(narrow, plan, strata)).select(narrow["*"], *[plan[c] for c in plan.columns if c not in strata])
+    else:
+        one = plan.head().asDict()  # a single row of counts
+        edges = narrow.withColumns({c: F.lit(v) for c, v in one.items()})
+    edges = edges.filter(reduce(lambda a, b: a | b, [F.col(BUCKET) == F.col(f"_edge_{n}") for n in takes])) \
+        .withColumn("_rank", F.row_number().over(in_bucket))
+    last = edges.groupBy(*strata).agg(*[F.max(F.when(
         (F.col(BUCKET) == F.col(f"_edge_{n}")) & (F.col("_rank") + F.col(f"_before_{n}") <= F.col(f"_take_{n}")),
         F.struct("_h", *key))).alias(f"_last_{n}") for n in takes])
     if strata:
         cut = plan.join(last, same(plan, last, strata), "left").select(plan["*"], *[last[f"_last_{n}"] for n in takes])
+        new = [*[f"{k}_{n}" for n in takes for k in ("_edge", "_last")], *keep]
+        out = hashed.join(cut, same(hashed, cut, strata)).select(hashed["*"], *[cut[c] for c in new])
+        edge = {n: F.col(f"_edge_{n}") for n in takes}
+        final = {n: F.col(f"_last_{n}") for n in takes}
     else:
-        cut = plan.withColumn("_p", last.select(F.struct(*[f"_last_{n}" for n in takes])).scalar()).select(*plan.columns, "_p.*")
-    cut = cut.select(*strata, *[f"{k}_{n}" for n in takes for k in ("_edge", "_last")], *(["_count"] if keep_count else []))
-    out = attach(hashed, cut)
+        keys_found = last.head()  # a single row with one key per name
+        out = hashed.withColumns({c: F.lit(one[c]) for c in keep}) if keep else hashed
+        edge = {n: F.lit(one[f"_edge_{n}"]) for n in takes}
+        final = {n: k and F.struct(*[F.lit(v).alias(c) for c, v in k.asDict().items()])
+                 for n in takes for k in [keys_found[f"_last_{n}"]]}
     here, me = F.shiftright("_h", HASH_BITS - SUBSET_BITS), F.struct("_h", *key)
     for n in takes:
-        out = out.withColumn(n, (here < F.col(f"_edge_{n}")) | F.coalesce((here == F.col(f"_edge_{n}")) & (me <= F.col(f"_last_{n}")), F.lit(False)))
+        tail = F.lit(False) if final[n] is None else F.coalesce((here == edge[n]) & (me <= final[n]), F.lit(False))
+        out = out.withColumn(n, (here < edge[n]) | tail)
     return out.drop("_h", *[f"{k}_{n}" for n in takes for k in ("_edge", "_last")])
 
 

@@ -17,7 +17,9 @@ def pack_years(grid: DataFrame, out: str = "series") -> DataFrame:
     days = F.array_sort(F.collect_list(F.struct(F.dayofyear("date").alias("k"), F.col("value").alias("x"))))
     packed = grid.groupBy("row", "col", F.year("date").alias("_y")).agg(days.alias("_d"))  # at most 366 entries
     gapless = F.transform("_d", lambda e: e["x"])
-    spread = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda k: F.try_element_at(F.map_from_entries("_d"), k))
+    none = F.lit(None).cast("double")
+    spread = F.aggregate("_d", F.array().cast("array<double>"), lambda a, e: F.concat(
+        a, F.array_repeat(none, e["k"] - F.size(a) - 1), F.array(e["x"])))
     return packed.select("row", "col", "_y", F.when(F.element_at("_d", -1)["k"] == F.size("_d"), gapless).otherwise(spread).alias(out))
 
 
