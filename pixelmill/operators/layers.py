@@ -61,9 +61,17 @@ def with_layers(cells: DataFrame, layers: Mapping[str, DataFrame], on: Sequence[
     return cells
 
 
+GROUP_LIMIT = 1000  # Spark cuts a ranked group before the shuffle below this (windowGroupLimitThreshold)
+
+
 def cap_per_group(df: DataFrame, group: Sequence[str], key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """At most n rows per group, chosen by key hash. Spark limits each map task to n rows per group
-    before the shuffle, so a hot group does not travel whole."""
+    """At most n rows per group, chosen by key hash.
+
+    A small n is a ranked window, of which each map task keeps n rows per group before the shuffle. A large
+    n is settled by counts per hash bucket. Either way a hot group does not meet in one task.
+    """
+    if n >= GROUP_LIMIT:
+        return ranks.first_by_hash(df, key, seed, F.lit(n), group, "_sel").filter("_sel").drop("_sel")
     h = ranks.key_hash([F.col(k) for k in key], seed)
     w = Window.partitionBy(*group).orderBy("_h", *key)
     return df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_h")

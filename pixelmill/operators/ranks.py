@@ -29,7 +29,7 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def _cuts(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
-    probs = F.array(*[F.lit(k / n) for k in range(1, n)])
+    probs = F.expr("array(" + ", ".join(f"{k / n!r}D" for k in range(1, n)) + ")")
     row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(2 * n)).alias(c) for c in cols]).head()
     return [list(row[c] or []) for c in cols]
 
@@ -99,6 +99,21 @@ def row_index(df: DataFrame, order: Column, tie: Sequence[Column] = (), keys: Se
     return running_sums(df, order, {out: F.lit(1).cast("bigint")}, tie, keys, ascending)
 
 
+def nth_smallest(df: DataFrame, col: str, n: int):
+    """Value of rank n of a column, or None when there are fewer rows. Only the range bucket that holds the
+    rank is ordered."""
+    x = df.filter(F.col(col).isNotNull()).select(F.col(col).alias("_x"))
+    x = range_bucket(x, F.col("_x"))
+    counts = x.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_bn"))
+    upto = F.sum("_bn").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0))
+    hit = counts.withColumn("_end", upto).filter((F.col("_end") >= n) & (F.col("_end") - F.col("_bn") < n)).head()
+    if hit is None:
+        return None
+    rank = F.row_number().over(Window.partitionBy(BUCKET).orderBy("_x"))
+    row = x.filter(F.col(BUCKET) == hit[BUCKET]).withColumn("_r", rank).filter(F.col("_r") == n - (hit["_end"] - hit["_bn"])).head()
+    return row["_x"]
+
+
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
               out: str = "q", cuts: Sequence[float] | None = None, weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles as an array column, one row per key group.

@@ -49,8 +49,8 @@ def zscore(df: DataFrame, cols: Sequence[str], scale: float = 1.0, shift_first:
 # --- lists, shares, checks -------------------------------------------------------------------------------
 
 def implode(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), keep_singletons: bool = True) -> DataFrame:
-    """One row per key; other columns become lists in the given order. With ``keep_singletons=False`` a
-    key of one row keeps plain lists out: such keys are dropped."""
+    """One row per key; other columns become lists in the given order. ``keep_singletons=False`` drops keys
+    with one row. The result holds a whole group in one row, so groups have to be of a size a row can hold."""
     rest = [c for c in df.columns if c not in keys]
     rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order])))
     out = df.groupBy(*keys).agg(rows.alias("_r"))
@@ -206,8 +206,10 @@ def batches(df: DataFrame, order: str, n: int, by: Sequence[str] = ()) -> DataFr
 
 
 def split_head_tail(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Flag the first n rows in the given unique order; only the order threshold is looked up."""
-    return ranks.row_index(df, F.col(order), [], out="_r").withColumn("is_head", F.col("_r") <= n).drop("_r")
+    """Flag the first n rows along a unique column by comparing with its n-th value; rows are not moved."""
+    last = ranks.nth_smallest(df, order, n) if n > 0 else None
+    flag = F.lit(n > 0) if last is None else F.col(order) <= F.lit(last)
+    return df.withColumn("is_head", flag)
 
 
 def carry_dates(df: DataFrame, col: str, days: int, forward: bool = True) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pixelmill.functions.grid import GridMeta
 from pixelmill.operators import context
+from pixelmill.plans import features
 from pixelmill.plans.check_time import GP_SQL, grid_points
-from pixelmill.plans.lenses import INDICATOR_SQL, POINTS_SQL
+from pixelmill.plans.lenses import BURN_SQL, COUNTRIES_SQL, DAILY_SQL, INDICATOR_SQL, POINTS_SQL
 from pixelmill.plans.registry import query
 from pixelmill.sources import layers as src
 
@@ -93,3 +95,28 @@ def _append(t):
     a = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x_a"))
     b = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("x_b"))
     return context.append_features(t.points.select("id", "fire"), [a, b], ["id"])
+
+
+@query("feature_table", f"""WITH {POINTS_SQL}, {COUNTRIES_SQL}, {BURN_SQL}, {DAILY_SQL}, c AS (
+    SELECT id, v + 7 AS v, h + 11 AS h, i, j, year, yday, d, (10007554.677 - (i + 0.5)*(1111950.5196666666/1200/2) - (v + 7)*1111950.5196666666)/6371007.181 AS la,
+      (j + 0.5)*(1111950.5196666666/1200/2) + (h + 11)*1111950.5196666666 - 20015109.354 AS x FROM points),
+  g AS (SELECT *, degrees(la) AS lat, degrees(x/(6371007.181*cos(la))) AS lon FROM c),
+  r AS (SELECT *, CAST(floor((90 - lat)/30) AS INT) AS r, CAST(floor((lon + 180)/60) AS INT) AS c FROM g),
+  rd AS (SELECT CAST(s_suppkey % 6 AS INT) AS r, CAST(s_nationkey % 6 AS INT) AS c, sum(s_acctbal) AS road FROM supplier GROUP BY 1,2),
+  b AS (SELECT v + 7 AS v, h + 11 AS h, i, j, make_date(year,1,1) + CAST(burn_date - 1 AS INT) AS bd FROM burn WHERE burn_date > 0 AND uncertainty <= 2),
+  nf AS (SELECT id, count(DISTINCT (b.i - p.i)*100 + b.j - p.j) AS n FROM r p JOIN b ON b.v=p.v AND b.h=p.h AND abs(b.i - p.i) <= 1 AND abs(b.j - p.j) <= 1
+    AND NOT (b.i = p.i AND b.j = p.j) AND CAST(d AS DATE) - CAST(bd AS DATE) BETWEEN 1 AND 10 GROUP BY 1)
+  SELECT r.id, round(lat, 6) AS lat, round(lon, 6) AS lon, name AS country, CASE WHEN iso3 <> '-99' THEN iso3 ELSE name END AS iso3, continent, round(road, 4) AS x_road,
+    coalesce(n, 0)::INT AS x_nf, round(d0.value, 6) AS x_tp_0, round(d1.value, 6) AS x_tp_hist_mean
+  FROM r LEFT JOIN countries ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax LEFT JOIN rd ON rd.r=r.r AND rd.c=r.c LEFT JOIN nf ON nf.id=r.id
+  LEFT JOIN daily d0 ON d0.row_=r.r AND d0.col_=r.c AND d0.date=d LEFT JOIN daily d1 ON d1.row_=r.r AND d1.col_=r.c AND d1.date=d - 1 AND year(d1.date)=r.year""")
+def _features(t):
+    meta = GridMeta(60.0, 0.0, -180.0, 0.0, -30.0, 90.0, 6, 6)
+    shift = {"v": F.col("v") + 7, "h": F.col("h") + 11}
+    samples = t.points.select("id", "v", "h", F.col("i").alias("i2"), F.col("j").alias("j2"), "year", "yday").withColumns(shift)
+    roads = t.supplier.groupBy((F.col("s_suppkey") % 6).cast("int").alias("row"), (F.col("s_nationkey") % 6).cast("int").alias("col")) \
+        .agg(F.sum("s_acctbal").alias("value"))
+    out = features.build(samples, {"weather": [("tp", t.daily, meta, 2, 1)], "roads": (roads, meta), "countries": (t.countries, None),
+                                   "burn": (t.burn.withColumns(shift), 1, 10)})
+    return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "country", "iso3", "continent", F.round("x_road", 4).alias("x_road"),
+                      "x_nf", F.round("x_tp_0", 6).alias("x_tp_0"), F.round("x_tp_hist_mean", 6).alias("x_tp_hist_mean"))

@@ -81,7 +81,7 @@ def _indicator(t):
 
 @query("read_daily_grid", f"WITH {DAILY_SQL} SELECT date, row_ AS \"row\", col_ AS col, round(value, 6) AS value FROM daily WHERE year(date) = 1997")
 def _daily(t):
-    return src.read_daily_grid(t.daily, 1997).withColumn("value", F.round("value", 6))
+    return src.read_daily_grid(t.daily, 1997, check=False).withColumn("value", F.round("value", 6))
 
 
 @query("file_index", f"""WITH {NAMES_SQL} SELECT DISTINCT path, replace(path, 'data/MCD64A1/', '') AS fname, 'MCD64A1' AS product,
@@ -147,6 +147,12 @@ def _cap(t):
         .select("v", "h", "date", "i", "j", "value")
 
 
+@query("cap_per_group_large", f"""WITH {POINTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY fire ORDER BY
+    ('0x' || substr(md5(concat_ws('|', id, '6')), 1, 15))::BIGINT, id) AS rn FROM points) SELECT id, fire FROM r WHERE rn <= 2000""")
+def _cap_large(t):
+    return L.cap_per_group(t.points.select("id", "fire"), ["fire"], ["id"], 2000, 6)
+
+
 @query("burn_quality", f"WITH {BURN_SQL} SELECT * FROM burn WHERE burn_date >= 0 AND uncertainty <= 1")
 def _quality(t):
     return L.burn_quality(t.burn)

@@ -242,3 +242,17 @@ def _scale(t):
 def _recycle(t):
     return t.points.select("id", s.recycle(F.array("v", "h"), F.lit(6)).alias("a"),
                            *s.unstack_columns(s.stack_columns(["v", "h"]), ["first_", "second_"]))
+
+
+@query("adjust_bin_means", f"""WITH {PREDS_SQL}, b AS (SELECT l_linenumber AS bin, avg(y_true) AS m FROM preds GROUP BY 1), o AS (SELECT *, m/(1 - m)*((0.02/0.98)/(0.3/0.7)) AS o FROM b)
+  SELECT bin, round((0.02/0.98)/(0.3/0.7), 6)::DOUBLE AS knr, round(o/(o + 1), 6) AS adjusted FROM o""")
+def _adjust(t):
+    b = t.preds.groupBy(F.col("l_linenumber").alias("bin")).agg(F.avg("y_true").alias("m"))
+    k = s.keep_neg_rate(0.3, 0.02)
+    return b.select("bin", r6(k, "knr"), r6(s.adjust_mean(F.col("m"), k), "adjusted"))
+
+
+@query("stack_columns", f"WITH {POINTS_SQL} SELECT id, [v, h, i, j] AS cell, i AS row_, j AS col_ FROM points")
+def _stack(t):
+    p = t.points.select("id", s.stack_columns(["v", "h", "i", "j"]).alias("cell"))
+    return p.select("id", "cell", *s.unstack_columns(F.slice("cell", 3, 2), ["row_", "col_"]))

@@ -234,6 +234,8 @@ def test_incomplete_year_fails(spark):
     grid = spark.createDataFrame([(D(2001, 1, 1), 0, 0, 1.0)], "date date, row int, col int, value double")
     with pytest.raises(Exception, match="incomplete year"):
         src.read_daily_grid(grid, 2001).collect()
+    full = spark.range(366).select(F.date_add(F.lit("2004-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(1.0).alias("value"))
+    assert src.read_daily_grid(full, 2004).count() == 366
 
 
 def test_two_years_fail(spark):
