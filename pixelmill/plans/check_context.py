@@ -16,14 +16,20 @@ YEARGRID_SQL = """yg AS (SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(o_orde
   sum(o_totalprice) AS v FROM orders WHERE year(o_orderdate) IN (1996, 1998, 2000) GROUP BY 1,2,3)"""
 
 
+YEARLY_SQL = YEARGRID_SQL.replace("WHERE year(o_orderdate) IN (1996, 1998, 2000) ", "")
+
+
+def _yeargrid(orders):
+    return orders.groupBy(F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 6).cast("int").alias("row"),
+                          (F.col("o_custkey") % 6).cast("int").alias("col")).agg(F.sum("o_totalprice").alias("value"))
+
+
 @query("add_population_density", f"""WITH {GP_SQL}, {YEARGRID_SQL}, b AS (SELECT gp.*, CASE WHEN year < 1996 THEN NULL WHEN year < 1998 THEN 1996 WHEN year < 2000 THEN 1998
     ELSE 2000 END AS ya, CASE WHEN year <= 1996 THEN 1996 WHEN year <= 1998 THEN 1998 WHEN year <= 2000 THEN 2000 END AS yb FROM gp)
   SELECT id, r AS "row", c AS col, year, round(CASE WHEN ya = yb THEN a.v ELSE a.v + (z.v - a.v)*(year - ya)/(yb - ya) END, 4) AS x_gpw4
   FROM b LEFT JOIN yg a ON a.y = ya AND a.gr = r AND a.gc = c LEFT JOIN yg z ON z.y = yb AND z.gr = r AND z.gc = c""")
 def _population(t):
-    grid = t.orders.filter(F.year("o_orderdate").isin(1996, 1998, 2000)).groupBy(
-        F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 6).cast("int").alias("row"),
-        (F.col("o_custkey") % 6).cast("int").alias("col")).agg(F.sum("o_totalprice").alias("value"))
+    grid = _yeargrid(t.orders.filter(F.year("o_orderdate").isin(1996, 1998, 2000)))
     out = context.add_population_density(grid_points(t).withColumn("year", F.year("d")).drop("d"), grid)
     return out.withColumn("x_gpw4", F.round("x_gpw4", 4))
 
@@ -97,7 +103,7 @@ def _append(t):
     return context.append_features(t.points.select("id", "fire"), [a, b], ["id"])
 
 
-@query("feature_table", f"""WITH {POINTS_SQL}, {COUNTRIES_SQL}, {BURN_SQL}, {DAILY_SQL}, c AS (
+@query("feature_table", f"""WITH {POINTS_SQL}, {COUNTRIES_SQL}, {BURN_SQL}, {DAILY_SQL}, {YEARLY_SQL}, c AS (
     SELECT id, v + 7 AS v, h + 11 AS h, i, j, year, yday, d, (10007554.677 - (i + 0.5)*(1111950.5196666666/1200/2) - (v + 7)*1111950.5196666666)/6371007.181 AS la,
       (j + 0.5)*(1111950.5196666666/1200/2) + (h + 11)*1111950.5196666666 - 20015109.354 AS x FROM points),
   g AS (SELECT *, degrees(la) AS lat, degrees(x/(6371007.181*cos(la))) AS lon FROM c),
@@ -107,8 +113,8 @@ def _append(t):
   nf AS (SELECT id, count(DISTINCT (b.i - p.i)*100 + b.j - p.j) AS n FROM r p JOIN b ON b.v=p.v AND b.h=p.h AND abs(b.i - p.i) <= 1 AND abs(b.j - p.j) <= 1
     AND NOT (b.i = p.i AND b.j = p.j) AND CAST(d AS DATE) - CAST(bd AS DATE) BETWEEN 1 AND 10 GROUP BY 1)
   SELECT r.id, round(lat, 6) AS lat, round(lon, 6) AS lon, name AS country, CASE WHEN iso3 <> '-99' THEN iso3 ELSE name END AS iso3, continent, round(road, 4) AS x_road,
-    coalesce(n, 0)::INT AS x_nf, round(d0.value, 6) AS x_tp_0, round(d1.value, 6) AS x_tp_hist_mean
-  FROM r LEFT JOIN countries ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax LEFT JOIN rd ON rd.r=r.r AND rd.c=r.c LEFT JOIN nf ON nf.id=r.id
+    coalesce(n, 0)::INT AS x_nf, round(yv, 4) AS x_gpw4, round(d0.value, 6) AS x_tp_0, round(d1.value, 6) AS x_tp_hist_mean
+  FROM r LEFT JOIN countries ON lon BETWEEN xmin AND xmax AND lat BETWEEN ymin AND ymax LEFT JOIN rd ON rd.r=r.r AND rd.c=r.c LEFT JOIN nf ON nf.id=r.id LEFT JOIN (SELECT y, gr, gc, v AS yv FROM yg) ON y = r.year AND gr = r.r AND gc = r.c
   LEFT JOIN daily d0 ON d0.row_=r.r AND d0.col_=r.c AND d0.date=d LEFT JOIN daily d1 ON d1.row_=r.r AND d1.col_=r.c AND d1.date=d - 1 AND year(d1.date)=r.year""")
 def _features(t):
     meta = GridMeta(60.0, 0.0, -180.0, 0.0, -30.0, 90.0, 6, 6)
@@ -117,6 +123,6 @@ def _features(t):
     roads = t.supplier.groupBy((F.col("s_suppkey") % 6).cast("int").alias("row"), (F.col("s_nationkey") % 6).cast("int").alias("col")) \
         .agg(F.sum("s_acctbal").alias("value"))
     out = features.build(samples, {"weather": [("tp", t.daily, meta, 2, 1)], "roads": (roads, meta), "countries": (t.countries, None),
-                                   "burn": (t.burn.withColumns(shift), 1, 10)})
+                                   "burn": (t.burn.withColumns(shift), 1, 10), "population": (_yeargrid(t.orders), meta)})
     return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "country", "iso3", "continent", F.round("x_road", 4).alias("x_road"),
-                      "x_nf", F.round("x_tp_0", 6).alias("x_tp_0"), F.round("x_tp_hist_mean", 6).alias("x_tp_hist_mean"))
+                      "x_nf", F.round("x_gpw4", 4).alias("x_gpw4"), F.round("x_tp_0", 6).alias("x_tp_0"), F.round("x_tp_hist_mean", 6).alias("x_tp_hist_mean"))

@@ -203,12 +203,13 @@ def _bin_mid(t):
         *KEY, r6(s.bin_mid(F.col("b")), "mid"))
 
 
-@query("pick_elements", f"""WITH {POINTS_SQL} SELECT id, list_filter([v, h, i, j], lambda x: x > 5) AS picked,
-  [NOT (v > 5), NOT (h > 5), NOT (i > 5), NOT (j > 5)] AS dropped FROM points""")
+@query("pick_elements", f"""WITH {POINTS_SQL} SELECT id, array_to_string(list_filter([v, h, i, j], lambda x: x > 5), ',') AS picked,
+  NOT (v > 5) AS drop_v, NOT (h > 5) AS drop_h, NOT (i > 5) AS drop_i, NOT (j > 5) AS drop_j FROM points""")
 def _pick(t):
     values = F.array("v", "h", "i", "j")
     mask = F.transform(values, lambda x: x > 5)
-    return t.points.select("id", s.pick_elements(values, mask).alias("picked"), s.negate(mask).alias("dropped"))
+    out = t.points.select("id", F.array_join(s.pick_elements(values, mask), ",").alias("picked"), s.negate(mask).alias("dropped"))
+    return out.select("id", "picked", *s.unstack_columns(F.col("dropped"), ["drop_v", "drop_h", "drop_i", "drop_j"]))
 
 
 @query("drop_map_keys", f"WITH {POINTS_SQL} SELECT id, i AS i, j AS j, 2 AS n FROM points")
@@ -238,9 +239,9 @@ def _scale(t):
     return t.vectors.select("vec_id", *[r6(x, n) for n, x in c.items()])
 
 
-@query("recycle", f"WITH {POINTS_SQL} SELECT id, [v, h, v, h, v, h] AS a, v AS first_, h AS second_ FROM points")
+@query("recycle", f"WITH {POINTS_SQL} SELECT id, concat_ws(',', v, h, v, h, v, h) AS a, v AS first_, h AS second_ FROM points")
 def _recycle(t):
-    return t.points.select("id", s.recycle(F.array("v", "h"), F.lit(6)).alias("a"),
+    return t.points.select("id", F.array_join(s.recycle(F.array("v", "h"), F.lit(6)), ",").alias("a"),
                            *s.unstack_columns(s.stack_columns(["v", "h"]), ["first_", "second_"]))
 
 
@@ -252,7 +253,7 @@ def _adjust(t):
     return b.select("bin", r6(k, "knr"), r6(s.adjust_mean(F.col("m"), k), "adjusted"))
 
 
-@query("stack_columns", f"WITH {POINTS_SQL} SELECT id, [v, h, i, j] AS cell, i AS row_, j AS col_ FROM points")
+@query("stack_columns", f"WITH {POINTS_SQL} SELECT id, concat_ws(',', v, h, i, j) AS cell, i AS row_, j AS col_ FROM points")
 def _stack(t):
     p = t.points.select("id", s.stack_columns(["v", "h", "i", "j"]).alias("cell"))
-    return p.select("id", "cell", *s.unstack_columns(F.slice("cell", 3, 2), ["row_", "col_"]))
+    return p.select("id", F.array_join("cell", ",").alias("cell"), *s.unstack_columns(F.slice("cell", 3, 2), ["row_", "col_"]))

@@ -285,8 +285,9 @@ def _quartiles(t):
     return rounded(tb.quartile_summary(t.events, "value", ["event_type"]))
 
 
-@query("quantiles_grid", f"""WITH {VECTORS_SQL} SELECT label, [round(x, 6) FOR x IN quantile_cont(x0, [0.0, 0.1, 0.5, 0.99, 1.0])] AS q FROM vectors GROUP BY 1""")
+@query("quantiles_grid", f"""WITH {VECTORS_SQL} SELECT label, {', '.join(f'round(quantile_cont(x0, {q}), 6) AS q{k}' for k, q in enumerate((0.0, 0.1, 0.5, 0.99, 1.0)))} FROM vectors GROUP BY 1""")
 def _quantiles(t):
     from pixelmill.operators import ranks
 
-    return ranks.quantiles(t.vectors, "x0", [0.0, 0.1, 0.5, 0.99, 1.0], ["label"]).withColumn("q", F.transform("q", lambda x: F.round(x, 6)))
+    out = ranks.quantiles(t.vectors, "x0", [0.0, 0.1, 0.5, 0.99, 1.0], ["label"])
+    return out.select("label", *[F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(5)])

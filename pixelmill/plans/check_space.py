@@ -62,6 +62,13 @@ def _polygons(t):
     return context.add_country_and_continent(t.geo_points, src.read_boundaries(triangles), ring="ring")
 
 
+@query("read_boundaries", f"WITH {COUNTRIES_SQL} SELECT name, xmin, xmax, ymin, ymax FROM countries")
+def _boundaries(t):
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax")]
+    text = F.concat(F.lit("["), F.concat_ws(", ", *[F.concat(F.lit("["), F.col(a), F.lit(", "), F.col(b), F.lit("]")) for a, b in corners]), F.lit("]"))
+    return src.read_boundaries(t.countries.select("name", text.alias("ring"))).drop("ring")
+
+
 @query("add_road_density", f"""WITH {GEO_SQL}, g AS (SELECT id, CAST(floor((90 - lat)/30) AS INT) AS r, CAST(floor((lon + 180)/60) AS INT) AS c FROM geo_points),
   rd AS (SELECT CAST(s_suppkey % 6 AS INT) AS r, CAST(s_nationkey % 6 AS INT) AS c, sum(s_acctbal) AS v FROM supplier GROUP BY 1,2)
   SELECT id, g.r AS "row", g.c AS col, round(v, 4) AS x_road FROM g LEFT JOIN rd USING (r, c)""")

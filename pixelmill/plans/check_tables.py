@@ -10,9 +10,10 @@ from pixelmill.plans.lenses import INDICATOR_SQL, POINTS_SQL, PREDS_SQL, RUNS_SQ
 from pixelmill.plans.registry import query
 
 
-@query("implode", "SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS id, list(o_orderstatus ORDER BY o_orderkey) AS s FROM orders GROUP BY 1")
+@query("implode", "SELECT o_custkey AS k, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS id, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS s FROM orders GROUP BY 1")
 def _implode(t):
-    return tb.implode(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s")), ["k"], ["id"])
+    lists = tb.implode(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s")), ["k"], ["id"])
+    return lists.select("k", F.array_join("id", ",").alias("id"), F.array_join("s", ",").alias("s"))
 
 
 @query("null_ratio", f"""WITH {INDICATOR_SQL}, p AS (SELECT upper(n_name) AS c, (SELECT y1996 FROM indicator_wide i WHERE i.country = n_name AND n_nationkey % 3 = 0) AS x FROM nation)

@@ -65,10 +65,10 @@ def _lag_joins(n):
 
 
 @query("daily_window_lookup", f"""WITH {GP_SQL}, {DAILY_SQL} SELECT id, r AS "row", c AS col, d,
-  [{', '.join(f'round(d{k}.value, 6)' for k in range(5))}] AS lags FROM gp {_lag_joins(5)}""")
+  {', '.join(f'round(d{k}.value, 6) AS lag{k}' for k in range(5))} FROM gp {_lag_joins(5)}""")
 def _window(t):
     out = weather.daily_window_lookup(grid_points(t), t.daily, 5)
-    return out.withColumn("lags", F.transform("lags", lambda x: F.round(x, 6)))
+    return out.select("id", "row", "col", "d", *[r6(F.col("lags")[k], f"lag{k}") for k in range(5)])
 
 
 @query("add_weather", f"""WITH {GP_SQL}, {DAILY_SQL} SELECT id, r AS "row", c AS col, d, round(d0.value, 6) AS x_t2m_0, round(d1.value, 6) AS x_t2m_1,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import defaultdict
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pixelmill.functions import grid as g
 from pixelmill.functions import scalars as s
 from pixelmill.operators import context, neighborhood, weather
+from pixelmill.operators.asof import per_distinct
+from pixelmill.operators.layers import CELL
 
 
 def with_coordinates(samples: DataFrame) -> DataFrame:
@@ -24,30 +28,44 @@ def build(samples: DataFrame, sources: Mapping[str, tuple]) -> DataFrame:
     weather -> [(name, daily grid, meta, ndays, agg_start)], population -> (grid, meta), countries -> (table, ring),
     burn -> (burn layers, distance, hindsight), vegetation -> (name, cells), roads -> (grid, meta),
     precipitation -> (monthly grid, meta, n_climate, n_deficit).
+
+    The samples are wide, so they are joined once per grid and once for everything at their own cell,
+    however many sources there are: the sources are first put next to each other on the distinct keys.
     """
     out = with_coordinates(samples)
-
-    def on_grid(df: DataFrame, meta: g.GridMeta, add) -> DataFrame:
-        return add(context.locate(df, meta)).drop("row", "col")
-
+    by_grid: dict[g.GridMeta, list[Callable[[DataFrame], DataFrame]]] = defaultdict(list)
     for name, grid, meta, ndays, start in sources.get("weather", ()):
-        out = on_grid(out, meta, lambda df: weather.add_weather(df, grid, name, ndays, start))
+        by_grid[meta].append(partial(weather.add_weather, grid=grid, var=name, ndays=ndays, agg_start=start))
     if "population" in sources:
         grid, meta = sources["population"]
-        out = on_grid(out, meta, lambda df: context.add_population_density(df, grid))
+        by_grid[meta].append(partial(_population, grid=grid))
     if "precipitation" in sources:
         grid, meta, n_climate, n_deficit = sources["precipitation"]
-        out = on_grid(out, meta, lambda df: weather.add_precip_deficit(df, grid, n_climate, n_deficit))
+        by_grid[meta].append(partial(weather.add_precip_deficit, precip=grid, n_climate=n_climate, n_deficit=n_deficit))
     if "roads" in sources:
         grid, meta = sources["roads"]
-        out = on_grid(out, meta, lambda df: context.add_road_density(df, grid))
-    if "countries" in sources:
-        table, ring = sources["countries"]
-        out = context.add_country_and_continent(out, table, ring=ring)
+        by_grid[meta].append(partial(context.add_road_density, roads=grid))
+    for meta, adders in by_grid.items():
+        out = per_distinct(context.locate(out, meta), ["row", "col", "d"], partial(_chain, adders=adders)).drop("row", "col")
+
+    at_cell: list[Callable[[DataFrame], DataFrame]] = []
     if "burn" in sources:
         burn, distance, hindsight = sources["burn"]
-        out = neighborhood.add_neighboring_fires(out, burn, distance, hindsight)
+        at_cell.append(partial(neighborhood.add_neighboring_fires, burn=burn, distance=distance, hindsight=hindsight))
     if "vegetation" in sources:
         name, cells = sources["vegetation"]
-        out = neighborhood.add_vegetation_index(out, cells, name)
+        at_cell.append(partial(neighborhood.add_vegetation_index, vi=cells, name=name))
+    if at_cell:
+        out = per_distinct(out, [*CELL, "d"], partial(_chain, adders=at_cell))
+    if "countries" in sources:
+        table, ring = sources["countries"]
+        out = context.add_country_and_continent(out, table, ring=ring)
     return out.drop("i", "j")
+
+
+def _chain(keys: DataFrame, adders: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    return reduce(lambda df, add: add(df), adders, keys)
+
+
+def _population(keys: DataFrame, grid: DataFrame) -> DataFrame:
+    return context.add_population_density(keys.withColumn("year", F.year("d")), grid).drop("year")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -25,12 +23,3 @@ def build(master: str | None = None, app: str = "pixelmill", **conf: str) -> Spa
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage, so that a lost executor only costs a re-read."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pixelmill-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
