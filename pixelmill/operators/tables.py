@@ -22,18 +22,22 @@ def _with_stats(df: DataFrame, stats: Mapping[str, Column], by: Sequence[str] =
 
 # --- scaling ---------------------------------------------------------------------------------------------
 
-def stretch(df: DataFrame, col: str, new_min: float, new_max: float, by: Sequence[str] = ()) -> DataFrame:
-    """Min-max rescale; a constant column goes to ``new_min``."""
+def stretch(df: DataFrame, col: str, new_min: float | None = None, new_max: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Min-max rescale, all rows or per group; a limit left out stays where it is. A constant column goes to
+    the lower limit."""
+    if new_min is None and new_max is None:
+        raise ValueError("give new_min, new_max or both")
     s = _with_stats(df, {"lo": F.min(col), "hi": F.max(col)}, by)
-    share = F.coalesce(F.try_divide(F.col(col) - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")), F.lit(0.0))
-    return s.withColumn(col, F.when(F.col(col).isNotNull(), share * (new_max - new_min) + new_min)).drop("_s")
+    old_lo, old_hi = F.col("_s.lo"), F.col("_s.hi")
+    lo = old_lo if new_min is None else F.lit(float(new_min))
+    hi = old_hi if new_max is None else F.lit(float(new_max))
+    share = F.coalesce(F.try_divide(F.col(col) - old_lo, old_hi - old_lo), F.lit(0.0))
+    return s.withColumn(col, F.when(F.col(col).isNotNull(), share * (hi - lo) + lo)).drop("_s")
 
 
 def move_max(df: DataFrame, col: str, new_max: float, by: Sequence[str] = ()) -> DataFrame:
     """Keep the minimum, move the maximum."""
-    s = _with_stats(df, {"lo": F.min(col), "hi": F.max(col)}, by)
-    share = F.coalesce(F.try_divide(F.col(col) - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")), F.lit(0.0))
-    return s.withColumn(col, F.when(F.col(col).isNotNull(), share * (new_max - F.col("_s.lo")) + F.col("_s.lo"))).drop("_s")
+    return stretch(df, col, None, new_max, by)
 
 
 def zscore(df: DataFrame, cols: Sequence[str], scale: float = 1.0, shift_first: float = 0.0) -> DataFrame:
@@ -49,18 +53,23 @@ def zscore(df: DataFrame, cols: Sequence[str], scale: float = 1.0, shift_first:
 # --- lists, shares, checks -------------------------------------------------------------------------------
 
 def implode(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), keep_singletons: bool = True) -> DataFrame:
-    """One row per key; other columns become lists in the given order. ``keep_singletons=False`` drops keys
-    with one row. The result holds a whole group in one row, so groups have to be of a size a row can hold."""
+    """One row per key; other columns become lists in the given order.
+
+    With ``keep_singletons=False`` a list of one element is NULL and its value is in ``{column}_single``. The
+    result holds a whole group in one row, so groups have to be of a size a row can hold.
+    """
     rest = [c for c in df.columns if c not in keys]
     rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order])))
-    out = df.groupBy(*keys).agg(rows.alias("_r"))
-    if not keep_singletons:
-        out = out.filter(F.size("_r") > 1)
 
     def column(c: str) -> Column:
-        return F.transform("_r", lambda r: r[c]).alias(c)
+        return F.transform("_r", lambda r: r[c])
 
-    return out.select(*keys, *[column(c) for c in rest])
+    out = df.groupBy(*keys).agg(rows.alias("_r"))
+    if keep_singletons:
+        return out.select(*keys, *[column(c).alias(c) for c in rest])
+    single = F.size("_r") == 1
+    return out.select(*keys, *[x for c in rest for x in (
+        F.when(~single, column(c)).alias(c), F.when(single, F.col("_r")[0][c]).alias(f"{c}_single"))])
 
 
 def null_ratio(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -110,7 +119,7 @@ def predict_from_frequency(df: DataFrame, freq: DataFrame, cols: Sequence[str],
     """Look the combination up; unseen combinations get ``unknown``."""
     out = df.join(freq, ranks.same(df, freq, cols), "left").select(df["*"], freq["proba"])
     p = F.coalesce(F.col("proba"), F.lit(unknown))
-    return out.withColumn("proba", p).withColumn("label", (p > threshold).cast("int"))
+    return out.withColumn("proba", p).withColumn("label", (p >= threshold).cast("int"))
 
 
 def weighted_average(df: DataFrame, x: str, w: str, by: Sequence[str] = ()) -> DataFrame:

@@ -28,7 +28,7 @@ def _under(t):
 
 @query("undersample_to_rate", f"""WITH {POINTS_SQL}, p AS (SELECT id, fire, sum(fire::INT) OVER () AS np, avg(fire::INT) OVER () AS r,
     row_number() OVER (PARTITION BY fire ORDER BY {h(2)}, id) AS rn FROM points),
-  c AS (SELECT *, row_number() OVER (ORDER BY {h(3)}, id) AS rk FROM p WHERE fire OR rn <= round(np*0.25/0.75))
+  c AS (SELECT *, row_number() OVER (ORDER BY {h(3)}, id) AS rk FROM p WHERE fire OR rn <= round_even(np*0.25/0.75, 0))
   SELECT id, fire, round(r, 6) AS r_pos_original FROM c WHERE rk <= 300""")
 def _to_rate(t):
     return sp.undersample_to_rate(t.points.select("id", "fire"), "fire", KEY, 300, 0.75, 2) \

@@ -16,6 +16,13 @@ def _implode(t):
     return lists.select("k", F.array_join("id", ",").alias("id"), F.array_join("s", ",").alias("s"))
 
 
+@query("implode_singletons", """SELECT o_custkey AS k, CASE WHEN count(*) > 1 THEN string_agg(o_orderkey, ',' ORDER BY o_orderkey) END AS id,
+  CASE WHEN count(*) = 1 THEN min(o_orderkey) END AS id_single FROM orders GROUP BY 1""")
+def _implode_single(t):
+    lists = tb.implode(t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id")), ["k"], keep_singletons=False)
+    return lists.select("k", F.array_join("id", ",").alias("id"), "id_single")
+
+
 @query("null_ratio", f"""WITH {INDICATOR_SQL}, p AS (SELECT upper(n_name) AS c, (SELECT y1996 FROM indicator_wide i WHERE i.country = n_name AND n_nationkey % 3 = 0) AS x FROM nation)
   SELECT 'c' AS "column", 0.0::DOUBLE AS null_ratio, 1.0::DOUBLE AS not_null_ratio UNION ALL SELECT 'x', round(avg((x IS NULL)::INT), 6), round(1 - avg((x IS NULL)::INT), 6) FROM p""")
 def _nulls(t):
@@ -59,7 +66,7 @@ def _freq(t):
     return rounded(tb.frequency_table(_features(t).filter("id % 2 = 0 AND q < 3"), ["v", "h", "q"], "y", 0.9))
 
 
-@query("predict_from_frequency", f"""WITH {_FREQ_SQL} SELECT id, p.v, p.h, i % 4 AS q, round(coalesce(r, 0.05), 6)::DOUBLE AS proba, (coalesce(r, 0.05) > 0.5)::INT AS label FROM points p
+@query("predict_from_frequency", f"""WITH {_FREQ_SQL} SELECT id, p.v, p.h, i % 4 AS q, round(coalesce(r, 0.05), 6)::DOUBLE AS proba, (coalesce(r, 0.05) >= 0.5)::INT AS label FROM points p
   LEFT JOIN fr ON fr.v=p.v AND fr.h=p.h AND fr.q = i % 4""")
 def _predict_freq(t):
     f = tb.frequency_table(_features(t).filter("id % 2 = 0 AND q < 3"), ["v", "h", "q"], "y", 0.9)

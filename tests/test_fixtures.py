@@ -186,6 +186,8 @@ def test_carry_and_implode(spark):
     assert tables.carry_dates(df, "date", 3).count() == 6
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, x int")
     assert {r["k"]: r["x"] for r in tables.implode(df, ["k"]).collect()} == {"a": [1, 3], "b": [2]}
+    got = {r["k"]: (r["x"], r["x_single"]) for r in tables.implode(df, ["k"], keep_singletons=False).collect()}
+    assert got == {"a": ([1, 3], None), "b": (None, 2)}
 
 
 def test_point_in_polygon(spark):
