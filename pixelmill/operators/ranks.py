@@ -39,6 +39,20 @@ def _bucketize(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> Data
     return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
 
 
+BROADCAST_ROWS = 10_000
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of few rows computed once and broadcast; a larger one is returned as it is, for a shuffled join.
+
+    Worth its job where the other side is wide: a join planned on estimates would already have moved it.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def value_cuts(df: DataFrame, col: str) -> list[float]:
     """Approximate equal-count cuts of a column, to be shared by operators that order by it."""
     return _cuts(df, [col], slots(df))[0]
@@ -79,18 +93,16 @@ def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie:
         cuts = [-c for c in cuts]
     df = range_bucket(df, order, tie[0] if tie else None, cuts)
     keys = list(keys)
+    # keys and bucket as one struct: NULL keys compare equal, and join and window share a partitioning
+    place = F.struct(*keys, BUCKET)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{s}").alias(f"_s_{s}") for s in sums]) \
-        .select(*keys, BUCKET, *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums])
-    if keys:
-        joined = df.join(offsets, same(df, offsets, [*keys, BUCKET])).select(
-            df["*"], *[offsets[f"_off_{s}"] for s in sums])
-    else:
-        joined = df.join(offsets, BUCKET)  # the window below needs the same partitioning
-    within = Window.partitionBy(*keys, BUCKET).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        .select(place.alias("_at"), *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums])
+    joined = df.withColumn("_at", place).join(offsets, "_at")
+    within = Window.partitionBy("_at").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     for s in sums:
         joined = joined.withColumn(s, F.col(f"_off_{s}") + F.sum(f"_v_{s}").over(within))
-    return joined.drop(BUCKET, *[f"_v_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+    return joined.drop("_at", BUCKET, *[f"_v_{s}" for s in sums], *[f"_off_{s}" for s in sums])
 
 
 def row_index(df: DataFrame, order: Column, tie: Sequence[Column] = (), keys: Sequence[str] = (),
@@ -198,6 +210,7 @@ def flag_first_by_hash(df: DataFrame, key: Sequence[str], seed: int, takes: Mapp
     narrow = hashed.select(*strata, *key, "_h", bucket)
     keep = ["_count"] if keep_count else []
     if strata:
+        plan = checked_broadcast(plan)
         edges = narrow.join(plan, same(narrow, plan, strata)).select(narrow["*"], *[plan[c] for c in plan.columns if c not in strata])
     else:
         one = plan.head().asDict()  # a single row of counts
@@ -210,6 +223,7 @@ def flag_first_by_hash(df: DataFrame, key: Sequence[str], seed: int, takes: Mapp
     if strata:
         cut = plan.join(last, same(plan, last, strata), "left").select(plan["*"], *[last[f"_last_{n}"] for n in takes])
         new = [*[f"{k}_{n}" for n in takes for k in ("_edge", "_last")], *keep]
+        cut = checked_broadcast(cut)
         out = hashed.join(cut, same(hashed, cut, strata)).select(hashed["*"], *[cut[c] for c in new])
         edge = {n: F.col(f"_edge_{n}") for n in takes}
         final = {n: F.col(f"_last_{n}") for n in takes}

@@ -16,7 +16,7 @@ def _with_stats(df: DataFrame, stats: Mapping[str, Column], by: Sequence[str] =
     s = F.struct(*[c.alias(n) for n, c in stats.items()]).alias("_s")
     if not by:
         return df.withColumn("_s", df.agg(s).scalar())
-    agg = df.groupBy(*by).agg(s)
+    agg = ranks.checked_broadcast(df.groupBy(*by).agg(s))
     return df.join(agg, ranks.same(df, agg, by)).select(df["*"], agg["_s"])
 
 
@@ -95,7 +95,7 @@ def inverse_prior_weights(df: DataFrame, y: str, eps: float = 0.0) -> DataFrame:
 
 def with_class_weights(df: DataFrame, y: str, eps: float = 0.0) -> DataFrame:
     """Join the class weights back as a sample weight; the weight table has one row per class."""
-    return df.join(inverse_prior_weights(df, y, eps).select(y, "weight"), y)
+    return df.join(ranks.checked_broadcast(inverse_prior_weights(df, y, eps).select(y, "weight")), y)
 
 
 def biased_sample_weight(df: DataFrame, y: str, r_original: float) -> DataFrame:
