@@ -49,6 +49,7 @@ def literal_bin_index(x: Column, edges: Sequence[float]) -> Column:
 def _binned(counts: DataFrame, sets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bin tables for every run and edge set. ``sets`` has keys and sets ARRAY<STRUCT<set, edges>>."""
     keys = list(keys)
+    sets = ranks.checked_broadcast(sets)  # one row per run
     if keys:
         rows = counts.join(sets, ranks.same(counts, sets, keys)).select(counts["*"], sets["sets"])
     else:
