@@ -59,10 +59,11 @@ def add_neighboring_fires(samples: DataFrame, burn: DataFrame, distance: int = 1
         def slot(day) -> Column:
             return F.floor(F.unix_date(day) / (4 * hindsight))
 
+        # size estimates do not see how far the events are spread, so the join is told not to broadcast them;
         # an event acts on `hindsight` days, so it is listed under one or two time slots, mostly one
         slots = F.array_distinct(F.array(slot(F.date_add("burned", 1)), slot(F.date_add("burned", hindsight))))
         spread = _spread(burn_events(burn, max_bduc).withColumn("_t", F.explode(slots)), distance)
-        hits = keys.withColumn("_t", slot(F.col("d"))).join(spread, [*CELL, "_t"]) \
+        hits = keys.withColumn("_t", slot(F.col("d"))).join(spread.hint("merge"), [*CELL, "_t"]) \
             .filter(F.datediff("d", "burned").between(1, hindsight))
         if (2 * distance + 1) ** 2 - 1 <= 62:
             count = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_k"))))
