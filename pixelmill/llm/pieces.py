@@ -3,7 +3,7 @@
 Byte-pair merging by an agenda: adjacent pieces whose joined piece is in the vocabulary are candidates, taken by best score, then
 leftmost. A candidate that is taken from the agenda is skipped for good when its keyed hash falls below the dropout rate, so
 equal words get different segmentations while every run gives the same. The key is made of the seed, one of ``VARIANTS`` streams that a
-document's hash and the place of the word choose, the place of the pair and the piece it would give.
+document's hash and the number of the line choose, the place of the pair and the piece it would give.
 
 Pieces never join a space to what stands before it, so a text is cut before its runs of spaces; short parts are remembered per stream.
 Characters without a piece become byte pieces, and so does the space mark itself when it is part of a text: decoding is lossless.
@@ -29,8 +29,9 @@ from pixelmill.llm.common import bounded, mix, widened
 
 MARK = "▁"
 SEED, DROPOUT, VARIANTS = 17, 0.1, 4
-_KEPT = 60_000  # remembered parts per stream and generation
+_KEPT = 100_000  # remembered parts per stream and generation
 _SHORT = 24  # longer parts are rare and merged one by one
+_ROWS = 4096  # short parts merged at once, of about one length
 _TABLE_BITS = 21
 
 
@@ -53,7 +54,7 @@ class Vocabulary:
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)}
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
         self.scores = [sp.get_score(i) for i in range(n)]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):  # the cuts below would then change results
             raise ValueError("pieces that join a space or a line end to what stands before it are not supported")
         rank = {x: k for k, x in enumerate(sorted(set(self.scores)))}
         self.priority = np.array([rank[x] for x in self.scores], np.int32)
@@ -105,7 +106,7 @@ class Encoder:
         self.keys = self.keys.tolist()
         self.new: list[dict[str, bytes]] = [{} for _ in self.keys]
         self.old: list[dict[str, bytes]] = [{} for _ in self.keys]
-        self.part = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def merge(self, part: str, key: int) -> bytes:
         """Ids of one part by the agenda."""
@@ -205,8 +206,9 @@ class Encoder:
         return found
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
-        """Ids of whole texts; a text's key chooses the streams of its words. NULL gives NULL."""
+        """Ids of whole texts; a text's key chooses the streams of its lines. NULL gives NULL."""
         space = array("i", [self.v.byte_ids[b] for b in MARK.encode()]).tobytes()
+        line_end = array("i", [self.v.byte_ids[10]]).tobytes()
         found: list[list[bytes | None] | None] = []
         missing: list[dict[str, list]] = [{} for _ in self.keys]
         for text, key in zip(texts, keys):
@@ -217,17 +219,19 @@ class Encoder:
             for at, segment in enumerate((" " + text).split(MARK) if text else []):
                 if at:
                     out.append(space)
-                parts = self.part.findall(segment.replace(" ", MARK))
-                streams = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64((key + at) & (2**64 - 1))) >> np.uint64(32)
-                streams = (streams % np.uint64(len(self.keys))).tolist()
-                new = self.new
-                values = [new[s].get(p) for p, s in zip(parts, streams)]
-                if None in values:
-                    base = len(out)
-                    for i, x in enumerate(values):
-                        if x is None:
-                            missing[streams[i]].setdefault(parts[i], []).append((out, base + i))
-                out += values
+                lines = segment.replace(" ", MARK).split("\n")
+                streams = mix(np.arange(len(lines), dtype=np.uint64) + np.uint64((key + at) & (2**64 - 1))) >> np.uint64(32)
+                for k, (line, stream) in enumerate(zip(lines, (streams % np.uint64(len(self.keys))).tolist())):
+                    if k:
+                        out.append(line_end)
+                    parts = self.part.findall(line)
+                    values = list(map(self.new[stream].get, parts))
+                    if None in values:
+                        base = len(out)
+                        for i, x in enumerate(values):
+                            if x is None:
+                                missing[stream].setdefault(parts[i], []).append((out, base + i))
+                    out += values
             found.append(out)
         for stream, places in enumerate(missing):
             if not places:
@@ -236,8 +240,10 @@ class Encoder:
             old, new = self.old[stream], self.new[stream]
             got = {p: x for p in parts if (x := old.get(p)) is not None}
             short = [p for p in parts if p not in got and len(p) <= _SHORT]
-            if short:
-                got.update(zip(short, self.merge_all(short, self.keys[stream])))
+            short.sort(key=len)
+            for a in range(0, len(short), _ROWS):
+                some = short[a : a + _ROWS]
+                got.update(zip(some, self.merge_all(some, self.keys[stream])))
             if len(new) >= _KEPT:
                 self.old[stream] = new
                 new = self.new[stream] = {}
