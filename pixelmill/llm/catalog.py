@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import language, line_runs, mixing, near_duplicates, pieces
+from pixelmill.llm import conversations, html_wrappers, language, line_runs, mixing, near_duplicates, pieces, secrets_crf, weak_quality, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_order_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates per document."""
     return near_duplicates.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
@@ -24,11 +28,31 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weak_quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op5_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    found = conversations.render(conversations.maximal(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), "copies", "rendered")
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs."""
     return line_runs.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets_crf.scan(docs, secrets_crf.fit(docs))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,6 +63,17 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
+_SNAPSHOTS_SQL = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+                  COALESCE(length(role) || ':' || role, '-') || '|' || COALESCE(length(text) || ':' || text, '-') AS turn_key FROM conversations),
+h AS (SELECT *, list(turn_key) OVER (PARTITION BY conv_id ORDER BY k) AS p, COUNT(*) OVER (PARTITION BY conv_id) AS n FROM t),
+w AS (SELECT p, MIN(conv_id) AS conv_id, COUNT(*) AS copies FROM h WHERE k = n GROUP BY p),
+kept AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.k < h.n AND h.p = w.p))
+SELECT kept.conv_id, COUNT(*) AS n_turns, ANY_VALUE(kept.copies) AS copies,
+       string_agg('<|im_start|>' || replace(replace(COALESCE(role, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
+                  || replace(replace(COALESCE(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
+FROM kept JOIN t ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY kept.conv_id"""
+
 _LINE_RUNS_SQL = """
 WITH lines AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
                FROM documents WHERE text IS NOT NULL),
@@ -76,8 +111,9 @@ SELECT doc_id, size, g.source_size::BIGINT AS source_size, g.target,
        CAST(size * (g.copies + CASE WHEN g.copies < 2 AND b < k.edge THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized JOIN g ON sized.source IS NOT DISTINCT FROM g.source JOIN k ON sized.source IS NOT DISTINCT FROM k.source"""
 
-QUERIES = {f.__name__: f for f in (op2_order_min_hash, op3_language_id, op6_line_runs, op9_mixing, op10_merge_dropout)}
-ORACLES = {"op6_line_runs": _LINE_RUNS_SQL, "op9_mixing": _MIXING_SQL}
+QUERIES = {f.__name__: f for f in (op1_wrappers, op2_order_min_hash, op3_language_id, op4_weak_quality, op5_snapshots, op6_line_runs, op7_winnowing, op8_secrets,
+                                   op9_mixing, op10_merge_dropout)}
+ORACLES = {"op5_snapshots": _SNAPSHOTS_SQL, "op6_line_runs": _LINE_RUNS_SQL, "op9_mixing": _MIXING_SQL}
 
 
 def queries():

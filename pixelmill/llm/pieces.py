@@ -67,6 +67,13 @@ class Vocabulary:
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
 
 
+    @classmethod
+    def of(cls, fields: dict) -> Vocabulary:
+        """Put together from its broadcast fields."""
+        made = cls.__new__(cls)
+        vars(made).update(fields)
+        return made
+
     def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Open-addressed table from a pair of ids to the id of the joined piece, for lookups by whole arrays."""
         keys, values = np.full(1 << _TABLE_BITS, -1, np.int64), np.full(1 << _TABLE_BITS, -1, np.int32)
@@ -270,13 +277,13 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """Add ``ids`` (array<int>) and ``lossless``, whether the ids decode to the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())  # of the vocabulary's size, whatever the documents
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary()))  # of the vocabulary's size, whatever the documents
     keyed = docs.withColumn("_key", F.xxhash64("doc_id"))
     schema = widened(docs, ids=T.ArrayType(T.IntegerType()), lossless=T.BooleanType())
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         encoder = Encoder(v, seed, dropout)
         for batch in bounded(batches, "text"):
             texts, keys = batch["text"].to_pylist(), batch["_key"].to_pylist()
@@ -293,13 +300,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SE
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text that an array of ids stands for; NULL for NULL."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary()))
     schema = widened(encoded, **{out: T.StringType()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary.of(shared.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else decode_ids(shared.value, np.array(x, np.int64)) for x in lists.to_pylist()]
+            texts = [None if x is None else decode_ids(v, np.array(x, np.int64)) for x in lists.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
