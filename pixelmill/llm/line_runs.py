@@ -20,16 +20,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import cut
+from pixelmill.llm.common import cut, unused
 
 MIN_WORDS = 50
-_BLANK = "' \\t\\r\\f\\u000b'"
+_BLANK = " \t\r\f\x0b"
 _BUCKET_BITS = 12
 
 
 def sequences(docs: DataFrame) -> DataFrame:
     """(doc_id, tk, k, i, h, w): k-th line with a word, its index in the text, its ID and its number of words."""
-    trim = lambda x, i: F.struct(i.alias("i"), F.call_function("btrim", x, F.expr(_BLANK)).alias("x"))
+    trim = lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_BLANK)).alias("x"))
     trimmed = F.filter(F.transform(F.split("text", "\n"), trim), lambda s: s["x"] != "")
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode(trimmed).alias("k", "s"))
     n = F.size(F.split("s.x", "[ \\t\\r\\f\\x0B]+"))
@@ -117,12 +117,13 @@ def repeated_ranges(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of line runs taken out of ``text``, and ``n_lines``, ``n_deleted`` (lines; NULL text has 0)."""
-    ranges = repeated_ranges(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), "ranges").hint("shuffle_hash")
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
-    joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["_d"]) & (keyed["_k"] == ranges["_t"]), "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.exists("ranges", lambda r: (i >= r["s"]) & (i <= r["e"])))
-    gone = F.coalesce(F.aggregate("ranges", F.lit(0), lambda n, r: n + r["e"] - r["s"] + 1), F.lit(0))
-    return joined.select(*[F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) if c == "text" else keyed[c]
+    found, key = unused(docs, "_ranges"), unused(docs, "_tk")
+    ranges = repeated_ranges(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), F.col("ranges").alias(found)).hint("shuffle_hash")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(ranges, keyed["doc_id"].eqNullSafe(ranges["_d"]) & (keyed[key] == ranges["_t"]), "left")
+    lines = F.split(keyed["text"], "\n")
+    left = F.filter(lines, lambda x, i: ~F.exists(found, lambda r: (i >= r["s"]) & (i <= r["e"])))
+    gone = F.coalesce(F.aggregate(found, F.lit(0), lambda n, r: n + r["e"] - r["s"] + 1), F.lit(0))
+    return joined.select(*[F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias(c) if c == "text" else keyed[c]
                            for c in docs.columns],
                          F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"), gone.cast("bigint").alias("n_deleted"))
