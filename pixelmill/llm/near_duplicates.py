@@ -6,9 +6,10 @@ same order: sensitive to edits, not only to the set of shingles. Similarity is t
 order, c / (n1 + n2 - c), at least 0.8. An alignment that reaches it leaves at most (n1 + n2) / 9 shingles unmatched, which bounds its
 band; the longest common subsequence inside the band is found with bit vectors.
 
-Equal texts are one node. Inside a bucket no pairs are formed: every member is compared with the bucket's leader, the node that
-shares most buckets over all tables (the hub of a group of copies), and a second family of buckets keyed by two successive tables has
-leaders of its own, so that a member whose first leader is unlike it still meets its kin. Candidates are at most one per node and table.
+Equal texts are one node. Inside a bucket no pairs are formed: members are compared with the bucket's leader, the node that shares
+most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. Buckets that then still hold several
+components elect their next leader, and so on until a round finds no link. A second family of buckets, keyed by two successive tables,
+has leaders of its own. A round forms at most one pair per node and bucket.
 
 Edge cases: equal texts always share a class; a NULL text is a class of its own per doc_id; a text of fewer than five words is one
 shingle; a text without a word is only like texts equal to it; rows that repeat get the same class; an empty table gives no rows.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bounded, cut, mix, shingles, word_hashes
+from pixelmill.llm.common import bounded, cut, mix, shingles, unused, word_hashes
 from pixelmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -141,25 +142,43 @@ def _text_key():
     return F.unhex(F.md5(F.when(F.col("text").isNull(), own).otherwise(F.concat(F.lit("text:"), F.col("text"))).cast("binary")))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b): b against the leader a of a bucket that both are in. ``nodes`` has (node, sketch)."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(t, h, node, w, tie) of the buckets with several members. w: members of all buckets of a node, high for the hub of a group."""
     entries = nodes.select("node", F.posexplode("sketch").alias("t", "h"))
     shared = entries.groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(entries.join(shared, ["t", "h"]))
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    leaders = members.join(weight, "node").groupBy("t", "h").agg(F.max(F.struct("w", "node"))["node"].alias("a"))
-    return members.join(leaders, ["t", "h"]).filter("node <> a").select("a", F.col("node").alias("b")) \
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(members.join(weight, "node").select("t", "h", "node", "w", F.xxhash64("t", "node").alias("tie")))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v) of verified pairs of different texts; ``docs`` has (node, text)."""
-    pairs = cut(candidates(nodes))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = cut(docs.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
-        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary").toDF("u", "v")
+    """(node, root) of the nodes that are alike some other one; ``docs`` has (node, text).
+
+    Round by round, every bucket that still holds several components elects its next leader, and members of other components are
+    compared with it. It ends with the first round that finds no further link."""
+    members = shared_buckets(nodes)
+    texts = cut(docs.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").distinct(), "node", "left_semi"))
+    spark = docs.sparkSession
+    led = tested = found = None
+    roots = spark.createDataFrame([], "node binary, root binary")
+    while True:
+        rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
+        rows = cut(rows.join(buckets, ["t", "h"]))
+        able = rows if led is None else rows.join(led, ["t", "h"]).filter(F.struct("w", "tie") < F.col("last"))
+        leaders = cut(able.groupBy("t", "h").agg(F.max(F.struct("w", "tie", "node", "root")).alias("l"))
+                      .select("t", "h", F.col("l.node").alias("a"), F.col("l.root").alias("a_root"), F.struct("l.w", "l.tie").alias("last")))
+        led = leaders.select("t", "h", "last")
+        pairs = rows.join(leaders, ["t", "h"]).filter("root <> a_root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
+            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        new = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary").toDF("u", "v"))
+        if new.isEmpty():
+            return roots
+        tested = pairs if tested is None else tested.union(pairs)
+        found = new if found is None else found.union(new)
+        roots = cut(components(found))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -168,7 +187,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = cut(keyed.mapInArrow(_sketches, "doc_id bigint, node binary, sketch array<bigint>"))
     nodes = rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
-    roots = components(links(keyed.select("node", "text"), nodes.select("node", "sketch")))
+    roots = links(keyed.select("node", "text"), nodes.select("node", "sketch"))
     rooted = cut(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = rooted.join(sizes, "root").select("node", "class_id", "class_size")
@@ -178,6 +197,7 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The row of least doc_id of every class, with the columns of ``docs``; of rows that repeat a doc_id one is kept."""
     kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct()
-    keyed = docs.withColumn("_k", _text_key())
-    found = keyed.join(kept.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed["_k"] == kept["_n"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_k"]).select(*docs.columns)
+    key = unused(docs, "_node")
+    keyed = docs.withColumn(key, _text_key())
+    found = keyed.join(kept.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed[key] == kept["_n"]), "left_semi")
+    return found.dropDuplicates(["doc_id", key]).select(*docs.columns)
