@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import language, line_runs, mixing, near_duplicates, pieces
-from pixelmill.llm.common import checkpoint_folder
+from pixelmill.llm.common import checkpoint_folder, unused
 
 #: A prediction of lower posterior probability rejects the document.
 SURE = 0.5
@@ -17,8 +17,9 @@ SURE = 0.5
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; NULL and letterless texts go."""
     model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.identify(docs, model, out=("_lang", "_score"))
-    return found.filter((F.col("_lang") != language.UNKNOWN) & (F.col("_score") >= SURE)).select(*docs.columns)
+    lang, score = unused(docs, "_lang"), unused(docs, "_score")
+    found = language.identify(docs, model, out=(lang, score))
+    return found.filter((F.col(lang) != language.UNKNOWN) & (F.col(score) >= SURE)).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two rows each."""
     taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("copies").alias("_c")).distinct()
     joined = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_d"]))
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*docs.columns)
+    return joined.withColumn(unused(docs, "_copy"), F.explode(F.sequence(F.lit(1), taken["_c"]))).select(*[docs[c] for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that a DataFrame doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def widened(df: DataFrame, **added: T.DataType) -> T.StructType:
     """Schema of a DataFrame with further columns."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, t) for k, t in added.items())])

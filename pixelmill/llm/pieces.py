@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelmill.llm.common import bounded, mix, widened
+from pixelmill.llm.common import bounded, mix, unused, widened
 
 MARK = "▁"
 SEED, DROPOUT, VARIANTS = 17, 0.1, 4
@@ -278,7 +278,8 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """Add ``ids`` (array<int>) and ``lossless``, whether the ids decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary()))  # of the vocabulary's size, whatever the documents
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id"))
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id"))
     schema = widened(docs, ids=T.ArrayType(T.IntegerType()), lossless=T.BooleanType())
     names = docs.columns
 
@@ -286,7 +287,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SE
         v = Vocabulary.of(shared.value)
         encoder = Encoder(v, seed, dropout)
         for batch in bounded(batches, "text"):
-            texts, keys = batch["text"].to_pylist(), batch["_key"].to_pylist()
+            texts, keys = batch["text"].to_pylist(), batch[key].to_pylist()
             found = encoder.encode_all(texts, keys)
             same = [None if t is None else decode_ids(v, x) == t for t, x in zip(texts, found)]
             offsets = np.cumsum([0, *(0 if x is None else len(x) for x in found)]).astype(np.int32)

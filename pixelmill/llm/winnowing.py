@@ -80,7 +80,7 @@ def in_falling_order(docs: DataFrame) -> DataFrame:
     n = _RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.col("doc_id").cast("double"))
     probs = F.expr("array(" + ",".join(f"{k / n!r}D" for k in range(1, n)) + ")")
-    cuts = ids.agg(F.percentile_approx("_id", probs, F.lit(4 * n)).alias("c")).head()["c"] or []  # as many as there are ranges
+    cuts = ids.agg(F.percentile_approx("_id", probs, F.lit(4 * n)).alias("c")).head()["c"] or [0.0]  # as many as there are ranges
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_id", outputCol="_b", handleInvalid="keep").transform(ids)
     last = len(splits) - 1
