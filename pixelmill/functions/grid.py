@@ -16,27 +16,37 @@ WEST = -20015109.354
 NORTH = 10007554.677
 CELLS = 1200
 
-# Horizontal ranges (first, last) of the tiles with land, per vertical index 0..17.
-LAND_TILES = {
-    0: [(14, 21)],
-    1: [(12, 23)],
-    2: [(9, 26)],
-    3: [(6, 15), (17, 29)],
-    4: [(8, 14), (17, 28)],
-    5: [(7, 12), (15, 30)],
-    6: [(2, 3), (7, 11), (16, 31)],
-    7: [(1, 1), (3, 3), (7, 12), (15, 34)],
-    8: [(0, 2), (8, 13), (16, 23), (25, 35)],
-    9: [(0, 4), (8, 14), (16, 16), (18, 23), (25, 25), (27, 35)],
-    10: [(0, 5), (10, 14), (17, 17), (19, 23), (27, 35)],
-    11: [(1, 6), (8, 8), (10, 15), (19, 23), (27, 33)],
-    12: [(11, 13), (16, 17), (19, 20), (24, 24), (27, 32)],
-    13: [(5, 5), (12, 13), (17, 17), (20, 22), (28, 31)],
-    14: [(13, 16), (18, 18), (22, 22), (27, 28)],
-    15: [(15, 15), (17, 24)],
-    16: [(14, 23)],
-    17: [(14, 21)],
-}
+# The (v, h) of the tiles with land.
+LAND_TILES = [
+    (0, 14), (0, 15), (0, 16), (0, 17), (0, 18), (0, 19), (0, 20), (0, 21),
+    (1, 12), (1, 13), (1, 14), (1, 15), (1, 16), (1, 17), (1, 18), (1, 19), (1, 20), (1, 21), (1, 22), (1, 23),
+    (2, 9), (2, 10), (2, 11), (2, 12), (2, 13), (2, 14), (2, 15), (2, 16), (2, 17), (2, 18), (2, 19), (2, 20), (2, 21), (2, 22), (2, 23),
+    (2, 24), (2, 25), (2, 26),
+    (3, 6), (3, 7), (3, 8), (3, 9), (3, 10), (3, 11), (3, 12), (3, 13), (3, 14), (3, 15), (3, 17), (3, 18), (3, 19), (3, 20), (3, 21),
+    (3, 22), (3, 23), (3, 24), (3, 25), (3, 26), (3, 27), (3, 28), (3, 29),
+    (4, 8), (4, 9), (4, 10), (4, 11), (4, 12), (4, 13), (4, 14), (4, 17), (4, 18), (4, 19), (4, 20), (4, 21), (4, 22), (4, 23), (4, 24),
+    (4, 25), (4, 26), (4, 27), (4, 28),
+    (5, 7), (5, 8), (5, 9), (5, 10), (5, 11), (5, 12), (5, 15), (5, 16), (5, 17), (5, 18), (5, 19), (5, 20), (5, 21), (5, 22), (5, 23),
+    (5, 24), (5, 25), (5, 26), (5, 27), (5, 28), (5, 29), (5, 30),
+    (6, 2), (6, 3), (6, 7), (6, 8), (6, 9), (6, 10), (6, 11), (6, 16), (6, 17), (6, 18), (6, 19), (6, 20), (6, 21), (6, 22), (6, 23),
+    (6, 24), (6, 25), (6, 26), (6, 27), (6, 28), (6, 29), (6, 30), (6, 31),
+    (7, 1), (7, 3), (7, 7), (7, 8), (7, 9), (7, 10), (7, 11), (7, 12), (7, 15), (7, 16), (7, 17), (7, 18), (7, 19), (7, 20), (7, 21),
+    (7, 22), (7, 23), (7, 24), (7, 25), (7, 26), (7, 27), (7, 28), (7, 29), (7, 30), (7, 31), (7, 32), (7, 33), (7, 34),
+    (8, 0), (8, 1), (8, 2), (8, 8), (8, 9), (8, 10), (8, 11), (8, 12), (8, 13), (8, 16), (8, 17), (8, 18), (8, 19), (8, 20), (8, 21),
+    (8, 22), (8, 23), (8, 25), (8, 26), (8, 27), (8, 28), (8, 29), (8, 30), (8, 31), (8, 32), (8, 33), (8, 34), (8, 35),
+    (9, 0), (9, 1), (9, 2), (9, 3), (9, 4), (9, 8), (9, 9), (9, 10), (9, 11), (9, 12), (9, 13), (9, 14), (9, 16), (9, 18), (9, 19),
+    (9, 20), (9, 21), (9, 22), (9, 23), (9, 25), (9, 27), (9, 28), (9, 29), (9, 30), (9, 31), (9, 32), (9, 33), (9, 34), (9, 35),
+    (10, 0), (10, 1), (10, 2), (10, 3), (10, 4), (10, 5), (10, 10), (10, 11), (10, 12), (10, 13), (10, 14), (10, 17), (10, 19), (10, 20), (10, 21),
+    (10, 22), (10, 23), (10, 27), (10, 28), (10, 29), (10, 30), (10, 31), (10, 32), (10, 33), (10, 34), (10, 35),
+    (11, 1), (11, 2), (11, 3), (11, 4), (11, 5), (11, 6), (11, 8), (11, 10), (11, 11), (11, 12), (11, 13), (11, 14), (11, 15), (11, 19), (11, 20),
+    (11, 21), (11, 22), (11, 23), (11, 27), (11, 28), (11, 29), (11, 30), (11, 31), (11, 32), (11, 33),
+    (12, 11), (12, 12), (12, 13), (12, 16), (12, 17), (12, 19), (12, 20), (12, 24), (12, 27), (12, 28), (12, 29), (12, 30), (12, 31), (12, 32),
+    (13, 5), (13, 12), (13, 13), (13, 17), (13, 20), (13, 21), (13, 22), (13, 28), (13, 29), (13, 30), (13, 31),
+    (14, 13), (14, 14), (14, 15), (14, 16), (14, 18), (14, 22), (14, 27), (14, 28),
+    (15, 15), (15, 17), (15, 18), (15, 19), (15, 20), (15, 21), (15, 22), (15, 23), (15, 24),
+    (16, 14), (16, 15), (16, 16), (16, 17), (16, 18), (16, 19), (16, 20), (16, 21), (16, 22), (16, 23),
+    (17, 14), (17, 15), (17, 16), (17, 17), (17, 18), (17, 19), (17, 20), (17, 21),
+]
 
 
 def _num(c) -> Column:
@@ -84,8 +94,7 @@ def off_globe(v: Column, h: Column, i: Column, j: Column, res: int = 1) -> Colum
 
 def known_tile(v: Column, h: Column) -> Column:
     """True for tiles with land, without a join: one bit per h in a number per v."""
-    masks = F.array(*[F.lit(sum(1 << k for first, last in LAND_TILES[row] for k in range(first, last + 1))).cast("bigint")
-                      for row in sorted(LAND_TILES)])
+    masks = F.array(*[F.lit(sum(1 << k for row, k in LAND_TILES if row == v0)).cast("bigint") for v0 in range(18)])
     mask = F.when(h.between(0, 35), F.get(masks, v))
     return F.coalesce(F.getbit(mask, h) == 1, F.lit(False))
 

@@ -61,20 +61,20 @@ def with_layers(cells: DataFrame, layers: Mapping[str, DataFrame], on: Sequence[
     return cells
 
 
-GROUP_LIMIT = 1000  # Spark cuts a ranked group before the shuffle below this (windowGroupLimitThreshold)
+SLOTS = 64  # parts of a group that are ranked on their own first
 
 
 def cap_per_group(df: DataFrame, group: Sequence[str], key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """At most n rows per group, chosen by key hash.
+    """At most n rows per group, those of least key hash; rows that repeat a key count each.
 
-    A small n is a ranked window, of which each map task keeps n rows per group before the shuffle. A large
-    n is settled by counts per hash bucket. Either way a hot group does not meet in one task.
+    Rows are ranked inside hash slots of their group first, and only the first n of every slot are ranked again, so a hot
+    group does not meet in one task.
     """
-    if n >= GROUP_LIMIT:
-        return ranks.first_by_hash(df, key, seed, F.lit(n), group, "_sel").filter("_sel").drop("_sel")
-    h = ranks.key_hash([F.col(k) for k in key], seed)
-    w = Window.partitionBy(*group).orderBy("_h", *key)
-    return df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r", "_h")
+    slotted = df.withColumn("_h", ranks.key_hash([F.col(k) for k in key], seed)).withColumn("_s", F.pmod("_h", F.lit(SLOTS)))
+    for parts in ([*group, "_s"], group):
+        w = Window.partitionBy(*parts).orderBy("_h", *key)
+        slotted = slotted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    return slotted.drop("_h", "_s")
 
 
 def where_cells(cells: DataFrame, condition: Callable[..., Column], *, res: int = 1, meta: g.GridMeta | None = None,

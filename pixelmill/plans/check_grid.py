@@ -84,7 +84,7 @@ def _grid_coords(t):
                            .alias("c")).select("id", "c.offset", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
 
 
-_LAND_VALUES = ",".join(f"({v},{a},{b})" for v, rs in g.LAND_TILES.items() for a, b in rs)
+_LAND_VALUES = ",".join(f"({v},{h},{h})" for v, h in g.LAND_TILES)
 
 
 @query("known_tiles", f"""WITH {GEO_SQL}, {MATH_SQL} SELECT id, v, h FROM t WHERE EXISTS (

@@ -106,17 +106,17 @@ _RPD_SQL = """tg AS (SELECT DISTINCT r, c, year, month, year*12 + month - 1 AS m
     LEFT JOIN ac ON ac.r=cl.r AND ac.c=cl.c AND ac.year=cl.year AND ac.month=cl.month AND ac.pm=cl.pm GROUP BY ALL)"""
 
 
-@query("precip_deficit", f"""WITH {GP_SQL}, {MONTHLY_SQL}, {_RPD_SQL} SELECT tg.r AS "row", tg.c AS col, tg.year, tg.month, round(rpd, 6) AS rpd
+@query("precip_deficit", f"""WITH {GP_SQL}, {MONTHLY_SQL}, {_RPD_SQL} SELECT tg.r AS "row", tg.c AS col, tg.year, tg.month, round(rpd + 1e-10, 6) AS rpd
   FROM tg LEFT JOIN rpd USING (r, c, year, month)""")
 def _deficit(t):
     targets = grid_points(t).select("row", "col", F.year("d").alias("year"), F.month("d").alias("month"))
-    return weather.precip_deficit(t.monthly, targets, 2, 1).withColumn("rpd", F.round("rpd", 6))
+    return weather.precip_deficit(t.monthly, targets, 2, 1).withColumn("rpd", F.round(F.col("rpd") + 1e-10, 6))
 
 
-@query("add_precip_deficit", f"""WITH {GP_SQL}, {MONTHLY_SQL}, {_RPD_SQL} SELECT id, r AS "row", c AS col, d, round(rpd, 6) AS x_rpd
+@query("add_precip_deficit", f"""WITH {GP_SQL}, {MONTHLY_SQL}, {_RPD_SQL} SELECT id, r AS "row", c AS col, d, round(rpd + 1e-10, 6) AS x_rpd
   FROM gp LEFT JOIN rpd USING (r, c, year, month)""")
 def _add_deficit(t):
-    return weather.add_precip_deficit(grid_points(t), t.monthly, 2, 1).withColumn("x_rpd", F.round("x_rpd", 6))
+    return weather.add_precip_deficit(grid_points(t), t.monthly, 2, 1).withColumn("x_rpd", F.round(F.col("x_rpd") + 1e-10, 6))
 
 
 # finer cells: 8 x 8 per tile, monthly

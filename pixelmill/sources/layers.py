@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import scalars as s
 
+# Names of the header lines of ASCII grids.
+HEADER = ("nrows", "ncols", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value")
+
 # Fixed value: form of a well-formed layer file name.
 LAYER_NAME = r"^[A-Z_0-9]+\.A[12]\d{6}\.h\d\dv\d\d\.\d{3}\.\d{8,}\.hdf$"
 
@@ -48,12 +51,11 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_id"), F.trim("value").alias("value")).filter("value <> ''")
-    is_header = F.col("value").rlike("^[A-Za-z]")
+    is_header = F.lower(F.regexp_extract("value", r"^(\S+)", 1)).isin(*HEADER)
     header = lines.filter(is_header).select(
         "path", F.lower(F.regexp_extract("value", r"^(\S+)", 1)).alias("k"),
         F.regexp_extract("value", r"\s(\S+)$", 1).cast("double").alias("x")) \
-        .groupBy("path").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(k) for k in (
-            "nrows", "ncols", "xllcorner", "yllcorner", "cellsize", "nodata_value")])
+        .groupBy("path").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(k) for k in HEADER])
     data = lines.filter(~is_header)
     before = Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = data.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n")) \
@@ -62,10 +64,12 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     rows = data.withColumn("row", in_block).join(offsets, ["path", "_blk"]) \
         .withColumn("row", (F.col("row") + F.col("_off")).cast("int"))
     cells = rows.select("path", "row", F.posexplode(F.split("value", r"\s+")).alias("col", "_t")).join(header, "path")
-    value = F.col("_t").cast("double")
+    value = F.nanvl(F.col("_t").cast("double"), F.lit(None).cast("double"))
+    west = F.coalesce(F.col("xllcorner"), F.col("xllcenter") - F.col("cellsize") / 2)
+    south = F.coalesce(F.col("yllcorner"), F.col("yllcenter") - F.col("cellsize") / 2)
     return cells.select(
-        "path", "row", "col", (F.col("xllcorner") + (F.col("col") + 0.5) * F.col("cellsize")).alias("x"),
-        (F.col("yllcorner") + (F.col("nrows") - F.col("row") - 0.5) * F.col("cellsize")).alias("y"),
+        "path", "row", "col", (west + (F.col("col") + 0.5) * F.col("cellsize")).alias("x"),
+        (south + (F.col("nrows") - F.col("row") - 0.5) * F.col("cellsize")).alias("y"),
         F.when(F.col("nodata_value").isNull() | ~s.isclose(value, F.col("nodata_value")), value).alias("value"))
 
 

@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 # Patterns of product listings and of the date part of a listing link.
 TOPDIR = r"/[A-Z]+/?$"
 PRODUCT = r"(?<=/)[A-Z_0-9]+\.[0-9]+(?=/$)"
-LINK_DATE = r"(\d{4}\.\d{2}\.\d{2})"
+LINK_DATE = r"[12][0-9]{3}\.[01][0-9]\.[0-3][0-9]"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
+def fold_dots(path: Column) -> Column:
+    """Path without ``.`` and ``..`` segments, of any depth; what follows ? or # stays as it is."""
+    place = F.regexp_extract(path, r"^([^?#]*)", 1)
+    rest = F.substring(path, F.length(place) + 1, 1 << 30)
+    parts = F.split(place, "/")
+    # a last . or .. stands for a folder, so an empty name follows it
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(x == ".", acc)
+                       .when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), rest)
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of a link found on page ``base``."""
     root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
@@ -19,15 +31,10 @@ def resolve(base: Column, href: Column) -> Column:
     bare = F.regexp_replace(base, r"[?#].*$", "")
     has_path = bare.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/]*/")
     folder = F.when(has_path, F.regexp_replace(bare, r"[^/]*$", "")).otherwise(F.concat(bare, F.lit("/")))
-    joined = F.concat(folder, href)
-    # ./ and name/../ are folded away; three passes cover links that go up three levels
-    path = joined
-    for _ in range(3):
-        path = F.regexp_replace(path, r"/\./", "/")
-        path = F.regexp_replace(path, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
+    path = F.concat(root, fold_dots(F.substring(F.concat(folder, href), F.length(root) + 1, 1 << 30)))
     return F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href) \
         .when(href.startswith("//"), F.concat(scheme, href)) \
-        .when(href.startswith("/"), F.concat(root, href)) \
+        .when(href.startswith("/"), F.concat(root, fold_dots(href))) \
         .when(href == "", base) \
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href)) \
         .when(href.startswith("?"), F.concat(bare, href)).otherwise(path)
@@ -54,10 +61,13 @@ def product_urls(links: DataFrame, topdir_regex: str | None = None, product_rege
 
 
 def dated_links(links: DataFrame, min_date, max_date, file_regex: str | None = None) -> DataFrame:
-    """Links whose yyyy.mm.dd part lies in [min_date, max_date]."""
-    stamp = F.regexp_extract("link", LINK_DATE, 1)
-    out = links.withColumn("date", F.to_date(F.nullif(stamp, F.lit("")), "yyyy.MM.dd")) \
-        .filter(F.col("date").between(min_date, max_date))
+    """Links whose yyyy.mm.dd part lies in [min_date, max_date]; either limit may be None. What is no date is left out."""
+    stamp = F.nullif(F.regexp_extract("link", LINK_DATE, 0), F.lit(""))
+    out = links.withColumn("date", F.try_to_timestamp(stamp, F.lit("yyyy.MM.dd")).cast("date")).filter(F.col("date").isNotNull())
+    if min_date is not None:
+        out = out.filter(F.col("date") >= min_date)
+    if max_date is not None:
+        out = out.filter(F.col("date") <= max_date)
     return out if file_regex is None else out.filter(F.col("link").rlike(file_regex))
 
 
