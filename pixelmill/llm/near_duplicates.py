@@ -8,8 +8,8 @@ band; the longest common subsequence inside the band is found with bit vectors.
 
 Equal texts are one node. Inside a bucket no pairs are formed: members are compared with the bucket's leader, the node that shares
 most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. Buckets that then still hold several
-components elect their next leader, and so on until a round finds no link. A second family of buckets, keyed by two successive tables,
-has leaders of its own. A round forms at most one pair per node and bucket.
+components are dealt into ``LEADERS`` parts by hash, each part elects its next leader, and so on until a round finds no link. A second
+family of buckets, keyed by two successive tables, has leaders of its own. A round forms at most ``LEADERS`` pairs per node and bucket.
 
 Edge cases: equal texts always share a class; a NULL text is a class of its own per doc_id; a text of fewer than five words is one
 shingle; a text without a word is only like texts equal to it; rows that repeat get the same class; an empty table gives no rows.
@@ -29,6 +29,7 @@ from pixelmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
+LEADERS = 4  # per bucket and round, after the first round with one
 _WIDE = 1 << 19  # hash values computed at once
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -134,7 +135,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != last:  # pairs of one leader follow each other as the join emits them
                 last, ids_a = a, shingles(word_hashes(batch["text_a"][i].as_py()), WORDS)
             keep.append(similarity(ids_a, shingles(word_hashes(batch["text_b"][i].as_py()), WORDS)) >= SIMILARITY - 1e-9)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(keep, pa.bool_())], ["a", "b", "alike"])
 
 
 def _text_key():
@@ -143,42 +144,47 @@ def _text_key():
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(t, h, node, w, tie) of the buckets with several members. w: members of all buckets of a node, high for the hub of a group."""
+    """(t, h, node, w, tie, part) of the buckets with several members. w: members of all buckets of a node, high for the hub of a group."""
     entries = nodes.select("node", F.posexplode("sketch").alias("t", "h"))
     shared = entries.groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(entries.join(shared, ["t", "h"]))
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    return cut(members.join(weight, "node").select("t", "h", "node", "w", F.xxhash64("t", "node").alias("tie")))
+    return cut(members.join(weight, "node")
+               .select("t", "h", "node", "w", F.xxhash64("t", "node").alias("tie"), F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are alike some other one; ``docs`` has (node, text).
 
-    Round by round, every bucket that still holds several components elects its next leader, and members of other components are
-    compared with it. It ends with the first round that finds no further link."""
+    In the first round every bucket elects one leader. Then, round by round, the buckets that still hold several components elect the
+    next leader of each part, and members of other components are compared with all of them. It ends with the first round that finds
+    no further link. Components are carried on from round to round: what a round starts from is a star per component and the new links."""
     members = shared_buckets(nodes)
     texts = cut(docs.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").distinct(), "node", "left_semi"))
-    spark = docs.sparkSession
-    led = tested = found = None
-    roots = spark.createDataFrame([], "node binary, root binary")
+    roots = docs.sparkSession.createDataFrame([], "node binary, root binary")
+    led = tested = None
     while True:
         rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
         rows = cut(rows.join(buckets, ["t", "h"]))
-        able = rows if led is None else rows.join(led, ["t", "h"]).filter(F.struct("w", "tie") < F.col("last"))
-        leaders = cut(able.groupBy("t", "h").agg(F.max(F.struct("w", "tie", "node", "root")).alias("l"))
-                      .select("t", "h", F.col("l.node").alias("a"), F.col("l.root").alias("a_root"), F.struct("l.w", "l.tie").alias("last")))
-        led = leaders.select("t", "h", "last")
+        by, able = ["t", "h"], rows
+        if led is not None:
+            able = rows.join(led, [c for c in led.columns if c != "last"]).filter(F.struct("w", "tie") < F.col("last"))
+            by = ["t", "h", "part"]
+        led = cut(able.groupBy(*by).agg(F.max(F.struct("w", "tie", "node", "root")).alias("last")))
+        leaders = led.select("t", "h", F.col("last.node").alias("a"), F.col("last.root").alias("a_root"))
         pairs = rows.join(leaders, ["t", "h"]).filter("root <> a_root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        new = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary").toDF("u", "v"))
+        done = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary, alike boolean"))
+        new = done.filter("alike").select(F.col("a").alias("u"), F.col("b").alias("v"))
         if new.isEmpty():
             return roots
-        tested = pairs if tested is None else tested.union(pairs)
-        found = new if found is None else found.union(new)
-        roots = cut(components(found))
+        led = led.select(*by, F.struct("last.w", "last.tie").alias("last"))
+        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
+        roots = cut(components(new.union(roots.select("node", "root"))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
