@@ -13,14 +13,18 @@ CELL_DAY = ("row", "col", "d")
 
 
 def pack_years(grid: DataFrame, out: str = "series") -> DataFrame:
-    """Daily grid to one array per cell and year, day of year 1 first; missing days are NULL."""
+    """Daily grid to one array per cell and year, day of year 1 first; missing days are NULL. A day that a cell has twice is an error
+    while running."""
     days = F.array_sort(F.collect_list(F.struct(F.dayofyear("date").alias("k"), F.col("value").alias("x"))))
     packed = grid.groupBy("row", "col", F.year("date").alias("_y")).agg(days.alias("_d"))  # at most 366 entries
     gapless = F.transform("_d", lambda e: e["x"])
     none = F.lit(None).cast("double")
     spread = F.aggregate("_d", F.array().cast("array<double>"), lambda a, e: F.concat(
         a, F.array_repeat(none, e["k"] - F.size(a) - 1), F.array(e["x"])))
-    return packed.select("row", "col", "_y", F.when(F.element_at("_d", -1)["k"] == F.size("_d"), gapless).otherwise(spread).alias(out))
+    twice = F.size(F.array_distinct(F.transform("_d", lambda e: e["k"]))) < F.size("_d")
+    series = F.when(twice, F.raise_error(F.lit("a cell has a day twice")).cast("array<double>")) \
+        .when(F.element_at("_d", -1)["k"] == F.size("_d"), gapless).otherwise(spread)
+    return packed.select("row", "col", "_y", series.alias(out))
 
 
 def daily_window_lookup(samples: DataFrame, grid: DataFrame, ndays: int, out: str = "lags") -> DataFrame:

@@ -282,3 +282,10 @@ def test_outline(spark):
 def test_land_tiles(spark):
     tiles = spark.range(18 * 36).select((F.col("id") / 36).cast("int").alias("v"), (F.col("id") % 36).cast("int").alias("h"))
     assert layers.known_tiles(tiles).count() == 321
+
+
+def test_pack_years_refuses_a_doubled_day(spark):
+    grid = spark.createDataFrame([(0, 0, datetime.date(2001, 1, d), float(d)) for d in (1, 2, 2, 3)], "row int, col int, date date, value double")
+    with pytest.raises(Exception, match="a day twice"):
+        weather.pack_years(grid).collect()
+    assert weather.pack_years(grid.dropDuplicates(["date"])).head()["series"] == [1.0, 2.0, 3.0]
