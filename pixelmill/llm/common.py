@@ -20,9 +20,22 @@ def checkpoint_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+#: Spark drops the shuffle files of a query as it ends, not only when the driver's garbage collection finds them.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the copy lies in the shared checkpoint folder, so a lost executor costs nothing."""
-    checkpoint_folder(df.sparkSession)
+    """Compute once and cut the lineage; the copy lies in the shared checkpoint folder, so a lost executor costs nothing.
+
+    Once the copy is written, the shuffle files behind it go: a job of many rounds holds those of one step only."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        df = df.select("*")  # the setting is read when a DataFrame is made
+    finally:
+        spark.conf.set(_RELEASE, before)
     return df.checkpoint(eager=True)
 
 

@@ -48,7 +48,10 @@ def labelled(ids: np.ndarray) -> np.ndarray:
 
 def sketch(text: str | None) -> np.ndarray:
     """One order min-hash per table, then one per pair of successive tables; empty for a text without a word."""
-    ids = shingles(word_hashes(text or ""), WORDS)
+    return _sketch(shingles(word_hashes(text or ""), WORDS))
+
+
+def _sketch(ids: np.ndarray) -> np.ndarray:
     if not len(ids):
         return ids.view(np.int64)
     ids = labelled(ids)
@@ -67,11 +70,12 @@ def sketch(text: str | None) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches, "text"):
-        found = [sketch(t) for t in batch["text"].to_pylist()]
+        ids = [shingles(word_hashes(t or ""), WORDS) for t in batch["text"].to_pylist()]
+        found = [_sketch(x) for x in ids]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         values = np.concatenate(found) if found else np.empty(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], lists], ["doc_id", "node", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], pa.array([len(x) for x in ids], pa.int32()), lists], ["doc_id", "node", "size", "sketch"])
 
 
 def matched(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -135,7 +139,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != last:  # pairs of one leader follow each other as the join emits them
                 last, ids_a = a, shingles(word_hashes(batch["text_a"][i].as_py()), WORDS)
             keep.append(similarity(ids_a, shingles(word_hashes(batch["text_b"][i].as_py()), WORDS)) >= SIMILARITY - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(keep, pa.bool_())], ["a", "b", "alike"])
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in "abuv"), pa.array(keep, pa.bool_())], [*"abuv", "alike"])
 
 
 def _text_key():
@@ -144,56 +148,64 @@ def _text_key():
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(t, h, node, w, tie, part) of the buckets with several members. w: members of all buckets of a node, high for the hub of a group."""
-    entries = nodes.select("node", F.posexplode("sketch").alias("t", "h"))
+    """(t, h, node, size, w, tie, part) of the buckets with several members. w: members of all buckets of a node, high for the hub of a
+    group."""
+    entries = nodes.select("node", "size", F.posexplode("sketch").alias("t", "h"))
     shared = entries.groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(entries.join(shared, ["t", "h"]))
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    return cut(members.join(weight, "node")
-               .select("t", "h", "node", "w", F.xxhash64("t", "node").alias("tie"), F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")))
+    part = F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")
+    return cut(members.join(weight, "node").select("t", "h", "node", "size", "w", F.xxhash64("t", "node").alias("tie"), part))
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that are alike some other one; ``docs`` has (node, text).
+    """(node, root) of the nodes that share a bucket with some other one; ``docs`` has (node, text).
 
     In the first round every bucket elects one leader. Then, round by round, the buckets that still hold several components elect the
     next leader of each part, and members of other components are compared with all of them. It ends with the first round that finds
-    no further link. Components are carried on from round to round: what a round starts from is a star per component and the new links."""
-    members = shared_buckets(nodes)
-    texts = cut(docs.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").distinct(), "node", "left_semi"))
-    roots = docs.sparkSession.createDataFrame([], "node binary, root binary")
+    no further link. A bucket whose members are one component is left out of all later rounds, and the new links of a round join the
+    roots of its components only. A pair whose numbers of shingles differ by more than the similarity allows moves no text."""
+    rows = shared_buckets(nodes)
+    ids = cut(rows.select("node").distinct())
+    texts = cut(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    roots = ids.select("node", F.col("node").alias("root"))
     led = tested = None
     while True:
-        rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rows = rows.join(roots, "node")
         buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
         rows = cut(rows.join(buckets, ["t", "h"]))
         by, able = ["t", "h"], rows
         if led is not None:
             able = rows.join(led, [c for c in led.columns if c != "last"]).filter(F.struct("w", "tie") < F.col("last"))
             by = ["t", "h", "part"]
-        led = cut(able.groupBy(*by).agg(F.max(F.struct("w", "tie", "node", "root")).alias("last")))
-        leaders = led.select("t", "h", F.col("last.node").alias("a"), F.col("last.root").alias("a_root"))
-        pairs = rows.join(leaders, ["t", "h"]).filter("root <> a_root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        led = cut(able.groupBy(*by).agg(F.max(F.struct("w", "tie", "node", "root", "size")).alias("last")))
+        leaders = led.select("t", "h", *(F.col(f"last.{c}").alias(f"a_{c}") for c in ("node", "root", "size")))
+        near = F.least("size", "a_size") >= F.greatest("size", "a_size") * SIMILARITY - 1e-9
+        pairs = rows.join(leaders, ["t", "h"]).filter((F.col("root") != F.col("a_root")) & near) \
+            .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b"),
+                    F.greatest("a_root", "root").alias("u"), F.least("a_root", "root").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
             .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        done = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary, alike boolean"))
-        new = done.filter("alike").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        done = cut(both.select("a", "b", "u", "v", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary, u binary, v binary, alike boolean"))
+        new = done.filter("alike").select("u", "v")
         if new.isEmpty():
             return roots
         led = led.select(*by, F.struct("last.w", "last.tie").alias("last"))
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        roots = cut(components(new.union(roots.select("node", "root"))))
+        moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        rows = rows.drop("root")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, class_size) per row: class_id is the least doc_id of the class, class_size its number of rows."""
     keyed = docs.select("doc_id", "text", _text_key().alias("node"))
-    rows = cut(keyed.mapInArrow(_sketches, "doc_id bigint, node binary, sketch array<bigint>"))
-    nodes = rows.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = cut(keyed.mapInArrow(_sketches, "doc_id bigint, node binary, size int, sketch array<bigint>"))
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
-    roots = links(keyed.select("node", "text"), nodes.select("node", "sketch"))
+    roots = links(keyed.select("node", "text"), nodes.select("node", "size", "sketch"))
     rooted = cut(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = rooted.join(sizes, "root").select("node", "class_id", "class_size")
