@@ -8,7 +8,8 @@ band; the longest common subsequence inside the band is found with bit vectors.
 
 Equal texts are one node. Inside a bucket no pairs are formed: members are compared with the bucket's leader, the node that shares
 most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. Buckets that then still hold several
-components are dealt into ``LEADERS`` parts by hash, each part elects its next leader, and so on until a round finds no link. A second
+components are dealt into ``LEADERS`` parts by hash, each part elects its next leader, and so on until a round finds no link; members of
+buckets still open that never led are then compared by an exact prefix filter over their rarest shingles, so a crowd hides no pair. A second
 family of buckets, keyed by two successive tables, has leaders of its own. A round forms at most ``LEADERS`` pairs per node and bucket.
 
 Edge cases: equal texts always share a class; a NULL text is a class of its own per doc_id; a text of fewer than five words is one
@@ -31,6 +32,7 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
 LEADERS = 4  # per bucket and round, after the first round with one
 _WIDE = 1 << 19  # hash values computed at once
+_SLOT_BITS = 18
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -158,18 +160,79 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return cut(members.join(weight, "node").select("t", "h", "node", "size", "w", F.xxhash64("t", "node").alias("tie"), part))
 
 
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
+        .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "u", "v", "text_a", "text_b")
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << _SLOT_BITS, np.int64)
+    for batch in bounded(batches, "text"):
+        ids = [mix(labelled(shingles(word_hashes(t or ""), WORDS))) for t in batch["text"].to_pylist()]
+        counts += np.bincount(_slots(np.concatenate(ids)), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+
+def rare_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, u, v) of every pair of ``left`` (node, root) of different roots that can be alike: an exact prefix filter.
+
+    All shingles have one order, seldom ones first. Two texts of the similarity share a shingle among the first (1 - SIMILARITY) n + 1 of
+    both, and the first one they share leaves enough behind it in both. The order needs the counts only to keep what many texts have
+    out of these prefixes, so shingles are counted by slots of their hash, a table of fixed size."""
+    held = left.join(texts, "node").select("node", "root", "text")
+    found = held.select("text").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << _SLOT_BITS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = held.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in bounded(batches, "text"):
+            own, size, row = [], [], []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                ids = mix(labelled(shingles(word_hashes(text or ""), WORDS)))
+                n = len(ids)
+                first = ids[np.lexsort((ids, often[_slots(ids)]))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                own.append(first)
+                size.append(np.full(len(first), n, np.int32))
+                row.append(np.full(len(first), i, np.int64))
+            row = pa.array(np.concatenate(row))
+            at = np.concatenate([np.arange(len(x), dtype=np.int32) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(at), pa.array(np.concatenate(size)), batch["node"].take(row), batch["root"].take(row)],
+                                             ["s", "at", "size", "node", "root"])
+
+    entries = held.mapInArrow(prefixes, "s bigint, at int, size int, node binary, root binary")
+    entries = cut(entries)
+    several = entries.groupBy("s").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("s")
+    entries = cut(entries.join(several, "s"))
+    groups = entries.select("s", "root").distinct()  # members of one component never meet each other
+    met = groups.withColumnRenamed("root", "u").join(groups.withColumnRenamed("root", "v"), "s").filter("u > v")
+    x, y = (entries.select("s", F.col("root").alias(r), *(F.col(c).alias(f"{c}_{r}") for c in ("node", "size", "at"))) for r in "uv")
+    need = (F.col("size_u") + F.col("size_v")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    rest = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v"))
+    return met.join(x, ["s", "u"]).join(y, ["s", "v"]).filter(rest >= need) \
+        .select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"), "u", "v").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that share a bucket with some other one; ``docs`` has (node, text).
 
     In the first round every bucket elects one leader. Then, round by round, the buckets that still hold several components elect the
-    next leader of each part, and members of other components are compared with all of them. It ends with the first round that finds
-    no further link. A bucket whose members are one component is left out of all later rounds, and the new links of a round join the
+    next leader of each part, and members of other components are compared with all of them, until a round finds no further link. What
+    then is in a bucket with members of several components that never led is compared by ``rare_pairs``, so no pair that shares a
+    bucket stays open. A bucket whose members are one component is left out of all later rounds, and the new links of a round join the
     roots of its components only. A pair whose numbers of shingles differ by more than the similarity allows moves no text."""
     rows = shared_buckets(nodes)
     ids = cut(rows.select("node").distinct())
     texts = cut(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     roots = ids.select("node", F.col("node").alias("root"))
-    led = tested = None
+    led = tested = ever = None
     while True:
         rows = rows.join(roots, "node")
         buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
@@ -186,17 +249,26 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                     F.greatest("a_root", "root").alias("u"), F.least("a_root", "root").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b") \
-            .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        done = cut(both.select("a", "b", "u", "v", "text_a", "text_b").mapInArrow(_alike, "a binary, b binary, u binary, v binary, alike boolean"))
+        done = cut(with_texts(pairs, texts).mapInArrow(_alike, "a binary, b binary, u binary, v binary, alike boolean"))
         new = done.filter("alike").select("u", "v")
-        if new.isEmpty():
-            return roots
+        now = led.select("t", "h", "last.node")
+        ever = now if ever is None else ever.union(now)
         led = led.select(*by, F.struct("last.w", "last.tie").alias("last"))
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
+        if new.isEmpty():
+            break
         moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         rows = rows.drop("root")
+    left = rows.join(ever, ["t", "h", "node"], "left_anti")
+    several = left.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
+    left = cut(left.join(several, ["t", "h"]).select("node", "root").distinct())
+    if left.isEmpty():
+        return roots
+    both = with_texts(rare_pairs(left, texts).join(tested, ["a", "b"], "left_anti"), texts)
+    new = cut(both.mapInArrow(_alike, "a binary, b binary, u binary, v binary, alike boolean").filter("alike").select("u", "v"))
+    moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -180,6 +180,15 @@ def test_group_of_near_copies_around_one_text(spark, odd):
     assert sorted(r.doc_id for r in kept.collect()) == [100, 200] and kept.columns == odd.columns
 
 
+def test_pairs_in_a_crowd_of_boilerplate(spark):
+    common = " ".join(f"c{k}" for k in range(444))  # texts are at 0.786 to each other, the pairs at 0.81
+    rows = [(i, f"{common} " + " ".join(f"p{i}x{k}" for k in range(60))) for i in range(150)]
+    for i in range(200, 220):
+        rows.append((i, f"{common} " + " ".join(f"q{i // 2}x{k}" for k in range(8)) + " " + " ".join(f"p{i}x{k}" for k in range(52))))
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    assert got == {i: i if i < 200 else i // 2 * 2 for i, _ in rows}
+
+
 def test_near_duplicate_edges(odd, none):
     rows = near_duplicates.classes(odd).collect()
     assert len(rows) == len(ODD) and {(r.doc_id, r.class_id, r.class_size) for r in rows if r.doc_id in (1, 4)} == {(1, 1, 1), (4, 4, 2)}
