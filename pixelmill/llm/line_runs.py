@@ -37,7 +37,8 @@ def sequences(docs: DataFrame) -> DataFrame:
 
 
 def stretches(lines: DataFrame, min_words: int) -> DataFrame:
-    """Lines that occur more than once, in stretches of successive ones with enough words, ranked by line ID."""
+    """Lines that occur more than once, in stretches of successive ones with enough words, ranked by line ID. Rows equal in doc_id and text
+    give every line again with the same k; one of these is kept."""
     found = lines.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     bucket = F.shiftright("h", 64 - _BUCKET_BITS)
     total = found.groupBy(bucket.alias("b")).agg(F.sum("c").alias("n"))  # at most 2^_BUCKET_BITS rows, so one task may order them
@@ -47,7 +48,8 @@ def stretches(lines: DataFrame, min_words: int) -> DataFrame:
         .select("h", (F.col("off") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("r0"))
     of_doc = Window.partitionBy("doc_id", "tk").orderBy("k")
     seg = Window.partitionBy("doc_id", "tk", "g")
-    return lines.join(ranked, "h").withColumn("g", F.col("k") - F.row_number().over(of_doc)) \
+    found = lines.join(ranked, "h").withColumn("again", F.lag("k").over(of_doc)).withColumn("g", F.col("k") - F.dense_rank().over(of_doc))
+    return found.filter(F.col("again").isNull() | (F.col("again") < F.col("k"))) \
         .withColumn("total", F.sum("w").over(seg)).filter(F.col("total") >= min_words) \
         .select("doc_id", "tk", "g", "k", "i", "w", "r0")
 

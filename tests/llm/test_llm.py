@@ -121,6 +121,13 @@ def test_line_runs_edges(spark, odd, none):
     assert line_runs.remove_repeats(none).count() == 0
 
 
+def test_line_runs_of_rows_given_twice(spark):
+    passage = "\n".join(" ".join(f"w{k}x{j}" for j in range(6)) for k in range(10))
+    rows = [(30, f"{passage}\nown"), (31, f"new\n{passage}"), (31, f"new\n{passage}"), (32, f"{passage}\nlast"), (None, f"first\n{passage}"), (None, f"first\n{passage}")]
+    got = collections.Counter((r.doc_id, r.text, r.n_deleted) for r in line_runs.remove_repeats(docs(spark, [(*r, "en", "s") for r in rows])).collect())
+    assert got == {(None, f"first\n{passage}", 0): 2, (30, "own", 10): 1, (31, "new", 10): 2, (32, "last", 10): 1}
+
+
 # ---- near-duplicates
 
 def lcs(a, b):
