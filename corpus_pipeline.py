@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm import language, line_runs, mixing, near_duplicates, pieces
@@ -43,8 +43,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents of the mix."""
-    found = pieces.encode(docs.select("doc_id", "lang", "source", "text"))
+    """Token ids of the documents of the mix; a document taken twice has a copy number, so its rows are cut differently."""
+    docs = docs.select("doc_id", "lang", "source", "text")
+    alike = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
+    found = pieces.encode(docs.withColumn("copy", F.row_number().over(alike)), copy="copy")
     return found.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 

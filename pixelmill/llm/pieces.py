@@ -2,13 +2,14 @@
 
 Byte-pair merging by an agenda: adjacent pieces whose joined piece is in the vocabulary are candidates, taken by best score, then
 leftmost. A candidate that is taken from the agenda is skipped for good when its keyed hash falls below the dropout rate, so
-equal words get different segmentations while every run gives the same. The key is made of the seed, one of ``VARIANTS`` streams that a
-document's hash and the number of the line choose, the place of the pair and the piece it would give.
+equal words get different segmentations while every run gives the same. The key is made of the seed, the document, the place of the part
+in its text, the place of the pair and the piece it would give.
 
-Pieces never join a space to what stands before it, so a text is cut before its runs of spaces; short parts are remembered per stream.
+Pieces never join a space to what stands before it, so a text is cut before its runs of spaces. Of short parts the undropped merges are
+remembered: an occurrence that drops none of these has their result, any other is merged on its own.
 Characters without a piece become byte pieces, and so does the space mark itself when it is part of a text: decoding is lossless.
 
-Edge cases: NULL text has NULL ids; the empty text has none; rows that repeat get equal ids; other columns pass through; an empty table
+Edge cases: NULL text has NULL ids; the empty text has none; rows that repeat get equal ids unless a copy number tells them apart; other columns pass through; an empty table
 gives no rows.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from pixelmill.llm.common import bounded, mix, unused, widened
 
 MARK = "▁"
-SEED, DROPOUT, VARIANTS = 17, 0.1, 4
-_KEPT = 100_000  # remembered parts per stream and generation
+SEED, DROPOUT = 17, 0.1
+_KEPT = 100_000  # remembered parts per generation
 _SHORT = 24  # longer parts are rare and merged one by one
 _ROWS = 4096  # short parts merged at once, of about one length
 _TABLE_BITS = 21
@@ -107,17 +108,21 @@ def _slot(a, b):
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT):
         self.v, self.seed, self.limit = vocabulary, seed, int(dropout * 2**32)
-        self.keys = mix(np.arange(1, variants + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) & np.uint64(0xFFFFFFFF)
-        self.keys = self.keys.tolist()
-        self.new: list[dict[str, bytes]] = [{} for _ in self.keys]
-        self.old: list[dict[str, bytes]] = [{} for _ in self.keys]
+        self.keys = mix(np.arange(1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)).tolist()  # the seed's own key
+        self.new: dict[str, tuple[bytes, bytes]] = {}  # ids without dropout, and the merges on the way
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.letters = np.full(0x110000, -1, np.int32)  # piece of a single character
+        for piece, k in vocabulary.ids.items():
+            if len(piece) == 1:
+                self.letters[ord(piece)] = k
         self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def merge(self, part: str, key: int) -> bytes:
+    def merge(self, part: str, key: int, drop: bool = True) -> bytes:
         """Ids of one part by the agenda."""
-        ids, scores, limit = self.v.ids, self.v.scores, self.limit
+        key &= 0xFFFFFFFF
+        ids, scores, limit = self.v.ids, self.v.scores, self.limit if drop else 0
         n = len(part)
         piece = list(part)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -159,13 +164,15 @@ class Encoder:
                     out.append(k)
         return out.tobytes()
 
-    def merge_all(self, parts: list[str], key: int) -> list[bytes]:
-        """``merge`` of many short parts at once: one agenda step of every part per round, on arrays."""
-        v, ids = self.v, self.v.ids
+    def merge_all(self, parts: list[str], key, way: list | None = None) -> list[bytes]:
+        """``merge`` of many short parts at once: one agenda step of every part per round, on arrays. ``key`` is one for all or one per part.
+        Given a list as ``way``, nothing is dropped and the list gets the merges of every part: pairs of a piece and its place."""
+        keys = np.broadcast_to(np.asarray(key, np.uint64) & np.uint64(0xFFFFFFFF), len(parts)).astype(np.int64)
+        v = self.v
         width = max(map(len, parts))
         rows = np.zeros((len(parts), width + 1), np.int64)
         size = np.array([len(p) for p in parts])
-        flat = [ids.get(c, -1) for c in "".join(parts)]
+        flat = self.letters[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
         inside = np.arange(width + 1) < size[:, None]
         rows[inside] = flat
         n, w = rows.shape
@@ -175,7 +182,7 @@ class Encoder:
         r, c = np.nonzero(inside[:, 1:] & (rows[:, :-1] >= 0) & (rows[:, 1:] >= 0))
         made[r, c] = v.joined(rows[r, c], rows[r, c + 1])
         rank = np.where(made >= 0, v.priority[made], -1)
-        live = np.arange(n)
+        live, steps = np.arange(n), []
         while len(live):
             i = rank[live].argmax(axis=1)  # the leftmost of the best
             on = rank[live, i] >= 0
@@ -183,11 +190,10 @@ class Encoder:
             m = made[live, i].astype(np.int64)
             rank[live, i] = -1
             take, at = live, i
-            if self.limit:
-                h = (m * 0x9E3779B1 + i * 0x85EBCA77 + key) & 0xFFFFFFFF
-                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
-                h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
-                kept = (h ^ (h >> 15)) >= self.limit
+            if way is not None:
+                steps.append((live, m, i))
+            elif self.limit:
+                kept = ~self._dropped(m, i, keys[live])
                 take, at, m = live[kept], i[kept], m[kept]
             j = nxt[take, at]
             k = nxt[take, j]
@@ -209,15 +215,42 @@ class Encoder:
         whole = (inside & (rows == -1)).any(axis=1)
         found = [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
         for i in np.flatnonzero(whole):  # a character without a piece
-            found[i] = self.merge(parts[i], key)
+            found[i] = self.merge(parts[i], int(keys[i]), way is None)
+        if way is not None:
+            row, *step = (np.concatenate([x[k] for x in steps] or [np.empty(0, np.int64)]) for k in range(3))
+            order = np.argsort(row, kind="stable")
+            step = np.stack(step, axis=1)[order].astype(np.int64)
+            ends = np.cumsum(np.bincount(row, minlength=n)).tolist()
+            way += [step[a:b].tobytes() for a, b in zip([0, *ends], ends)]
         return found
 
+    def _dropped(self, m: np.ndarray, i: np.ndarray, key: np.ndarray) -> np.ndarray:
+        h = (m * 0x9E3779B1 + i * 0x85EBCA77 + key) & 0xFFFFFFFF
+        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+        h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
+        return (h ^ (h >> 15)) < self.limit
+
+    def _remember(self, parts: list[str]) -> None:
+        """Undropped ids and merges of short parts, kept for two generations."""
+        if len(self.new) >= _KEPT:
+            self.old, self.new = self.new, {}
+        missing = []
+        for p in parts:
+            if (x := self.old.get(p)) is not None:
+                self.new[p] = x
+            elif p not in self.new:
+                missing.append(p)
+        missing.sort(key=len)
+        for a in range(0, len(missing), _ROWS):
+            some, way = missing[a : a + _ROWS], []
+            self.new.update(zip(some, zip(self.merge_all(some, 0, way), way)))
+
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
-        """Ids of whole texts; a text's key chooses the streams of its lines. NULL gives NULL."""
+        """Ids of whole texts; a text's key and the place of a part in it make the key of that occurrence. NULL gives NULL."""
         space = array("i", [self.v.byte_ids[b] for b in MARK.encode()]).tobytes()
         line_end = array("i", [self.v.byte_ids[10]]).tobytes()
         found: list[list[bytes | None] | None] = []
-        missing: list[dict[str, list]] = [{} for _ in self.keys]
+        parts, lists, places, owners = [], [], [], []
         for text, key in zip(texts, keys):
             if text is None:
                 found.append(None)
@@ -226,42 +259,49 @@ class Encoder:
             for at, segment in enumerate((" " + text).split(MARK) if text else []):
                 if at:
                     out.append(space)
-                lines = segment.replace(" ", MARK).split("\n")
-                streams = mix(np.arange(len(lines), dtype=np.uint64) + np.uint64((key + at) & (2**64 - 1))) >> np.uint64(32)
-                for k, (line, stream) in enumerate(zip(lines, (streams % np.uint64(len(self.keys))).tolist())):
+                for k, line in enumerate(segment.replace(" ", MARK).split("\n")):
                     if k:
                         out.append(line_end)
-                    parts = self.part.findall(line)
-                    values = list(map(self.new[stream].get, parts))
-                    if None in values:
-                        base = len(out)
-                        for i, x in enumerate(values):
-                            if x is None:
-                                missing[stream].setdefault(parts[i], []).append((out, base + i))
-                    out += values
+                    some = self.part.findall(line)
+                    places.append(np.arange(len(out), len(out) + len(some)))
+                    out += some  # the text of a part stands in its place until its ids do
+                    parts += some
+                    owners.append(len(some))
+                    lists.append((out, key))
             found.append(out)
-        for stream, places in enumerate(missing):
-            if not places:
-                continue
-            parts = list(places)
-            old, new = self.old[stream], self.new[stream]
-            got = {p: x for p in parts if (x := old.get(p)) is not None}
-            short = [p for p in parts if p not in got and len(p) <= _SHORT]
-            short.sort(key=len)
-            for a in range(0, len(short), _ROWS):
-                some = short[a : a + _ROWS]
-                got.update(zip(some, self.merge_all(some, self.keys[stream])))
-            if len(new) >= _KEPT:
-                self.old[stream] = new
-                new = self.new[stream] = {}
-            for p in parts:
-                x = got.get(p)
-                if x is None:
-                    x = self.merge(p, self.keys[stream])
-                else:
-                    new[p] = x
-                for out, i in places[p]:
-                    out[i] = x
+        if not parts:
+            return [None if x is None else np.frombuffer(b"".join(x), np.int32) for x in found]
+        place = np.concatenate(places)
+        own = np.array([k & (2**64 - 1) for _, k in lists], np.uint64)
+        key = mix(np.repeat(own, owners) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(self.keys[0])) & np.uint64(0xFFFFFFFF)
+        distinct = list(dict.fromkeys(parts))
+        which = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, parts), np.int64, len(parts))
+        length = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        self._remember([p for p, n in zip(distinct, length.tolist()) if n <= _SHORT])
+        known = [self.new[p] if n <= _SHORT else (None, b"") for p, n in zip(distinct, length.tolist())]
+        values: list[bytes | None] = list(map([x[0] for x in known].__getitem__, which.tolist()))
+        for i in np.flatnonzero(length[which] > _SHORT).tolist():
+            values[i] = self.merge(parts[i], int(key[i]))
+        if self.limit:
+            steps = np.frombuffer(b"".join(x[1] for x in known), np.int64).reshape(-1, 2)
+            count = np.array([len(x[1]) // 16 for x in known])
+            start = np.cumsum(count) - count
+            short = np.flatnonzero(count[which] > 0)
+            n = count[which[short]]
+            first = np.cumsum(n) - n
+            at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(start[which[short]], n)
+            hit = self._dropped(steps[at, 0], steps[at, 1], np.repeat(key[short].astype(np.int64), n))
+            other = short[np.logical_or.reduceat(hit, first)] if len(short) else short
+            other = other[np.argsort(length[which[other]], kind="stable")]
+            for a in range(0, len(other), _ROWS):
+                some = other[a : a + _ROWS]
+                for i, x in zip(some.tolist(), self.merge_all([parts[i] for i in some.tolist()], key[some])):
+                    values[i] = x
+        at = 0
+        for (out, _), n, own_places in zip(lists, owners, places):
+            if n:
+                out[own_places[0] : own_places[0] + n] = values[at : at + n]
+                at += n
         return [None if x is None else np.frombuffer(b"".join(x), np.int32) for x in found]
 
 
@@ -275,11 +315,12 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return vocabulary.blob[at].tobytes().decode("utf-8", "surrogatepass").removeprefix(" ")
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
-    """Add ``ids`` (array<int>) and ``lossless``, whether the ids decode to the text."""
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SEED, dropout: float = DROPOUT, copy: str | None = None) -> DataFrame:
+    """Add ``ids`` (array<int>) and ``lossless``, whether the ids decode to the text. ``copy`` names a column with the number of a row among
+    those of one doc_id."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary or Vocabulary()))  # of the vocabulary's size, whatever the documents
     key = unused(docs, "_key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", *([copy] if copy else [])))
     schema = widened(docs, ids=T.ArrayType(T.IntegerType()), lossless=T.BooleanType())
     names = docs.columns
 

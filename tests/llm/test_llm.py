@@ -263,6 +263,20 @@ def test_rounds_on_arrays_equal_the_agenda(vocabulary):
     assert encoder.merge_all(parts, encoder.keys[0]) == [encoder.merge(p, encoder.keys[0]) for p in parts]
 
 
+def test_every_occurrence_has_its_own_dropout(spark, vocabulary):
+    v, text = vocabulary, " ".join(["international"] * 2000)
+    rows = pieces.encode(docs(spark, [(i, text, "en", "s") for i in (1, 2, 2)]), v).collect()
+    space = {k for p, k in v.ids.items() if p.startswith(pieces.MARK)}
+    cuts = [set("".join(("|" if i in space else "") + f"{i}," for i in r.ids).split("|")) for r in rows]
+    assert all(len(c) > 8 for c in cuts) and rows[0].ids != rows[1].ids == rows[2].ids
+    encoder = pieces.Encoder(v, dropout=0.3)  # what is shared changes nothing
+    parts = ["▁the", "▁nation", "▁é日", "▁international"] * 50
+    keys = np.arange(200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert encoder.merge_all(parts, keys) == [encoder.merge(p, int(k)) for p, k in zip(parts, keys)]
+    twice = corpus_pipeline.encoded(spark, docs(spark, [(2, text, "en", "s")] * 2), SF).collect()
+    assert twice[0].ids != twice[1].ids
+
+
 # ---- weak supervision
 
 def test_quality_figures_and_labels(spark, real, odd, none):
