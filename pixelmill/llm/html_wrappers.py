@@ -2,14 +2,15 @@
 
 Pages of one host share a template. Up to ``REFERENCES`` pages per host, chosen by hash, are aligned by simple tree matching: blocks of
 equal tag and class are matched in order, and runs of like leaf blocks count as one node. A block text that all references have at
-the matched place is template; places whose text varies are slots. At least ``ALIKE`` references that differ in most of their text are
-needed to call anything template, so near copies of an article do not make a template of it. A page's text is what it has in the slots
+the matched place is template; places whose text varies are slots. At least ``ALIKE`` references that differ in most of what
+varies between them are needed to call anything template, so near copies of an article do not make a template of it, and constant blocks
+in places of their own, however many, do not hinder it. A page's text is what it has in the slots
 of its article: the article is found by element, role or name, the rest of the page by what it is (navigation, header, footer, aside,
 form, script) or is named after (menu, advert, notice, comments ...) falls away.
 
 Only the references of a host meet in one task; the pages themselves are joined with the wrapper of their host, not grouped.
 
-Edge cases: NULL or empty html has empty text; a NULL url has no host and no wrapper; a host of few or like pages has no template; tags
+Edge cases: NULL or empty html has empty text; a NULL url has no host and no wrapper; a host of one page or of like pages has no template; tags
 that do not close, broken tags and cut-off pages are read as far as they go; rows that repeat get equal texts; blocks nested deeper than
 ``DEEPEST`` are read as part of the block around them; an empty table gives no rows.
 """
@@ -23,12 +24,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import bounded, cut
 
-REFERENCES, ALIKE, DEEPEST = 8, 5, 200
+REFERENCES, ALIKE, DEEPEST = 8, 2, 200
 #: Tables of at most so many rows or bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
@@ -262,16 +263,22 @@ def _all_texts(s: Shape) -> set[str]:
     return out
 
 
+def _near_copies(a: Shape, b: Shape) -> bool:
+    """Whether two pages share at least half of the texts of their slots, the places whose texts differ between them."""
+    pairs = match(a, b)[1]
+    own, other = len(_all_texts(a)), len(_all_texts(b))
+    fixed = set().union(*(x.texts for x, y in pairs if x.texts == y.texts))
+    common = set().union(*(x.texts & y.texts for x, y in pairs if x.texts != y.texts)) - fixed
+    return len(common) * 2 >= min(own, other) - len(fixed)
+
+
 def induce(pages: list[str]) -> str:
     """Wrapper of a host as JSON, from its reference pages: the shapes that hold template texts; empty when there are none."""
     chosen: list[Shape] = []
-    seen: list[set[str]] = []
     for page in sorted(set(pages)):
         s = shape(parse(page), {})
-        texts = _all_texts(s)
-        if texts and all(len(texts & t) * 2 <= min(len(texts), len(t)) for t in seen):
+        if _all_texts(s) and not any(_near_copies(s, t) for t in chosen):
             chosen.append(s)
-            seen.append(texts)
     if len(chosen) < ALIKE:
         return ""
     wrapper = chosen[0]
@@ -367,9 +374,10 @@ def with_hosts(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(hosted: DataFrame) -> DataFrame:
-    """(_host, wrapper) of the hosts that have a template. Each host gives at most REFERENCES pages: that of least hash per slot."""
+    """(_host, wrapper) of the hosts that have a template. Each host gives its REFERENCES pages of least hash."""
     named = hosted.filter((F.col("_host") != "") & F.col("html").isNotNull())
-    least = cut(named.groupBy("_host", F.pmod("_h", F.lit(REFERENCES)).alias("_s")).agg(F.min("_h").alias("_h")).select("_host", "_h"))
+    first = F.row_number().over(Window.partitionBy("_host").orderBy("_h"))  # Spark limits each task's rows before it deals them by host
+    least = cut(named.select("_host", "_h").distinct().withColumn("_n", first).filter(F.col("_n") <= REFERENCES).select("_host", "_h"))
     least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
     chosen = named.join(least, ["_host", "_h"], "left_semi").groupBy("_host", "_h").agg(F.first("html").alias("html"))
 

@@ -402,6 +402,13 @@ def test_constant_blocks_of_a_host_are_template(spark):
     assert html_wrappers.extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_template_of_few_pages_and_many_constant_blocks(spark):
+    page = "<html><body><div class=k1>" + "".join(f"<p>Constant {k}</p>" for k in range(9)) + "</div><div class=k2><p>%s</p></div></body></html>"
+    rows = [(10 * n + i, f"http://h{n}.example/{i}", page % f"story {n} {i}") for n in (2, 3, 5, 8, 30) for i in range(n)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert all(r.text == "story " + " ".join(re.findall(r"\d+", r.url)) for r in html_wrappers.extract_text(table).collect())
+
+
 def test_pages_against_plain_search(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
