@@ -6,7 +6,8 @@ the matched place is template; places whose text varies are slots. At least ``AL
 varies between them are needed to call anything template, so near copies of an article do not make a template of it, and constant blocks
 in places of their own, however many, do not hinder it. A page's text is what it has in the slots
 of its article: the article is found by element, role or name, the rest of the page by what it is (navigation, header, footer, aside,
-form, script) or is named after (menu, advert, notice, comments ...) falls away.
+form, script) or is named after (menu, advert, notice, comments ...) falls away. Inside an article a name must
+consist of such words only, and ids of headings and sections, slugs of their titles, never count.
 
 Only the references of a host meet in one task; the pages themselves are joined with the wrapper of their host, not grouped.
 
@@ -52,7 +53,10 @@ _NAMES = frozenset("nav navbar navigation menu menubar masthead banner footer si
                    "sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share "
                    "sharing social breadcrumb breadcrumbs pagination pager related recommended recommendations comment comments respond replies reply disqus discussion search "
                    "toolbar copyright disclaimer hidden teaser".split())
+#: Words that may stand beside these in a name that says what falls away inside an article.
+_BESIDE = frozenset("slot slots box list block container wrapper unit inner outer area items links buttons top bottom left right".split())
 _CONTENT = frozenset("content article post entry story main maincontent articlebody".split())
+_TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _STARTS = frozenset("has no with without is".split())
 
 
@@ -78,14 +82,19 @@ def _look(tag: str, raw: str, in_article: bool) -> tuple[str, bool, str]:
     found = {}
     for name, value in _ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), value.strip("\"'"))
-    named = _names(found.get("class", "")) + _names(found.get("id", ""))
+    classes, ids = _names(found.get("class", "")), _names(found.get("id", ""))
+    named = classes + ids
     sign = f"{tag}.{found.get('class', '')}#{'' if any(c.isdigit() for c in found.get('id', '')) else found.get('id', '')}"
     away = tag in _AWAY or found.get("role", "") in _ROLES or "hidden" in found or found.get("aria-hidden") == "true" \
         or "display:none" in found.get("style", "").replace(" ", "").lower() or (tag == "header" and not in_article)
     if tag not in ("html", "body", "main"):
-        for words in named:
-            if words and words[0] not in _STARTS and (words[0] in _NAMES or words[-1] in _NAMES or (not in_article and words in (["header"], ["site", "header"], ["page", "header"]))):
-                away = True
+        for words in classes if tag in _TITLED else named:  # ids of headings and sections are slugs of their titles
+            if not words or words[0] in _STARTS:
+                continue
+            if in_article:  # one such word among others says nothing there
+                away |= any(w in _NAMES for w in words) and all(w in _NAMES or w in _BESIDE or w.isdigit() for w in words)
+            else:
+                away |= words[0] in _NAMES or words[-1] in _NAMES or words in (["header"], ["site", "header"], ["page", "header"])
     role = tag if tag in ("article", "main") else ""
     if not role and (found.get("role") == "main" or found.get("itemprop") == "articleBody"):
         role = "main"

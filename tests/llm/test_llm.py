@@ -409,6 +409,13 @@ def test_template_of_few_pages_and_many_constant_blocks(spark):
     assert all(r.text == "story " + " ".join(re.findall(r"\d+", r.url)) for r in html_wrappers.extract_text(table).collect())
 
 
+def test_names_of_article_parts():
+    page = """<article><h2 id="discussion">A</h2><section id="related-work"><h3 id="search-algorithms">B</h3><p>C</p></section><section id="navigation"><p>D</p></section>
+<p class="share-price">E</p><div class="hidden-gem">F</div><div id="social-history">G</div><div class="ad">x</div><div class="ad-slot-2">y</div><div class="share-buttons">z</div></article>"""
+    assert html_wrappers.extract(page) == "A\nB\nC\nD\nE\nF\nG"
+    assert html_wrappers.extract('<h2 id="search">A</h2><div id="search">x</div><p>B</p>') == "A\nB"
+
+
 def test_pages_against_plain_search(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
