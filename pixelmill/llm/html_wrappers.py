@@ -13,7 +13,7 @@ Only the references of a host meet in one task; the pages themselves are joined
 
 Edge cases: NULL or empty html has empty text; a NULL url has no host and no wrapper; a host of one page or of like pages has no template; tags
 that do not close, broken tags and cut-off pages are read as far as they go; rows that repeat get equal texts; blocks nested deeper than
-``DEEPEST`` are read as part of the block around them; an empty table gives no rows.
+``DEEPEST`` levels are read like others, but not matched with the wrapper; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def parse(page: str) -> Node:
             block.kids.append(Node("hr"))
             continue
         sign, away, role = _look(tag, m[3] or m[6] or "", articles > 0)
-        if tag in BLOCKS and len(blocks) < DEEPEST:
+        if tag in BLOCKS:
             node = Node(tag, sign, away, role)
             block.kids.append(node)
             block = node
@@ -209,16 +209,16 @@ class Shape:
         self.sign, self.texts, self.kids, self.count = sign, set(), [], 1
 
 
-def shape(node: Node, runs: dict[int, str]) -> Shape:
-    """Shape of a block that does not fall away; ``runs`` gets the text of every run of the page by identity."""
+def shape(node: Node, runs: dict[int, str], depth: int = 1) -> Shape:
+    """Shape of a block that does not fall away, down to the level ``DEEPEST``; ``runs`` gets the text of every run on the way by identity."""
     out = Shape(node.sign)
     for kid in node.kids:
         if isinstance(kid, list):
             text = runs[id(kid)] = _text(kid)
             if text:
                 out.texts.add(text)
-        elif not kid.away:
-            made = shape(kid, runs)
+        elif not kid.away and depth < DEEPEST:
+            made = shape(kid, runs, depth + 1)
             last = out.kids[-1] if out.kids else None
             if last is not None and last.sign == made.sign and not last.kids and not made.kids:
                 last.texts |= made.texts
@@ -336,6 +336,7 @@ def _outermost(root: Node, role: str) -> list[Node]:
 
 def _blocks(node: Node, runs: dict[int, str], fixed: dict[str, set[str]], loose: bool) -> list[str]:
     out, todo = [], [(node, "")]
+    lists = _link_lists(node) if loose else ()
     while todo:
         item, sign = todo.pop()
         if isinstance(item, list):
@@ -343,24 +344,24 @@ def _blocks(node: Node, runs: dict[int, str], fixed: dict[str, set[str]], loose:
             text = _text(item) if text is None else text
             if text and text not in fixed.get(sign, ()):
                 out.append(text)
-        elif not item.away and not (loose and item.tag in ("ul", "ol", "div", "p") and _only_links(item)):
+        elif not item.away and not (loose and item.tag in ("ul", "ol", "div", "p") and id(item) in lists):
             todo += [(k, item.sign) for k in reversed(item.kids)]
     return out
 
 
-def _only_links(node: Node) -> bool:
-    """At least three linked blocks or a list, and no other text."""
-    todo, links, size, items = [node], 0, 0, 0
+def _link_lists(root: Node) -> set[int]:
+    """Identities of the blocks with at least three linked blocks or a list, and no other text; every block is counted once."""
+    order, todo = [], [(root, -1)]
     while todo:
-        n = todo.pop()
-        links += n.linked
-        items += n.linked > 0
-        for k in n.kids:
-            if isinstance(k, list):
-                size += len("".join(k).strip())
-            else:
-                todo.append(k)
-    return items >= 3 and links >= size
+        n, up = todo.pop()
+        todo += [(k, len(order)) for k in n.kids if isinstance(k, Node)]
+        order.append((n, up))
+    sums = [[n.linked, n.linked > 0, sum(len("".join(k).strip()) for k in n.kids if isinstance(k, list))] for n, _ in order]
+    for at in range(len(order) - 1, 0, -1):
+        up = sums[order[at][1]]
+        for k, x in enumerate(sums[at]):
+            up[k] += x
+    return {id(n) for (n, _), (links, items, size) in zip(order, sums) if items >= 3 and links >= size}
 
 
 def extract(page: str | None, wrapper: Shape | None = None) -> str:

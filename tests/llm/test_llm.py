@@ -416,6 +416,13 @@ def test_names_of_article_parts():
     assert html_wrappers.extract('<h2 id="search">A</h2><div id="search">x</div><p>B</p>') == "A\nB"
 
 
+def test_blocks_nested_deeply():
+    assert html_wrappers.extract("".join(f"<div>line {k}" for k in range(3000))) == "\n".join(f"line {k}" for k in range(3000))
+    pages = ["<div class=k1><p>constant</p></div>" + "".join(f"<div>line {i} {k}" for k in range(3000)) for i in range(3)]
+    wrapper = html_wrappers._shape_of(html_wrappers.json.loads(html_wrappers.induce(pages)))
+    assert html_wrappers.extract(pages[1], wrapper) == "\n".join(f"line 1 {k}" for k in range(3000))
+
+
 def test_pages_against_plain_search(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
