@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import (conversations, html_wrappers, language, line_runs, merkle, mixing, near_duplicates, oracles as sql, pieces, secrets_crf,
+from pixelmill.llm import (conversations, html_wrappers, language, line_runs, merkle, mixing, near_duplicates, oracles as sql, pieces, repair, secrets_crf,
                            weak_quality, winnowing)
 
 
@@ -64,6 +64,12 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "lossless")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    given = _table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(given), given)
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and verdict per document."""
     return merkle.manifest(_table(spark, sf_dir, "documents"))
@@ -118,8 +124,8 @@ SELECT doc_id, size, g.source_size::BIGINT AS source_size, g.target,
 FROM sized JOIN g ON sized.source IS NOT DISTINCT FROM g.source JOIN k ON sized.source IS NOT DISTINCT FROM k.source"""
 
 QUERIES = {f.__name__: f for f in (op1_wrappers, op2_order_min_hash, op3_language_id, op4_weak_quality, op5_snapshots, op6_line_runs, op7_winnowing, op8_secrets,
-                                   op9_mixing, op10_merge_dropout, op12_manifest)}
-ORACLES = {"op5_snapshots": _SNAPSHOTS_SQL, "op6_line_runs": _LINE_RUNS_SQL, "op9_mixing": _MIXING_SQL, "op12_manifest": sql.MERKLE}
+                                   op9_mixing, op10_merge_dropout, op11_repair, op12_manifest)}
+ORACLES = {"op5_snapshots": _SNAPSHOTS_SQL, "op6_line_runs": _LINE_RUNS_SQL, "op9_mixing": _MIXING_SQL, "op11_repair": sql.REPAIR, "op12_manifest": sql.MERKLE}
 
 
 def queries():
