@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import (conversations, html_wrappers, language, line_runs, merkle, mixing, near_duplicates, oracles as sql, pieces, repair, secrets_crf,
+from pixelmill.llm import (conversations, html_wrappers, language, line_runs, merkle, mixing, near_duplicates, oracles as sql, pieces, ranking, repair, secrets_crf,
                            weak_quality, winnowing)
 
 
@@ -75,6 +75,14 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and predicted label of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ranking.held_out(F.col("doc_id"))
+    model = ranking.fit(docs.filter(~out), _table(spark, sf_dir, "labels").filter(~ranking.held_out(F.col("doc_id"))))
+    return ranking.scored(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 _SNAPSHOTS_SQL = """
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
                   COALESCE(length(role) || ':' || role, '-') || '|' || COALESCE(length(text) || ':' || text, '-') AS turn_key FROM conversations),
@@ -124,7 +132,8 @@ SELECT doc_id, size, g.source_size::BIGINT AS source_size, g.target,
 FROM sized JOIN g ON sized.source IS NOT DISTINCT FROM g.source JOIN k ON sized.source IS NOT DISTINCT FROM k.source"""
 
 QUERIES = {f.__name__: f for f in (op1_wrappers, op2_order_min_hash, op3_language_id, op4_weak_quality, op5_snapshots, op6_line_runs, op7_winnowing, op8_secrets,
-                                   op9_mixing, op10_merge_dropout, op11_repair, op12_manifest)}
+                                   op9_mixing, op10_merge_dropout, op11_repair, op12_manifest,
+                                   op13_bradley_terry)}
 ORACLES = {"op5_snapshots": _SNAPSHOTS_SQL, "op6_line_runs": _LINE_RUNS_SQL, "op9_mixing": _MIXING_SQL, "op11_repair": sql.REPAIR, "op12_manifest": sql.MERKLE}
 
 
