@@ -271,7 +271,7 @@ def whole_spans(rows: DataFrame) -> DataFrame:
     rest = cut(spans.join(several, "conv", "left_semi"))
     done = spans.join(several, "conv", "left_anti")
     while not rest.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        rest = cut(rest.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("conv", F.col("part").alias("_to")).applyInArrow(_join_spans, _SPAN))
+        rest = cut(rest.groupBy("conv", F.floor(F.col("part") / FAN).alias("_to")).applyInArrow(_join_spans, _SPAN))
     return done.unionByName(rest)
 
 

@@ -135,7 +135,7 @@ def test_odd_rows(spark):
 def test_conversation_over_many_partitions(spark):
     """Most rows are one conversation, so every partition holds a part of it."""
     rng = random.Random(4)
-    rows = made(rng, 6, 4) + [(77, t, rng.choice(["user", "assistant"]), rng.choice(["again.", f"{t}."])) for t in range(60)]
+    rows = made(rng, 6, 4) + [(c, t, rng.choice(["user", "assistant"]), rng.choice(["again.", f"{t}."])) for c in (5, 9) for t in range(100, 160)] + [(77, t, rng.choice(["user", "assistant"]), rng.choice(["again.", f"{t}."])) for t in range(60)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "24")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
