@@ -91,6 +91,7 @@ class Vocabulary:
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Id of the joined piece per pair, -1 where there is none."""
         keys, values = self.pairs
+        a, b = a.astype(np.int64), b.astype(np.int64)
         wanted, at = a << 32 | b, _slot(a, b)
         out = np.full(len(a), -1, np.int32)
         left = np.arange(len(a))
@@ -169,47 +170,56 @@ class Encoder:
         Given a list as ``way``, nothing is dropped and the list gets the merges of every part: pairs of a piece and its place."""
         keys = np.broadcast_to(np.asarray(key, np.uint64) & np.uint64(0xFFFFFFFF), len(parts)).astype(np.int64)
         v = self.v
-        width = max(map(len, parts))
-        rows = np.zeros((len(parts), width + 1), np.int64)
-        size = np.array([len(p) for p in parts])
-        flat = self.letters[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        inside = np.arange(width + 1) < size[:, None]
-        rows[inside] = flat
-        n, w = rows.shape
-        nxt = np.tile(np.arange(1, w + 1), (n, 1))
-        prv = np.tile(np.arange(-1, w - 1), (n, 1))
-        made = np.full((n, w), -1, np.int32)  # what the pair from here on would give
-        r, c = np.nonzero(inside[:, 1:] & (rows[:, :-1] >= 0) & (rows[:, 1:] >= 0))
-        made[r, c] = v.joined(rows[r, c], rows[r, c + 1])
-        rank = np.where(made >= 0, v.priority[made], -1)
+        w = max(map(len, parts)) + 1
+        size = np.fromiter(map(len, parts), np.int32, len(parts))
+        n = len(parts)
+        inside = np.arange(w) < size[:, None]
+        # all tables are flat, so that a step reads and writes by one index
+        rows = np.zeros(n * w, np.int32)
+        rows[inside.ravel()] = self.letters[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        nxt = np.tile(np.arange(1, w + 1, dtype=np.int32), n)
+        prv = np.tile(np.arange(-1, w - 1, dtype=np.int32), n)
+        made = np.full(n * w, -1, np.int32)  # what the pair from here on would give
+        whole_rows = rows.reshape(n, w)
+        first = np.flatnonzero((inside[:, 1:] & (whole_rows[:, :-1] >= 0) & (whole_rows[:, 1:] >= 0)).ravel())
+        first += first // (w - 1) if w > 1 else 0
+        made[first] = v.joined(rows[first], rows[first + 1])
+        priority = np.append(v.priority, np.int32(-1))  # the last stands for no piece
+        rank = priority[made].reshape(n, w)
+        ranks = rank.ravel()
         live, steps = np.arange(n), []
         while len(live):
-            i = rank[live].argmax(axis=1)  # the leftmost of the best
-            on = rank[live, i] >= 0
-            live, i = live[on], i[on]
-            m = made[live, i].astype(np.int64)
-            rank[live, i] = -1
-            take, at = live, i
+            i = (rank if len(live) == n else rank.take(live, axis=0)).argmax(axis=1)  # the leftmost of the best
+            here = live * w + i
+            on = ranks.take(here) >= 0
+            live, i, here = live[on], i[on], here[on]
+            m = made.take(here)
+            ranks[here] = -1
+            take, at, place = live, i, here
             if way is not None:
                 steps.append((live, m, i))
             elif self.limit:
-                kept = ~self._dropped(m, i, keys[live])
-                take, at, m = live[kept], i[kept], m[kept]
-            j = nxt[take, at]
-            k = nxt[take, j]
-            rows[take, at], rows[take, j] = m, -2
-            rank[take, j] = -1
-            nxt[take, at] = k
-            more = k < size[take]
-            prv[take[more], k[more]] = at[more]
-            back = prv[take, at] >= 0
-            left = np.concatenate([at[more], prv[take[back], at[back]]])
-            row, right = np.concatenate([take[more], take[back]]), np.concatenate([k[more], at[back]])
-            good = (rows[row, left] >= 0) & (rows[row, right] >= 0)
-            row, left, right = row[good], left[good], right[good]
-            new = v.joined(rows[row, left], rows[row, right])
-            made[row, left] = new
-            rank[row, left] = np.where(new >= 0, v.priority[new], -1)
+                kept = ~self._dropped(m.astype(np.int64), i, keys.take(live))
+                take, at, place, m = live[kept], i[kept], here[kept], m[kept]
+            base = place - at
+            j = base + nxt.take(place)
+            k = nxt.take(j)
+            rows[place], rows[j] = m, -2
+            ranks[j] = -1
+            nxt[place] = k
+            more = np.flatnonzero(k < size.take(take))
+            right = base[more] + k[more]
+            prv[right] = at[more]
+            p = prv.take(place)
+            back = np.flatnonzero(p >= 0)
+            left = np.concatenate([place[more], base[back] + p[back]])
+            right = np.concatenate([right, place[back]])
+            a, b = rows.take(left), rows.take(right)
+            good = np.flatnonzero((a >= 0) & (b >= 0))
+            left = left[good]
+            made[left] = new = v.joined(a[good], b[good])
+            ranks[left] = priority.take(new, mode="wrap")
+        rows = whole_rows
         out = rows[inside & (rows != -2)].astype(np.int32).tobytes()
         ends = np.cumsum((inside & (rows != -2)).sum(axis=1)) * 4
         whole = (inside & (rows == -1)).any(axis=1)
