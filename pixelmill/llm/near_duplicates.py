@@ -18,11 +18,12 @@ shingle; a text without a word is only like texts equal to it; rows that repeat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import bounded, cut, mix, shingles, unused, word_hashes
@@ -32,7 +33,6 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
 LEADERS = 4  # per bucket and round, after the first round with one
 _WIDE = 1 << 19  # hash values computed at once
-_SLOT_BITS = 18
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -166,58 +166,39 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "u", "v", "text_a", "text_b")
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-
-
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << _SLOT_BITS, np.int64)
-    for batch in bounded(batches, "text"):
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded(batches, "text", 1 << 20):
         ids = [mix(labelled(shingles(word_hashes(t or ""), WORDS))) for t in batch["text"].to_pylist()]
-        counts += np.bincount(_slots(np.concatenate(ids)), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+        size = np.array([len(x) for x in ids], np.int64)
+        row = pa.array(np.repeat(np.arange(len(ids)), size))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).view(np.int64)), pa.array(np.repeat(size, size)), batch["node"].take(row), batch["root"].take(row)],
+                                         ["s", "size", "node", "root"])
 
 
 def rare_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, u, v) of every pair of ``left`` (node, root) of different roots that can be alike: an exact prefix filter.
 
-    All shingles have one order, seldom ones first. Two texts of the similarity share a shingle among the first (1 - SIMILARITY) n + 1 of
-    both, and the first one they share leaves enough behind it in both. The order needs the counts only to keep what many texts have
-    out of these prefixes, so shingles are counted by slots of their hash, a table of fixed size."""
+    All shingles have one order: first those that a single root has, which link nothing, then the others by number of nodes. Two texts of the
+    similarity share a shingle among the first (1 - SIMILARITY) n + 1 of both, and the first one they share leaves enough behind it in both.
+    So a text with a fifth of its own shingles has nothing to look for. The pairs of a shingle are formed within neighbouring classes of length
+    only, a step of the similarity wide, and only where what is left of both texts can still reach it."""
     held = left.join(texts, "node").select("node", "root", "text")
-    found = held.select("text").mapInArrow(_slot_counts, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << _SLOT_BITS, np.int64)
-    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
-    shared = held.sparkSession.sparkContext.broadcast(counts)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for batch in bounded(batches, "text"):
-            own, size, row = [], [], []
-            for i, text in enumerate(batch["text"].to_pylist()):
-                ids = mix(labelled(shingles(word_hashes(text or ""), WORDS)))
-                n = len(ids)
-                first = ids[np.lexsort((ids, often[_slots(ids)]))][: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
-                own.append(first)
-                size.append(np.full(len(first), n, np.int32))
-                row.append(np.full(len(first), i, np.int64))
-            row = pa.array(np.concatenate(row))
-            at = np.concatenate([np.arange(len(x), dtype=np.int32) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(at), pa.array(np.concatenate(size)), batch["node"].take(row), batch["root"].take(row)],
-                                             ["s", "at", "size", "node", "root"])
-
-    entries = held.mapInArrow(prefixes, "s bigint, at int, size int, node binary, root binary")
-    entries = cut(entries)
-    several = entries.groupBy("s").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("s")
-    entries = cut(entries.join(several, "s"))
-    groups = entries.select("s", "root").distinct()  # members of one component never meet each other
-    met = groups.withColumnRenamed("root", "u").join(groups.withColumnRenamed("root", "v"), "s").filter("u > v")
-    x, y = (entries.select("s", F.col("root").alias(r), *(F.col(c).alias(f"{c}_{r}") for c in ("node", "size", "at"))) for r in "uv")
+    every = held.mapInArrow(_shingles, "s bigint, size bigint, node binary, root binary")
+    own = F.xxhash64("root")
+    several = every.groupBy("s").agg(F.count(F.lit(1)).alias("n"), (F.min(own) < F.max(own)).alias("open")).filter("open").select("s", "n")
+    met = every.join(several, "s")
+    by_node = Window.partitionBy("node")
+    at = F.col("size") - F.count(F.lit(1)).over(by_node) + F.row_number().over(by_node.orderBy("n", "s")) - 1
+    entries = met.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-9))
+    entries = cut(entries.select("s", "at", "size", "node", "root", F.floor(F.log("size") / -math.log(SIMILARITY)).alias("class")))
+    x = entries.select("s", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"), *(F.col(c).alias(f"{c}_u") for c in ("node", "root", "size", "at")))
+    y = entries.select("s", "class", *(F.col(c).alias(f"{c}_v") for c in ("node", "root", "size", "at")))
     need = (F.col("size_u") + F.col("size_v")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
     rest = F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v"))
-    return met.join(x, ["s", "u"]).join(y, ["s", "v"]).filter(rest >= need) \
-        .select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"), "u", "v").distinct()
+    near = F.least("size_u", "size_v") >= F.greatest("size_u", "size_v") * SIMILARITY - 1e-9
+    can = (x["s"] == y["s"]) & (x["class"] == y["class"]) & (F.col("root_u") > F.col("root_v")) & near & (rest >= need)
+    return x.join(y, can).select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"),
+                                 F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -271,22 +252,31 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id, class_size) per row: class_id is the least doc_id of the class, class_size its number of rows."""
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) per row, and (node, root, first, n) per node: the root of its class, its least doc_id and its number of rows."""
     keyed = docs.select("doc_id", "text", _text_key().alias("node"))
     rows = cut(keyed.mapInArrow(_sketches, "doc_id bigint, node binary, size int, sketch array<bigint>"))
     nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = cut(nodes)
     roots = links(keyed.select("node", "text"), nodes.select("node", "size", "sketch"))
     rooted = cut(nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return rows.select("doc_id", "node"), rooted
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, class_id, class_size) per row: class_id is the least doc_id of the class, class_size its number of rows."""
+    rows, rooted = _rooted(docs)
     sizes = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"))
     by_node = rooted.join(sizes, "root").select("node", "class_id", "class_size")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id", "class_size")
+    return rows.join(by_node, "node").select("doc_id", "node", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row of least doc_id of every class, with the columns of ``docs``; of rows that repeat a doc_id one is kept."""
-    kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n")).distinct()
+    """One row of every class with the columns of ``docs``: that of least doc_id, NULL last; among texts of one doc_id, that of least key. Of
+    rows equal in doc_id and text one is kept."""
+    _, rooted = _rooted(docs)
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least")
+    kept = rooted.groupBy("root").agg(least).select(F.col("least.first").alias("_d"), F.col("least.node").alias("_n"))
     key = unused(docs, "_node")
     keyed = docs.withColumn(key, _text_key())
     found = keyed.join(kept.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(kept["_d"]) & (keyed[key] == kept["_n"]), "left_semi")
