@@ -115,7 +115,8 @@ FROM documents d LEFT JOIN r USING (doc_id)"""
 
 _MIXING_SQL = """
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                      CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> 24 AS b FROM documents),
+                      CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || COALESCE(md5(text), '') || '|'
+                        || row_number() OVER (PARTITION BY doc_id, source, text) - 1), 1, 15) AS BIGINT) >> 24 AS b FROM documents),
 s AS (SELECT source, SUM(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(place - 1) % 3 + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE - COALESCE(SUM(cap) OVER p, 0)) / (SUM(w) OVER () - COALESCE(SUM(w) OVER p, 0)) AS level

@@ -4,8 +4,10 @@ A document's key hash decides how often it is taken. Words are summed per (sourc
 source's running sum reaches its budget is the only one looked into further, by the next bits, and rows are then compared with a
 threshold. Nothing is sorted by row, and a hot source is only ever summed.
 
-Edge cases: NULL text has size 0; NULL source is a source of its own, ordered last; rows of equal doc_id share a hash and are taken
-together; an empty table gives no rows; a source without words has target 0.
+The key is doc_id, text and the number of a row among those equal in doc_id, source and text, so rows of one doc_id, or with none, are drawn apart.
+
+Edge cases: NULL text has size 0; NULL source is a source of its own, ordered last; an empty table gives no rows; a source without
+words has target 0.
 """
 
 from __future__ import annotations
@@ -13,15 +15,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import cut, n_words
+from pixelmill.llm.common import cut, n_words, unused
 
 HASH_BITS, LEVEL_BITS, LEVELS = 60, 12, 3
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
+_RUN = 1 << 14  # equal rows numbered from one row
 
 
-def key_hash(key: Column) -> Column:
+def key_hash(*keys: Column) -> Column:
     """Uniform 60-bit integer per key; md5, so that any engine can repeat it."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+    name = F.concat_ws("|", *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, _t, size, n, _h) per row: hash and words of the text, number of rows equal in doc_id, source and text, and the key hash.
+
+    Equal rows are counted and then numbered anew, ``_RUN`` at a time, so each of them draws on its own and a row given many times is spread."""
+    rows = docs.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("_t"), n_words(F.col("text")).alias("size"))
+    rows = rows.groupBy("doc_id", "source", "_t").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _RUN))))
+    from_, to = F.col("_run") * _RUN, F.least(F.col("n"), (F.col("_run") + 1) * _RUN) - 1
+    each = runs.withColumn("_i", F.explode(F.sequence(from_, to)))
+    return each.select("doc_id", "source", "_t", "size", "n", key_hash(F.col("doc_id"), F.col("_t"), F.col("_i")).alias("_h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -80,13 +96,36 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
     return state.withColumn("_at", F.when(F.col("copies") >= REPEATS, F.lit(0)).otherwise(F.col("_at")))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) per row; the text is read once."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key_hash(F.col("doc_id")).alias("_h")))
-    plan = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))  # one row per source
-    limits = thresholds(sized.select("source", "size", "_h"), plan) \
+def draws(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, _t, n, size, source_size, target, copies, taken) per row; the text is read once."""
+    rows = cut(sized(docs))
+    plan = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))  # one row per source
+    limits = thresholds(rows.select("source", "size", "_h"), plan) \
         .select(F.col("source").alias("_s"), "source_size", "target", F.col("copies").alias("_c"), "_at")
-    joined = sized.join(limits, sized["source"].eqNullSafe(limits["_s"]))
+    joined = rows.join(limits, rows["source"].eqNullSafe(limits["_s"]))
     copies = (F.col("_c") + (_prefix(LEVEL_BITS * LEVELS) < F.col("_at")).cast("int")).cast("bigint")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")) \
-        .select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) per row."""
+    return draws(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them: none, one or two of each. Of rows equal in doc_id, source and text the mix takes some number
+    together, so one of them stands for all."""
+    taken = cut(draws(docs).groupBy("doc_id", "source", "_t").agg(F.sum("copies").alias("_c"), F.first("n").alias("_n")).filter("_c > 0")
+                .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_t").alias("_x"), "_c", "_n"))
+    key, copy = unused(docs, "_text"), unused(docs, "_copy")
+    keyed = docs.withColumn(key, F.md5(F.col("text").cast("binary")))
+
+    def joined(part: DataFrame) -> DataFrame:
+        same = keyed["doc_id"].eqNullSafe(part["_d"]) & keyed["source"].eqNullSafe(part["_s"]) & keyed[key].eqNullSafe(part["_x"])
+        return keyed.join(part.hint("shuffle_hash"), same).select(keyed["*"], part["_c"].alias(copy))
+
+    found = joined(taken.filter("_n = 1"))
+    several = taken.filter("_n > 1")
+    if not several.isEmpty():
+        found = found.union(joined(several).dropDuplicates(["doc_id", "source", key]))
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copy)))).select(*docs.columns)
