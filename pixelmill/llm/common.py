@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -14,10 +15,16 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Use the shared folder named in ``spark.checkpoint.dir``; only a session without one gets a folder of its own."""
+    """Use the shared folder named in ``spark.checkpoint.dir``. Only a session whose executors are threads of the driver may go without; it gets a
+    folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
 
 
 #: Spark drops the shuffle files of a query as it ends, not only when the driver's garbage collection finds them.

@@ -113,7 +113,7 @@ class Model:
 
 def fit(labelled: DataFrame, key: str = "doc_id", per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """Learn from (key, text, lang) rows. About ``per_language`` texts of each language are read, those of smallest key hash."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.filter(F.col(key).isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not sizes:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 
@@ -72,6 +73,39 @@ def test_language_edges(odd, none, real):
     assert {r.lang_pred for r in language.identify(odd, empty).collect()} == {"und"}
 
 
+def test_rows_without_id_teach_no_language(spark, real):
+    rows = [(None, "xyz zyx " * 20, "zz", "s")] * 10 + [(1, "hello there", "en", "s")]
+    assert language.fit(docs(spark, rows)).langs == ["en"]
+
+
+def test_language_against_plain_counting(spark, real):
+    """n-grams recounted one by one, logs summed in plain Python."""
+    rows = [(r.doc_id, r.text, r.lang) for r in real.collect() if r.text and r.lang]
+    train, tested = rows[:120], rows[120:160] + [(1000, "kurz", None), (1001, "É1", None)]
+    model = language.fit(docs(spark, [(i, t, lang, "s") for i, t, lang in train]))
+
+    def grams(text):
+        codes = [ord(c) for c in f" {text.lower()}  "]
+        for at in range(len(codes) - 2):
+            h = 0
+            for k, factor in enumerate((2654435761, 2246822519, 3266489917)):
+                h = ((h ^ codes[at + k]) * factor) & 0xFFFFFFFF
+                h ^= h >> 15
+                yield ((h * (668265263 + 2 * k)) & 0xFFFFFFFF) >> 16
+
+    counts, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang in train:
+        counts[lang].update(grams(text))
+        n[lang] += 1
+    langs = sorted(counts)
+    total = {x: sum(counts[x].values()) + 0.5 * language.BUCKETS for x in langs}
+    got = language.identify(docs(spark, [(i, t, None, "s") for i, t, _ in tested]), model).collect()
+    for r in got:
+        logs = {x: math.log(n[x] / len(train)) + sum(math.log((counts[x][g] + 0.5) / total[x]) for g in grams(r.text)) for x in langs}
+        best = max(langs, key=lambda x: logs[x])
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-3
+
+
 def test_language_long_text_scored_in_parts(real, monkeypatch):
     model = language.fit(real)
     texts = [r.text for r in real.limit(5).collect()]
@@ -203,6 +237,43 @@ def test_near_duplicate_edges(odd, none):
     assert near_duplicates.keep_one(odd).filter("doc_id = 4").count() == 1
 
 
+def test_one_row_of_each_class_with_repeated_ids(spark):
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(5, base + " one"), (5, base + " two"), (6, base), (None, base + " three"), (7, None), (7, None), (None, None), (5, "other text"), (None, "alone"), (None, "alone")]
+    kept = near_duplicates.keep_one(docs(spark, [(*r, "en", "s") for r in rows])).collect()
+    assert collections.Counter(r.doc_id if (r.text or "").startswith("w0") else r.text for r in kept) == {5: 1, None: 2, "other text": 1, "alone": 1}
+    whole = [r for r in rows if r[0] is not None]
+    got = near_duplicates.classes(docs(spark, [(*r, "en", "s") for r in whole])).collect()
+    assert len(got) == len(whole) and collections.Counter((r.class_id, r.class_size) for r in got) == {(5, 3): 3, (7, 2): 2, (5, 1): 1}
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(300_000)]
+    near = list(words)
+    for at in rng.sample(range(len(words)), 3000):
+        near[at] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words)))]
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(docs(spark, [(*r, "en", "s") for r in rows])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_rest_finds_every_alike_pair(spark):
+    """The prefix filter against all pairs, over texts that share passages of many lengths."""
+    rng = random.Random(9)
+    passages = [[f"p{j}x{k}" for k in range(rng.randint(10, 60))] for j in range(8)]
+    texts = []
+    for i in range(160):
+        words = [w for j in rng.sample(range(8), 3) for w in passages[j]] + [f"o{i // 2 if rng.random() < 0.7 else i}x{k}" for k in range(rng.randint(0, 30))]
+        texts.append(" ".join(words))
+    ids = [near_duplicates.shingles(near_duplicates.word_hashes(t)) for t in texts]
+    frame = spark.createDataFrame([(bytes([i]), t) for i, t in enumerate(texts)], "node binary, text string")
+    left = frame.select("node", F.col("node").alias("root"))
+    found = {(r.a[0], r.b[0]) for r in near_duplicates.rare_pairs(left, frame).collect()}
+    alike = {(i, k) for k in range(160) for i in range(k) if texts[i] != texts[k] and near_duplicates.similarity(ids[i], ids[k]) >= 0.8}
+    assert alike and alike <= found and len(found) < 160 * 159 / 4
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u int, v int")
     got = {r.node: r.root for r in components(links).collect()}
@@ -230,6 +301,27 @@ def test_mixing_targets_and_edges(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_repeated_and_missing_ids(spark):
+    rows = [(7, "w " * 10, "en", "one id")] * 150 + [(7, f"w{i} " * 10, "en", "one id") for i in range(150)] + [(None, "w " * 10, "en", "no id")] * 300
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for source in ("one id", "no id"):
+        own = [r for r in got if r.source == source]
+        assert own[0].source_size == 3000 and abs(sum(r.taken for r in own) - own[0].target) <= 10
+
+
+def test_mixed_rows_of_one_id_in_two_sources(spark, none):
+    rows = [(i, f"w{i} " * 10, "en", s) for s in "ab" for i in range(100)] + [(i, "same " * 10, None, "c") for i in range(3)] * 40 + [(None, None, None, None)] * 3
+    given = docs(spark, rows)
+    want = collections.Counter()
+    for r in mixing.mix(given).collect():
+        want[r.doc_id, r.source] += r.copies
+    got = mixing.mixed(given)
+    assert got.columns == given.columns
+    assert collections.Counter((r.doc_id, r.source) for r in got.collect()) == +want
+    assert mixing.mixed(none).count() == 0
+
+
 # ---- pieces
 
 @pytest.fixture(scope="module")
@@ -450,6 +542,19 @@ def test_pipeline_stages(spark, real, odd, tmp_path):
     assert {r.doc_id for r in rejected.collect()}.isdisjoint({1, 2, 3})
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Every stage on rows with NULLs, clashing names and repeated rows; columns stay but for the last."""
+    sizes = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, none, SF).count() == 0
+        out = stage(spark, odd, SF)
+        sizes[name] = out.count()
+        assert out.columns == odd.columns or k == len(corpus_pipeline.STAGES) - 1
+    assert sizes["line dedup"] == 9 and sizes["MinHash near-dedup"] == 8  # one of the two equal rows goes
+    copies = sum(r.copies for r in mixing.mix(odd).collect())
+    assert sizes["mixing sources"] == copies and sizes["SentencePiece encoding"] == 9
+
+
 def test_pipeline_of_nothing(spark, none, tmp_path):
     none.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
