@@ -37,9 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two rows each."""
-    taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_d"), F.col("copies").alias("_c")).distinct()
-    joined = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["_d"]))
-    return joined.withColumn(unused(docs, "_copy"), F.explode(F.sequence(F.lit(1), taken["_c"]))).select(*[docs[c] for c in docs.columns])
+    return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +60,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Delete what a stage has read, once its own result is written; the folder may be in any store that Spark knows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written into the session's shared checkpoint folder."""
     checkpoint_folder(spark)
@@ -70,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            dropped(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
