@@ -44,10 +44,13 @@ def asof_layer(samples: DataFrame, layers: DataFrame, max_days: int, include_sam
 
 
 def asof_values(samples: DataFrame, cells: DataFrame, max_days: int, include_same_day: bool = False,
-                day: str = "d", out: str = "value") -> DataFrame:
-    """Value of the most recent layer at the sample's own cell."""
-    dated = asof_layer(samples, cells.select("v", "h", "date").distinct(), max_days, include_same_day, day=day)
-    values = cells.select("v", "h", "i", "j", F.col("date").alias("layer_date"), F.col("value").alias(out))
+                day: str = "d", out: str = "value", dates: DataFrame | None = None) -> DataFrame:
+    """Value of the most recent layer at the sample's own cell. ``dates`` lists (v, h, date) of the layers; without it they are taken from the
+    cells. Of the cells only layers that some sample looks at are joined."""
+    found = cells.select("v", "h", "date").distinct() if dates is None else dates
+    dated = asof_layer(samples, found, max_days, include_same_day, day=day)
+    wanted = dated.select("v", "h", F.col("layer_date").alias("date")).distinct()
+    values = cells.join(wanted, ["v", "h", "date"], "left_semi").select("v", "h", "i", "j", F.col("date").alias("layer_date"), F.col("value").alias(out))
     return dated.join(values, ["v", "h", "i", "j", "layer_date"], "left")
 
 

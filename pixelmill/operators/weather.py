@@ -12,11 +12,14 @@ from pixelmill.operators.asof import per_distinct
 CELL_DAY = ("row", "col", "d")
 
 
-def pack_years(grid: DataFrame, out: str = "series") -> DataFrame:
+def pack_years(grid: DataFrame, out: str = "series", wanted: DataFrame | None = None) -> DataFrame:
     """Daily grid to one array per cell and year, day of year 1 first; missing days are NULL. A day that a cell has twice is an error
-    while running."""
+    while running. ``wanted`` has the (row, col, _y) to pack; other days of the grid are dropped before anything is packed."""
     days = F.array_sort(F.collect_list(F.struct(F.dayofyear("date").alias("k"), F.col("value").alias("x"))))
-    packed = grid.groupBy("row", "col", F.year("date").alias("_y")).agg(days.alias("_d"))  # at most 366 entries
+    grid = grid.select("row", "col", F.year("date").alias("_y"), "date", "value")
+    if wanted is not None:
+        grid = grid.join(wanted, ["row", "col", "_y"], "left_semi")
+    packed = grid.groupBy("row", "col", "_y").agg(days.alias("_d"))  # at most 366 entries
     gapless = F.transform("_d", lambda e: e["x"])
     none = F.lit(None).cast("double")
     spread = F.aggregate("_d", F.array().cast("array<double>"), lambda a, e: F.concat(
@@ -36,7 +39,8 @@ def daily_window_lookup(samples: DataFrame, grid: DataFrame, ndays: int, out: st
 
     def lookup(keys: DataFrame) -> DataFrame:
         day = F.dayofyear("d")
-        found = keys.withColumn("_y", F.year("d")).join(pack_years(grid, "_s"), ["row", "col", "_y"])
+        dated = keys.withColumn("_y", F.year("d"))
+        found = dated.join(pack_years(grid, "_s", dated.select("row", "col", "_y").distinct()), ["row", "col", "_y"])
         return found.select(*CELL_DAY, F.transform(F.sequence(F.lit(0), F.lit(ndays - 1)),
                                                    lambda k: F.when(k < day, F.get("_s", day - 1 - k))).alias(out))
 

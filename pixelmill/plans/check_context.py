@@ -30,7 +30,7 @@ def _yeargrid(orders):
   FROM b LEFT JOIN yg a ON a.y = ya AND a.gr = r AND a.gc = c LEFT JOIN yg z ON z.y = yb AND z.gr = r AND z.gc = c""")
 def _population(t):
     grid = _yeargrid(t.orders.filter(F.year("o_orderdate").isin(1996, 1998, 2000)))
-    out = context.add_population_density(grid_points(t).withColumn("year", F.year("d")).drop("d"), grid)
+    out = context.add_population_density(grid_points(t).withColumn("year", F.year("d")).drop("d"), grid, published=(1996, 1998))
     return out.withColumn("x_gpw4", F.round("x_gpw4", 4))
 
 

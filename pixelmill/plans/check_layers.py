@@ -79,9 +79,25 @@ def _indicator(t):
     return out.withColumn("indicator_value", F.col("indicator_value"))
 
 
-@query("read_daily_grid", f"WITH {DAILY_SQL} SELECT date, row_ AS \"row\", col_ AS col, round(value, 6) AS value FROM daily WHERE year(date) = 1997")
+# every day of 1997 at every cell that has a line in some year: the quantity shipped there, 0 on the other days
+DENSE_SQL = """cells0 AS (SELECT DISTINCT CAST(l_partkey % 6 AS INT) AS r, CAST(l_suppkey % 6 AS INT) AS c FROM lineitem),
+  shipped AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_partkey % 6 AS INT) AS r, CAST(l_suppkey % 6 AS INT) AS c, sum(l_quantity) AS q
+    FROM lineitem GROUP BY 1, 2, 3),
+  dense AS (SELECT date, r, c, coalesce(q, 0) AS value FROM (SELECT r, c, CAST(unnest(range(DATE '1997-01-01', DATE '1998-01-01', INTERVAL 1 DAY)) AS DATE) AS date
+    FROM cells0) LEFT JOIN shipped USING (date, r, c))"""
+
+
+def dense_days(t, year: int):
+    place = [(F.col("l_partkey") % 6).cast("int").alias("row"), (F.col("l_suppkey") % 6).cast("int").alias("col")]
+    shipped = t.lineitem.groupBy(F.col("l_shipdate").cast("date").alias("date"), *place).agg(F.sum("l_quantity").alias("q"))
+    days = F.explode(F.sequence(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31)))).alias("date")
+    every = t.lineitem.select(*place).distinct().select("row", "col", days)
+    return every.join(shipped, ["date", "row", "col"], "left").select("date", "row", "col", F.coalesce("q", F.lit(0.0)).alias("value"))
+
+
+@query("read_daily_grid", f"WITH {DENSE_SQL} SELECT date, r AS \"row\", c AS col, round(value, 6) AS value FROM dense")
 def _daily(t):
-    return src.read_daily_grid(t.daily, 1997, check=False).withColumn("value", F.round("value", 6))
+    return src.read_daily_grid(dense_days(t, 1997).union(dense_days(t, 1998)), 1997).withColumn("value", F.round("value", 6))
 
 
 @query("file_index", f"""WITH {NAMES_SQL} SELECT DISTINCT path, replace(path, 'data/MCD64A1/', '') AS fname, 'MCD64A1' AS product,
@@ -222,12 +238,12 @@ def _nonfire_v(t):
     return L.nonfire_wild_vegetation(fire_layer(t), t.lct)
 
 
-@query("pair_with_yearly_layers", f"""WITH {NAMES_SQL}, y AS (SELECT v, h, year, min(path) AS p FROM names WHERE id % 5 = 0 GROUP BY ALL)
+@query("pair_with_yearly_layers", f"""WITH {NAMES_SQL}, y AS (SELECT v, h, year, min(path) AS p FROM names GROUP BY ALL)
   SELECT n.id, n.v, n.h, n.year, a.p AS path_this_year, b.p AS path_next_year FROM names n
   LEFT JOIN y a ON a.v=n.v AND a.h=n.h AND a.year=n.year LEFT JOIN y b ON b.v=n.v AND b.h=n.h AND b.year=n.year+1
   WHERE a.p IS NOT NULL AND b.p IS NOT NULL""")
 def _pair(t):
-    yearly = t.names.filter("id % 5 = 0").select("v", "h", "year", "path")
+    yearly = t.names.select("v", "h", "year", "path")
     return L.pair_with_yearly_layers(t.names.select("id", "v", "h", "year"), yearly, 2)
 
 
@@ -268,11 +284,11 @@ def _positive_rate(t):
     return L.positive_rate(stats, ["v"]).withColumn("r_pos", F.round("r_pos", 6))
 
 
-@query("weighted_rates", f"""WITH {LABELLED_SQL}, w AS (SELECT v, h, year, CAST((v + 2*h + year) % 5 + 1 AS DOUBLE) AS weight FROM y WHERE year < 2000 GROUP BY ALL)
+@query("weighted_rates", f"""WITH {LABELLED_SQL}, w AS (SELECT v, h, year, CAST((v + 2*h + year) % 5 + 1 AS DOUBLE) AS weight FROM y GROUP BY ALL)
   SELECT round(sum(fire::INT*weight)/sum(weight), 6) AS r_pos FROM y JOIN w USING (v, h, year)""")
 def _weighted(t):
     stats = L.burn_stats(labelled(t), ["v", "h", "year"])
-    weights = stats.filter("year < 2000").select("v", "h", "year", ((F.col("v") + 2 * F.col("h") + F.col("year")) % 5 + 1).cast("double").alias("weight"))
+    weights = stats.select("v", "h", "year", ((F.col("v") + 2 * F.col("h") + F.col("year")) % 5 + 1).cast("double").alias("weight"))
     return L.weighted_rates(stats, weights).withColumn("r_pos", F.round("r_pos", 6))
 
 

@@ -51,11 +51,11 @@ def _latest(t):
 
 
 @query("previous_month_layer", f"""WITH {NAMES_SQL}, f AS (SELECT DISTINCT v, h, path, CAST(make_date(year,1,1) + CAST(yday - 1 AS INT) AS DATE) AS date
-    FROM names WHERE v = 1), m AS (SELECT v, h, date_trunc('month', date)::DATE AS m, min(path) AS pp FROM f GROUP BY ALL)
+    FROM names), m AS (SELECT v, h, date_trunc('month', date)::DATE AS m, min(path) AS pp FROM f GROUP BY ALL)
   SELECT 'MCD64A1' AS product, f.v, f.h, path, date, pp AS previous_path FROM f LEFT JOIN m ON m.v=f.v AND m.h=f.h
   AND m.m = (date_trunc('month', date) - INTERVAL 1 MONTH)::DATE""")
 def _previous(t):
-    idx = src.file_index(t.names.filter("v = 1").select("path")).select(
+    idx = src.file_index(t.names.select("path")).select(
         "product", "path", F.col("fname_date").alias("date"), F.col("tile_v").alias("v"), F.col("tile_h").alias("h"))
     return asof.previous_month_layer(idx)
 

@@ -25,7 +25,7 @@ def with_coordinates(samples: DataFrame) -> DataFrame:
 def build(samples: DataFrame, sources: Mapping[str, tuple]) -> DataFrame:
     """Append every source given. Keys and values:
 
-    weather -> [(name, daily grid, meta, ndays, agg_start)], population -> (grid, meta), countries -> (table, ring),
+    weather -> [(name, daily grid, meta, ndays, agg_start)], population -> (grid, meta), countries -> (table, rings),
     burn -> (burn layers, distance, hindsight), vegetation -> (name, cells), roads -> (grid, meta),
     precipitation -> (monthly grid, meta, n_climate, n_deficit).
 
@@ -58,8 +58,8 @@ def build(samples: DataFrame, sources: Mapping[str, tuple]) -> DataFrame:
     if at_cell:
         out = per_distinct(out, [*CELL, "d"], partial(_chain, adders=at_cell))
     if "countries" in sources:
-        table, ring = sources["countries"]
-        out = context.add_country_and_continent(out, table, ring=ring)
+        table, rings = sources["countries"]
+        out = context.add_country_and_continent(out, table, rings=rings)
     return out.drop("i", "j")
 
 

@@ -83,25 +83,36 @@ def read_indicator(wide: DataFrame, code: str, years: Sequence[int], names: Sequ
                 F.col("year").cast("int").alias("year"), "indicator_value")
 
 
-def read_daily_grid(grid: DataFrame, year: int, check: bool = True) -> DataFrame:
-    """One year of a daily grid; with ``check`` it fails while running unless the days are complete."""
+def read_daily_grid(grid: DataFrame, year: int, check: bool = True, cell: Sequence[str] = ("row", "col")) -> DataFrame:
+    """One year of a daily grid; with ``check`` it fails while running unless every cell has every day of the year."""
     out = grid.filter(F.year("date") == year)
     if not check:
         return out
     days = F.dayofyear(F.make_date(F.lit(year), F.lit(12), F.lit(31)))
-    complete = out.agg((F.count_distinct("date") == days).alias("ok")).scalar()
+    per_cell = out.groupBy(*cell).agg(F.count_distinct("date").alias("n"))
+    complete = per_cell.agg((F.min("n") == days).alias("ok")).scalar()
     value = F.when(complete, F.col("value")).otherwise(F.raise_error(F.lit(f"incomplete year {year}")).cast("double"))
     return out.withColumn("value", value)
 
 
 def read_boundaries(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """Polygons with a bounding box next to the ring. A text ring is read as JSON [[lon, lat], ...]."""
-    if dict(df.dtypes)[ring] == "string":
-        df = df.withColumn(ring, F.transform(F.from_json(ring, "array<array<double>>"), lambda p: F.struct(
-            p[0].alias("lon"), p[1].alias("lat"))))
+    """Polygons as ``rings``, an array of rings of (lon, lat), with the bounding box of all of them.
+
+    ``ring`` is such an array, a single ring, or JSON text: [[lon, lat], ...], a polygon [[[lon, lat], ...], ...] with its holes, or several
+    polygons [[[[lon, lat], ...], ...], ...]. Parts and holes need not be told apart: what an odd number of rings covers is inside."""
+    kind = dict(df.dtypes)[ring]
+    given = F.col(ring)
+    if kind == "string":
+        depth = [F.from_json(given, f"{'array<' * k}double{'>' * k}") for k in (2, 3, 4)]
+        opening = F.length(F.regexp_replace(F.regexp_extract(given, r"^[\s\[]*", 0), r"\s", ""))
+        rings = F.when(opening == 2, F.array(depth[0])).when(opening == 3, depth[1]).when(opening == 4, F.flatten(depth[2]))
+        rings = F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    else:
+        rings = given if kind.startswith("array<array<") else F.array(given)
+    df = df.withColumn("rings", rings)
 
     def bound(pick, part: str) -> Column:
-        return pick(F.transform(ring, lambda p: p[part]))
+        return pick(F.transform(F.flatten("rings"), lambda p: p[part]))
 
     return df.withColumns({"xmin": bound(F.array_min, "lon"), "xmax": bound(F.array_max, "lon"),
                            "ymin": bound(F.array_min, "lat"), "ymax": bound(F.array_max, "lat")})
