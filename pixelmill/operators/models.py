@@ -38,34 +38,52 @@ def ridge_scores(train: DataFrame, query: DataFrame, cols: Sequence[str], y: str
     return out.withColumn("proba", s.clamp(F.col("proba"))).withColumn("label_hat", (F.col("proba") >= threshold).cast("int"))
 
 
-MAX_KERNELS = 200_000
-
-
-def kde_class_scores(train: DataFrame, query: DataFrame, cols: Sequence[str], y: str, key: str, bandwidth: float,
+KERNEL_BLOCK, QUERY_BLOCK = 1024, 512
+
+
+def log_kernel_sums(q: np.ndarray, points: np.ndarray, member: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Log of the sums of Gaussian kernels per query row and class; ``member`` is the class of each kernel, ``width`` the bandwidth of each class.
+
+    Blocks of kernels are taken one after the other against a running largest exponent, so the temporaries are of block size whatever the
+    number of kernels, and squared distances come from one product per block."""
+    n_classes = len(width)
+    top = np.full((len(q), n_classes), -np.inf)
+    total = np.zeros((len(q), n_classes))
+    squares = (q * q).sum(axis=1)
+    for start in range(0, len(points), KERNEL_BLOCK):
+        part, own = points[start:start + KERNEL_BLOCK], member[start:start + KERNEL_BLOCK]
+        distance = np.maximum(squares[:, None] + (part * part).sum(axis=1) - 2 * q @ part.T, 0)
+        log_k = -distance / (2 * width[own] ** 2) - q.shape[1] * np.log(width[own])
+        for c in np.unique(own):
+            here = log_k[:, own == c]
+            new = np.maximum(top[:, c], here.max(axis=1))
+            total[:, c] = total[:, c] * np.exp(top[:, c] - new) + np.exp(here - new[:, None]).sum(axis=1)
+            top[:, c] = new
+    return top + np.log(total)
+
+
+def kde_class_scores(train: DataFrame, query: DataFrame, cols: Sequence[str], y: str, key: str, bandwidth: float | Mapping[object, float],
                      max_per_class: int, seed: int = 0, out: str = "posterior") -> DataFrame:
-    """Posterior of each class from Gaussian kernels around at most ``max_per_class`` training rows a class.
+    """Posterior of each class from Gaussian kernels around at most ``max_per_class`` training rows a class, with one bandwidth or one per class.
 
-    The capped training set is small and goes to the tasks as numpy arrays; a task holds one slice of query
-    rows against it at a time, so no pair of rows is ever written out. Adds a map class -> posterior.
+    The capped training set, whose size the parameters bound, goes to the tasks as numpy arrays; no pair of rows is ever written out. Adds a map
+    class -> posterior.
     """
     capped = sampling.exact_random_subset(train, [key], max_per_class, seed, [y]).select(y, *cols)
-    rows = capped.limit(MAX_KERNELS + 1).collect()
-    if len(rows) > MAX_KERNELS:
-        raise ValueError("too many kernels; lower max_per_class")
-    rows.sort()
+    rows = sorted(tuple(r) for r in capped.collect())  # max_per_class rows per class
     classes = sorted({r[0] for r in rows})
-    points = np.array([r[1:] for r in rows], dtype=float)
-    member = np.array([[r[0] == c for c in classes] for r in rows], dtype=float)
+    shared = query.sparkSession.sparkContext.broadcast((
+        np.array([r[1:] for r in rows], dtype=float), np.array([classes.index(r[0]) for r in rows]),
+        np.array([float(bandwidth[c]) if isinstance(bandwidth, Mapping) else float(bandwidth) for c in classes])))
     names = [str(c) for c in classes]
 
     @F.pandas_udf("array<double>")
     def posterior(*xs: pd.Series) -> pd.Series:
         q = np.column_stack([x.to_numpy(dtype=float) for x in xs])
         result = []
-        for start in range(0, len(q), 512):
-            part = q[start:start + 512]
-            logk = -((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2) / (2 * bandwidth ** 2)
-            k = np.exp(logk - logk.max(axis=1, keepdims=True)) @ member
+        for start in range(0, len(q), QUERY_BLOCK):
+            logs = log_kernel_sums(q[start:start + QUERY_BLOCK], *shared.value)
+            k = np.exp(logs - logs.max(axis=1, keepdims=True))
             result.extend((k / k.sum(axis=1, keepdims=True)).tolist())
         return pd.Series(result)
 

@@ -69,14 +69,11 @@ def _population(t):
     return src.read_population_grid(grid, 1997, [1.0])
 
 
-@query("read_indicator", f"""WITH {INDICATOR_SQL} SELECT country AS country_long, upper(country[1:3]) AS country_iso3, y AS year,
-  CASE y WHEN 1996 THEN y1996 WHEN 1997 THEN y1997 ELSE y1998 END AS indicator_value
-  FROM indicator_wide, (VALUES (1996),(1997),(1998)) AS yy(y)""".replace("country[1:3]", "substr(country,1,3)"))
+@query("read_indicator", f"""WITH {INDICATOR_SQL} SELECT country AS country_long, upper(substr(country,1,3)) AS country_iso3, y AS year, v AS indicator_value
+  FROM indicator_long""")
 def _indicator(t):
-    wide = t.indicator_wide.select(F.col("country").alias("Country Name"), F.upper(F.substring("country", 1, 3)).alias("Country Code"),
-                                   F.lit("X.1").alias("Indicator Code"), *[F.col(f"y{y}").alias(str(y)) for y in (1996, 1997, 1998)])
-    out = src.read_indicator(wide, "X.1", [1996, 1997, 1998])
-    return out.withColumn("indicator_value", F.col("indicator_value"))
+    wide, years = t.indicator_wide
+    return src.read_indicator(wide, "X.1", years)
 
 
 # every day of 1997 at every cell that has a line in some year: the quantity shipped there, 0 on the other days
@@ -179,9 +176,12 @@ def _margin(t):
     return L.inside_margin(t.lct, 3, TILE)
 
 
-@query("drop_incomplete", f"WITH {INDICATOR_SQL} SELECT * FROM indicator_wide WHERE y1996 IS NOT NULL AND y1997 IS NOT NULL")
+@query("drop_incomplete", f"""WITH {INDICATOR_SQL} SELECT country, max(CASE WHEN y = lo THEN v END) AS first_year, max(CASE WHEN y = hi THEN v END) AS last_year
+  FROM indicator_long, (SELECT min(y) AS lo, max(y) AS hi FROM indicator_long) GROUP BY country HAVING count(v) = count(*)""")
 def _drop(t):
-    return tb.drop_incomplete(t.indicator_wide, ["y1996", "y1997"])
+    wide, years = t.indicator_wide
+    whole = tb.drop_incomplete(wide, [str(y) for y in years])
+    return whole.select(F.col("Country Name").alias("country"), F.col(f"`{years[0]}`").alias("first_year"), F.col(f"`{years[-1]}`").alias("last_year"))
 
 
 @query("open_range", "SELECT c_custkey AS id, c_acctbal AS x FROM customer WHERE c_acctbal > 100 AND c_acctbal < 5000")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import scalars as s
 from pixelmill.operators import tables as tb
-from pixelmill.plans.lenses import COUNTRIES_SQL, NAMES_SQL, POINTS_SQL, PREDS_SQL, VECTORS_SQL
+from pixelmill.plans.lenses import COUNTRIES_SQL, NAMES_SQL, POINTS_SQL, PREDS_SQL, VALUES, VECTORS_SQL
 from pixelmill.plans.registry import query
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -84,11 +84,11 @@ def _stretch_by_group(t):
     return tb.stretch(c, "x", 0.0, 1.0, by=["c_nationkey"]).select("id", "c_nationkey", r6(F.col("x"), "x"))
 
 
-@query("zscore", f"""WITH {VECTORS_SQL}, a AS (SELECT avg(x0) AS m0, stddev_pop(x0) AS s0, avg(x1) AS m1, stddev_pop(x1) AS s1 FROM vectors)
-  SELECT vec_id, round((x0 - m0)/s0*2 + 0.5, 6) AS x0, round((x1 - m1)/s1*2, 6) AS x1 FROM vectors, a""")
+@query("zscore", f"""WITH {VECTORS_SQL}, a AS (SELECT {', '.join(f'avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}' for x in VALUES)} FROM vectors)
+  SELECT vec_id, {', '.join(f"round(({x} - m_{x})/s_{x}*2{' + 0.5' if x == 'x0' else ''}, 6) AS {x}" for x in VALUES)} FROM vectors, a""")
 def _zscore(t):
-    z = tb.zscore(t.vectors.select("vec_id", "x0", "x1"), ["x0", "x1"], scale=2.0, shift_first=0.5)
-    return z.select("vec_id", r6(F.col("x0"), "x0"), r6(F.col("x1"), "x1"))
+    z = tb.zscore(t.vectors.select("vec_id", *VALUES), VALUES, scale=2.0, shift_first=0.5)
+    return z.select("vec_id", *[r6(F.col(x), x) for x in VALUES])
 
 
 @query("recode", f"""SELECT {KEY_SQL}, CASE WHEN l_quantity = 1 THEN 2.0 WHEN l_quantity = 2 THEN 1.0 WHEN l_quantity = 50 THEN -9.0
@@ -156,25 +156,33 @@ def _noisy_or(t):
     return v.select("vec_id", *[r6(c, n) for n, c in p.items()])
 
 
-@query("score_product", f"""WITH {VECTORS_SQL}, c AS (SELECT vec_id, 1/(1 + exp(-(2*x0 - x1 + 0.5))) AS p_f,
-  1/(1 + exp(-(x2 + 3*x3 - 1))) AS p_i, 1/(1 + exp(-(0.7 - 0.2))) AS one FROM vectors)
+FIRST, SECOND = VALUES[:32], VALUES[32:]
+W_FIRST, W_SECOND = ([(k * m % 7 - 3) / 8 for k in range(32)] for m in (3, 5))
+
+
+def _sum_sql(names, weights, bias):
+    return " + ".join(f"({w})*{x}" for x, w in zip(names, weights)) + f" + ({bias})"
+
+
+@query("score_product", f"""WITH {VECTORS_SQL}, c AS (SELECT vec_id, 1/(1 + exp(-({_sum_sql(FIRST, W_FIRST, 0.5)}))) AS p_f,
+  1/(1 + exp(-({_sum_sql(SECOND, W_SECOND, -1)}))) AS p_i, 1/(1 + exp(-(0.7 - 0.2))) AS one FROM vectors)
   SELECT vec_id, round(p_f, 6) AS p_f, round(p_i, 6) AS p_i, round(p_f*p_i, 6) AS p, round(p_f*one, 6) AS p_const FROM c""")
 def _score_product(t):
-    x = [F.col(f"x{k}") for k in range(4)]
-    two = s.score_product(x[:2], [2, -1], 0.5, x[2:], [1, 3], -1)
-    const = s.score_product(x[:2], [2, -1], 0.5, [], [0.7], -0.2)
+    first, second = ([F.col(x) for x in names] for names in (FIRST, SECOND))
+    two = s.score_product(first, W_FIRST, 0.5, second, W_SECOND, -1)
+    const = s.score_product(first, W_FIRST, 0.5, [], [0.7], -0.2)
     return t.vectors.select("vec_id", *[r6(c, n) for n, c in two.items()], r6(const["p"], "p_const"))
 
 
-_L1 = [([1.0, -1.0, 0.5, 0.0], 0.1), ([0.0, 2.0, -1.0, 1.0], -0.2), ([0.5, 0.5, 0.5, 0.5], 0.0)]
+_L1 = [([((n + 2) * k % 9 - 4) / 16 for k in range(64)], 0.1 * n - 0.1) for n in range(3)]
 
 
 @query("score_mlp", f"""WITH {VECTORS_SQL}, l AS (SELECT vec_id, {', '.join(
-    f"1/(1 + exp(-({' + '.join(f'{w}*x{k}' for k, w in enumerate(ws))} + {b}))) AS h{n}" for n, (ws, b) in enumerate(_L1))} FROM vectors)
+    f"1/(1 + exp(-({_sum_sql(VALUES, ws, b)}))) AS h{n}" for n, (ws, b) in enumerate(_L1))} FROM vectors)
   SELECT vec_id, round(1/(1 + exp(-(2*h0 - 1.5*h1 + h2 - 0.3))), 6) AS p FROM l""")
 def _score_mlp(t):
     layers = [([w for w, _ in _L1], [b for _, b in _L1]), ([[2.0, -1.5, 1.0]], [-0.3])]
-    return t.vectors.select("vec_id", r6(s.score_mlp([F.col(f"x{k}") for k in range(4)], layers), "p"))
+    return t.vectors.select("vec_id", r6(s.score_mlp([F.col(x) for x in VALUES], layers), "p"))
 
 
 @query("rename_to_generic", "SELECT o_totalprice AS x0, o_custkey AS x1, o_orderstatus = 'F' AS fire FROM orders")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pixelmill.operators import reliability as rel
 from pixelmill.operators import scores as sc
 from pixelmill.operators import tables as tb
-from pixelmill.plans.lenses import POINTS_SQL, PREDS_SQL, RUNS_SQL, VECTORS_SQL
+from pixelmill.plans.lenses import POINTS_SQL, PREDS_SQL, RUNS_SQL
 from pixelmill.plans.registry import query
 
 
@@ -285,9 +285,15 @@ def _quartiles(t):
     return rounded(tb.quartile_summary(t.events, "value", ["event_type"]))
 
 
-@query("quantiles_grid", f"""WITH {VECTORS_SQL} SELECT label, {', '.join(f'round(quantile_cont(x0, {q}), 6) AS q{k}' for k, q in enumerate((0.0, 0.1, 0.5, 0.99, 1.0)))} FROM vectors GROUP BY 1""")
+_GRID_PROBS = (0.0, 0.1, 0.5, 0.99, 1.0)
+
+
+@query("quantiles_grid", f"""WITH u AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+  SELECT label, {', '.join(f'round(quantile_cont(x, {q}), 6) AS q{k}' for k, q in enumerate(_GRID_PROBS))} FROM u GROUP BY 1""")
 def _quantiles(t):
+    """Of all values of the vectors of a label."""
     from pixelmill.operators import ranks
 
-    out = ranks.quantiles(t.vectors, "x0", [0.0, 0.1, 0.5, 0.99, 1.0], ["label"])
+    values = t.embeddings.select("label", F.explode("embedding").alias("x")).withColumn("x", F.col("x").cast("double"))
+    out = ranks.quantiles(values, "x", list(_GRID_PROBS), ["label"])
     return out.select("label", *[F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(5)])

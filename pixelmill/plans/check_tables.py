@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import tables as tb
 from pixelmill.plans.check_scores import rounded
-from pixelmill.plans.lenses import INDICATOR_SQL, POINTS_SQL, PREDS_SQL, RUNS_SQL, VECTORS_SQL
+from pixelmill.plans.lenses import INDICATOR_SQL, POINTS_SQL, PREDS_SQL, RUNS_SQL, VALUES, VECTORS_SQL
 from pixelmill.plans.registry import query
+from pixelmill.sources import layers
 
 
 @query("implode", "SELECT o_custkey AS k, string_agg(o_orderkey, ',' ORDER BY o_orderkey) AS id, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS s FROM orders GROUP BY 1")
@@ -23,10 +24,13 @@ def _implode_single(t):
     return lists.select("k", F.array_join("id", ",").alias("id"), "id_single")
 
 
-@query("null_ratio", f"""WITH {INDICATOR_SQL}, p AS (SELECT upper(n_name) AS c, (SELECT y1996 FROM indicator_wide i WHERE i.country = n_name AND n_nationkey % 3 = 0) AS x FROM nation)
+@query("null_ratio", f"""WITH {INDICATOR_SQL}, p AS (SELECT upper(n_name) AS c, v AS x FROM nation LEFT JOIN indicator_long i ON i.country = n_name AND (n_nationkey + y) % 3 = 0)
   SELECT 'c' AS "column", 0.0::DOUBLE AS null_ratio, 1.0::DOUBLE AS not_null_ratio UNION ALL SELECT 'x', round(avg((x IS NULL)::INT), 6), round(1 - avg((x IS NULL)::INT), 6) FROM p""")
 def _nulls(t):
-    p = t.nation.join(t.indicator_wide, (F.col("country") == F.col("n_name")) & (F.col("n_nationkey") % 3 == 0), "left").select(F.upper("n_name").alias("c"), F.col("y1996").alias("x"))
+    wide, years = t.indicator_wide
+    long = layers.read_indicator(wide, "X.1", years)
+    p = t.nation.join(long, (F.col("country_long") == F.col("n_name")) & ((F.col("n_nationkey") + F.col("year")) % 3 == 0), "left") \
+        .select(F.upper("n_name").alias("c"), F.col("indicator_value").alias("x"))
     return rounded(tb.null_ratio(p))
 
 
@@ -53,7 +57,8 @@ def _biased(t):
     return rounded(tb.biased_sample_weight(t.points.select("id", F.col("fire").cast("int").alias("y")), "y", 0.01))
 
 
-_FREQ_SQL = f"""{POINTS_SQL}, f AS (SELECT v, h, i % 4 AS q, avg(fire::INT) AS p, count(*) AS n FROM points WHERE id % 2 = 0 AND i % 4 < 3 GROUP BY ALL),
+def _freq_sql(where=""):
+    return f"""{POINTS_SQL}, f AS (SELECT v, h, i % 4 AS q, avg(fire::INT) AS p, count(*) AS n FROM points {where} GROUP BY ALL),
   fr AS (SELECT *, p/(SELECT max(p) FROM f)*0.9 AS r FROM f)"""
 
 
@@ -61,16 +66,18 @@ def _features(t):
     return t.points.select("id", "v", "h", (F.col("i") % 4).alias("q"), F.col("fire").cast("int").alias("y"))
 
 
-@query("frequency_table", f"WITH {_FREQ_SQL} SELECT v, h, q, round(r, 6) AS proba, n FROM fr")
+@query("frequency_table", f"WITH {_freq_sql()} SELECT v, h, q, round(r, 6) AS proba, n FROM fr")
 def _freq(t):
-    return rounded(tb.frequency_table(_features(t).filter("id % 2 = 0 AND q < 3"), ["v", "h", "q"], "y", 0.9))
+    return rounded(tb.frequency_table(_features(t), ["v", "h", "q"], "y", 0.9))
 
 
-@query("predict_from_frequency", f"""WITH {_FREQ_SQL} SELECT id, p.v, p.h, i % 4 AS q, round(coalesce(r, 0.05), 6)::DOUBLE AS proba, (coalesce(r, 0.05) >= 0.5)::INT AS label FROM points p
-  LEFT JOIN fr ON fr.v=p.v AND fr.h=p.h AND fr.q = i % 4""")
+@query("predict_from_frequency", f"""WITH {_freq_sql()}, p AS (SELECT id, v, h + 1 AS h, i % 4 AS q FROM points)
+  SELECT id, p.v, p.h, p.q, round(coalesce(r, 0.05), 6)::DOUBLE AS proba, (coalesce(r, 0.05) >= 0.5)::INT AS label FROM p
+  LEFT JOIN fr ON fr.v=p.v AND fr.h=p.h AND fr.q=p.q""")
 def _predict_freq(t):
-    f = tb.frequency_table(_features(t).filter("id % 2 = 0 AND q < 3"), ["v", "h", "q"], "y", 0.9)
-    return rounded(tb.predict_from_frequency(_features(t).drop("y"), f, ["v", "h", "q"], 0.05))
+    """The tile to the east of every sample; the last column of tiles has none."""
+    f = tb.frequency_table(_features(t), ["v", "h", "q"], "y", 0.9)
+    return rounded(tb.predict_from_frequency(_features(t).drop("y").withColumn("h", F.col("h") + 1), f, ["v", "h", "q"], 0.05))
 
 
 @query("weighted_average", "SELECT l_linenumber AS k, round(sum(CASE WHEN l_tax > 0 THEN l_discount*l_quantity END)/sum(CASE WHEN l_tax > 0 THEN l_quantity END), 6) AS mean FROM lineitem GROUP BY 1")
@@ -109,10 +116,16 @@ def _grid_product(t):
     return tb.grid_product(n, {"x": "a", "y": "b"})
 
 
-@query("grid_over", f"""WITH {VECTORS_SQL}, s AS (SELECT min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1 FROM vectors)
+_SUMS = {"x0": VALUES[:32], "x1": VALUES[32:]}
+
+
+@query("grid_over", f"""WITH {VECTORS_SQL}, w AS (SELECT {', '.join(f"{' + '.join(v)} AS {k}" for k, v in _SUMS.items())} FROM vectors),
+  s AS (SELECT min(x0) AS a0, max(x0) AS b0, min(x1) AS a1, max(x1) AS b1 FROM w)
   SELECT round(a0 - 0.1*(b0 - a0) + i*1.2*(b0 - a0)/9, 6) AS x0, round(a1 - 0.1*(b1 - a1) + j*1.2*(b1 - a1)/9, 6) AS x1, 7.0::DOUBLE AS c FROM s, range(0, 10) t1(i), range(0, 10) t2(j)""")
 def _grid_over(t):
-    return rounded(tb.grid_over(t.vectors.withColumn("c", F.lit(7.0)), ["x0", "x1", "c"], 105, 0.1))
+    """Over the sums of both halves of the values."""
+    sums = t.vectors.select(*[sum((F.col(x) for x in v), F.lit(0.0)).alias(k) for k, v in _SUMS.items()], F.lit(7.0).alias("c"))
+    return rounded(tb.grid_over(sums, ["x0", "x1", "c"], 105, 0.1))
 
 
 @query("scores_wide", f"""WITH {RUNS_SQL} SELECT model, round(avg(CASE WHEN split = 'O' THEN y_true END), 6) AS "O_ptrue_mean", round(avg(CASE WHEN split = 'F' THEN y_true END), 6) AS "F_ptrue_mean" FROM runs GROUP BY 1""")

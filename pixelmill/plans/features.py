@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pixelmill.functions import grid as g
 from pixelmill.functions import scalars as s
 from pixelmill.operators import context, neighborhood, weather
-from pixelmill.operators.asof import per_distinct
 from pixelmill.operators.layers import CELL
 
 
@@ -22,23 +21,32 @@ def with_coordinates(samples: DataFrame) -> DataFrame:
     return samples.withColumns({**c, "d": s.yday_to_date(F.col("year"), F.col("yday")), "i": F.col("i2"), "j": F.col("j2")})
 
 
-def build(samples: DataFrame, sources: Mapping[str, tuple]) -> DataFrame:
+def build(samples: DataFrame, sources: Mapping[str, tuple], n: int = neighborhood.SIDE) -> DataFrame:
     """Append every source given. Keys and values:
 
-    weather -> [(name, daily grid, meta, ndays, agg_start)], population -> (grid, meta), countries -> (table, rings),
-    burn -> (burn layers, distance, hindsight), vegetation -> (name, cells), roads -> (grid, meta),
-    precipitation -> (monthly grid, meta, n_climate, n_deficit).
+    weather -> [(name, daily grid, meta, ndays, agg_start)], fire_weather -> (daily grid, meta), population -> (grid, meta, published years),
+    roads -> (grid, meta), precipitation -> (monthly grid, meta, n_climate, n_deficit), lightning -> (climatology, meta, monthly),
+    burn -> (burn layers, distance, hindsight), vegetation -> (name, cells), land_cover -> (name, layers, classes, distance),
+    countries -> (table, rings), indicators -> [(name, table)], which needs countries, and one_hot -> classes of the samples' ``lct``.
+
+    ``n`` is the number of cells along the side of a tile.
 
     The samples are wide, so they are joined once per grid and once for everything at their own cell,
     however many sources there are: the sources are first put next to each other on the distinct keys.
     """
-    out = with_coordinates(samples)
+    base = out = with_coordinates(samples)
     by_grid: dict[g.GridMeta, list[Callable[[DataFrame], DataFrame]]] = defaultdict(list)
     for name, grid, meta, ndays, start in sources.get("weather", ()):
         by_grid[meta].append(partial(weather.add_weather, grid=grid, var=name, ndays=ndays, agg_start=start))
     if "population" in sources:
-        grid, meta = sources["population"]
-        by_grid[meta].append(partial(_population, grid=grid))
+        grid, meta, published = sources["population"]
+        by_grid[meta].append(partial(_population, grid=grid, published=published))
+    if "fire_weather" in sources:
+        grid, meta = sources["fire_weather"]
+        by_grid[meta].append(partial(weather.add_fire_weather_index, grid=grid))
+    if "lightning" in sources:
+        clim, meta, monthly = sources["lightning"]
+        by_grid[meta].append(partial(_lightning, clim=clim, monthly=monthly))
     if "precipitation" in sources:
         grid, meta, n_climate, n_deficit = sources["precipitation"]
         by_grid[meta].append(partial(weather.add_precip_deficit, precip=grid, n_climate=n_climate, n_deficit=n_deficit))
@@ -46,26 +54,44 @@ def build(samples: DataFrame, sources: Mapping[str, tuple]) -> DataFrame:
         grid, meta = sources["roads"]
         by_grid[meta].append(partial(context.add_road_density, roads=grid))
     for meta, adders in by_grid.items():
-        out = per_distinct(context.locate(out, meta), ["row", "col", "d"], partial(_chain, adders=adders)).drop("row", "col")
+        key = ["row", "col", "d"]
+        out = _joined(context.locate(out, meta), context.locate(base, meta), key, adders).drop("row", "col")
 
     at_cell: list[Callable[[DataFrame], DataFrame]] = []
     if "burn" in sources:
         burn, distance, hindsight = sources["burn"]
-        at_cell.append(partial(neighborhood.add_neighboring_fires, burn=burn, distance=distance, hindsight=hindsight))
+        at_cell.append(partial(neighborhood.add_neighboring_fires, burn=burn, distance=distance, hindsight=hindsight, n=n))
     if "vegetation" in sources:
         name, cells = sources["vegetation"]
         at_cell.append(partial(neighborhood.add_vegetation_index, vi=cells, name=name))
+    if "land_cover" in sources:
+        name, cells, classes, distance = sources["land_cover"]
+        at_cell.append(partial(neighborhood.add_land_cover_nearby, lct=cells, query_lcts=classes, distance=distance, name=name, n=n))
     if at_cell:
-        out = per_distinct(out, [*CELL, "d"], partial(_chain, adders=at_cell))
+        out = _joined(out, base, [*CELL, "d"], at_cell)
     if "countries" in sources:
         table, rings = sources["countries"]
         out = context.add_country_and_continent(out, table, rings=rings)
+    for name, table in sources.get("indicators", ()):
+        if "iso3" not in out.columns:
+            raise ValueError("indicators need the country of a sample")
+        out = context.add_indicator(out, table, name)
+    if "one_hot" in sources:
+        out = out.select("*", *s.one_hot(F.col("lct"), sources["one_hot"]))
     return out.drop("i", "j")
 
 
-def _chain(keys: DataFrame, adders: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    return reduce(lambda df, add: add(df), adders, keys)
+def _joined(out: DataFrame, base: DataFrame, key: Sequence[str], adders: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Columns of every adder next to ``out``. Each looks up the distinct keys of ``base`` on its own, so the plan grows with the number of sources
+    only, and the results, one row per key, meet before the wide rows do."""
+    keys = base.select(*key).filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])).distinct()
+    found = reduce(lambda a, b: a.join(b, list(key)), [add(keys) for add in adders])
+    return out.join(found, list(key), "left").select(*out.columns, *[c for c in found.columns if c not in key])
+
+
+def _population(keys: DataFrame, grid: DataFrame, published: Sequence[int] | None) -> DataFrame:
+    return context.add_population_density(keys.withColumn("year", F.year("d")), grid, published=published).drop("year")
 
 
-def _population(keys: DataFrame, grid: DataFrame) -> DataFrame:
-    return context.add_population_density(keys.withColumn("year", F.year("d")), grid).drop("year")
+def _lightning(keys: DataFrame, clim: DataFrame, monthly: bool) -> DataFrame:
+    return context.add_lightning(keys.withColumn("month", F.month("d")), clim, monthly).drop("month")

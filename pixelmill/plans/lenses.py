@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 TILE = 24  # cells per tile side in the lens
 GRID = 6  # cells per side of the daily grid
+VALUES = [f"x{k}" for k in range(64)]  # all values of an embedding
 
 
 def _int(c: Column) -> Column:
@@ -124,12 +125,16 @@ class Tables:
             (F.col("l_quantity") / 51.0 * ((F.col("l_discount") + 0.01) / 0.12)).alias("y_proba"))
 
     @cached_property
-    def indicator_wide(self) -> DataFrame:
+    def indicator_wide(self) -> tuple[DataFrame, list[int]]:
+        """An indicator table, wide by year, and its years: all that orders have."""
         joined = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")) \
             .join(self.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        return joined.groupBy(F.col("n_name").alias("country")).agg(*[
-            F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))).alias(f"y{y}")
-            for y in (1996, 1997, 1998)])
+        first, last = self.orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).head()
+        years = list(range(first, last + 1))
+        name = F.col("n_name")
+        wide = joined.groupBy(name.alias("Country Name")).agg(*[F.sum(F.when(F.year("o_orderdate") == y, F.col("o_totalprice"))).alias(str(y)) for y in years])
+        return wide.select("Country Name", F.upper(F.substring("Country Name", 1, 3)).alias("Country Code"), F.lit("X.1").alias("Indicator Code"),
+                           *[F.col(f"`{y}`") for y in years]), years
 
     @cached_property
     def names(self) -> DataFrame:
@@ -143,7 +148,7 @@ class Tables:
     def vectors(self) -> DataFrame:
         e = F.col("embedding")
         return self.embeddings.select(
-            "vec_id", "label", *[e[k].cast("double").alias(f"x{k}") for k in range(4)])
+            "vec_id", "label", *[e[k].cast("double").alias(x) for k, x in enumerate(VALUES)])
 
 
 LCT_SQL = """lct AS (
@@ -199,18 +204,15 @@ RUNS_SQL = """runs AS (
   SELECT l_linenumber AS model, l_orderkey % 3 AS trial, l_linestatus AS split,
          CAST(l_returnflag = 'R' AS INT) AS y_true, l_quantity/51.0*((l_discount + 0.01)/0.12) AS y_proba
   FROM lineitem)"""
-INDICATOR_SQL = """indicator_wide AS (
-  SELECT n_name AS country,
-         sum(CASE WHEN year(o_orderdate)=1996 THEN o_totalprice END) AS y1996,
-         sum(CASE WHEN year(o_orderdate)=1997 THEN o_totalprice END) AS y1997,
-         sum(CASE WHEN year(o_orderdate)=1998 THEN o_totalprice END) AS y1998
-  FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
-  GROUP BY n_name)"""
+INDICATOR_SQL = """indicator_long AS (SELECT country, y, v FROM (SELECT DISTINCT n_name AS country FROM orders JOIN customer ON o_custkey=c_custkey
+    JOIN nation ON c_nationkey=n_nationkey)
+  CROSS JOIN (SELECT CAST(unnest(range(lo, hi + 1)) AS INT) AS y FROM (SELECT min(year(o_orderdate)) AS lo, max(year(o_orderdate)) AS hi FROM orders))
+  LEFT JOIN (SELECT n_name AS country, CAST(year(o_orderdate) AS INT) AS y, sum(o_totalprice) AS v
+    FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1, 2) USING (country, y))"""
 NAMES_SQL = POINTS_SQL + """, names AS (
   SELECT id, v, h, year, yday,
          printf('data/MCD64A1/MCD64A1.A%d%03d.h%02dv%02d.006.2018142182903.hdf', year, yday, h, v) AS path
   FROM points)"""
-VECTORS_SQL = """vectors AS (
-  SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1,
-         CAST(embedding[3] AS DOUBLE) AS x2, CAST(embedding[4] AS DOUBLE) AS x3
+VECTORS_SQL = f"""vectors AS (
+  SELECT vec_id, label, {", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {x}" for k, x in enumerate(VALUES))}
   FROM embeddings)"""
