@@ -9,7 +9,44 @@ from pyspark.sql import functions as F
 TOPDIR = r"/[A-Z]+/?$"
 PRODUCT = r"(?<=/)[A-Z_0-9]+\.[0-9]+(?=/$)"
 LINK_DATE = r"[12][0-9]{3}\.[01][0-9]\.[0-3][0-9]"
-HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+# What a page is cut into: comments and elements whose content is text, whole, so that no link is seen inside; and start tags of links. A quote
+# counts behind an equals sign only; a comment or element that is not closed ends with the page.
+TOKENS = (r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\z)"
+          r"|<a(?:[\s/](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)?>")
+# An attribute: its name, and its value in double quotes, single quotes, or bare.
+ATTRIBUTE = r"(?s)([^\s\"'<>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?"
+REFERENCE = r"(?s)&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]+|#[xX][0-9a-fA-F]+);|[^&]+|&"
+# The character references that links are written with.
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
+
+
+def unescape(text: Column) -> Column:
+    """Text with its character references decoded, each once; other names stay as they are."""
+    def one(t: Column) -> Column:
+        number = F.when(t.rlike("^&#[0-9]+;$"), F.regexp_extract(t, "[0-9]+", 0).cast("bigint")) \
+            .when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "[xX]([0-9a-fA-F]+)", 1), 16, 10).cast("bigint"))
+        # four bytes, big end first
+        sign = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        out = F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), sign)
+        for name, c in NAMED.items():
+            out = out.when(t == name, F.lit(c))
+        return out.otherwise(t)
+
+    return F.when(~text.contains("&"), text).otherwise(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one), ""))
+
+
+def hrefs(html: Column) -> Column:
+    """Decoded targets of the links of a page, in order; what a comment, script, style or title holds is no link."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(TOKENS), F.lit(0)), lambda t: t.rlike(r"(?i)^<a[\s/>]"))
+
+    def target(tag: Column) -> Column:
+        inside = F.substring(tag, 3, 1 << 30)
+        group = lambda k: F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(k))
+        at = F.array_position(F.transform(group(1), F.lower), "href")
+        value = F.concat(*[F.coalesce(F.try_element_at(group(k), at.cast("int")), F.lit("")) for k in (2, 3, 4)])  # one of them holds it
+        return F.when(at > 0, F.trim(unescape(value)))
+
+    return F.filter(F.transform(tags, target), lambda x: x.isNotNull())
 
 
 def fold_dots(path: Column) -> Column:
@@ -42,11 +79,8 @@ def resolve(base: Column, href: Column) -> Column:
 
 def link_table(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Link targets per page, unique, in order of first appearance."""
-    groups = F.arrays_zip(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)).alias("a"),
-                          F.regexp_extract_all(html, F.lit(HREF), F.lit(2)).alias("b"))
-    found = pages.select(key, F.col(url).alias("_base"), F.posexplode(groups).alias("pos", "_m"))
-    href = F.trim(F.when(F.col("_m.a") != "", F.col("_m.a")).otherwise(F.col("_m.b")))
-    return found.select(key, "pos", resolve(F.col("_base"), href).alias("link")) \
+    found = pages.select(key, F.col(url).alias("_base"), F.posexplode(hrefs(F.col(html))).alias("pos", "_h"))
+    return found.select(key, "pos", resolve(F.col("_base"), F.col("_h")).alias("link")) \
         .groupBy(key, "link").agg(F.min("pos").alias("pos"))
 
 
