@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,27 +29,116 @@ def percentile_edges(df: DataFrame, probs: dict[str, Sequence[float]]) -> dict[s
     return {c: e if len(e) > 1 else [0.0, 1.0] for c, e in edges.items()}
 
 
-def piecewise_linear(x: Column, knots: Sequence[tuple[float, float]], clip: bool = False) -> Column:
-    """Linear interpolation through knots sorted by x; NULL outside them unless ``clip``."""
-    pts = sorted(knots)
-    value = F.when(x == pts[0][0], F.lit(pts[0][1]))
-    for (x0, y0), (x1, y1) in zip(pts, pts[1:]):
-        if x1 > x0:
-            value = value.when((x > x0) & (x <= x1), y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
+SEARCH_FROM = 65  # knots from which a curve is searched instead of being written out in generated code
+
+
+def _spline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients per segment of the cubic spline through at least four points whose third derivative is continuous at the second and the
+    last but one."""
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
+    n = len(x)
+    m = np.zeros((n, n))
+    right = np.zeros(n)
+    for k in range(1, n - 1):
+        m[k, k - 1:k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
+        right[k] = 6 * (slope[k] - slope[k - 1])
+    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    bend = np.linalg.solve(m, right)
+    return np.stack([y[:-1], slope - h * (2 * bend[:-1] + bend[1:]) / 6, bend[:-1] / 2, (bend[1:] - bend[:-1]) / (6 * h)], axis=1)
+
+
+def _segments(knots: Sequence[tuple[float, float]], method: str) -> tuple[list[tuple[float, float]], list[list[float]]]:
+    """Knots in order, and per segment between two of them the coefficients of powers of the distance from its left end."""
+    pts = sorted((float(x), float(y)) for x, y in knots)
+    if method == "linear":
+        return pts, [[y0, (y1 - y0) / (x1 - x0) if x1 > x0 else 0.0] for (x0, y0), (x1, y1) in zip(pts, pts[1:])]
+    if method != "cubic":
+        raise ValueError("method must be linear or cubic")
+    x, y = np.array(pts).T
+    if len(x) < 4 or (np.diff(x) <= 0).any():
+        raise ValueError("a cubic curve needs four knots or more, all different")
+    return pts, _spline(x, y).tolist()
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    """Array literal of any length from one string, which is parsed once."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def _polynomial(distance: Column, coefficients: Sequence[Column | float]) -> Column:
+    """Written out from the constant term on."""
+    terms = coefficients[0] + distance * coefficients[1]
+    for power, c in enumerate(coefficients[2:], 2):
+        terms = terms + reduce(lambda u, v: u * v, [distance] * power) * c
+    return terms
+
+
+def piecewise(x: Column, knots: Sequence[tuple[float, float]], clip: bool = False, method: str = "linear", search_from: int = SEARCH_FROM) -> Column:
+    """Interpolation through knots, linear or by a cubic spline; NULL outside them unless ``clip``.
+
+    A few knots become conditions in generated code; more are searched by halving in a sorted array, so a curve of any length is one short
+    expression. Of knots at one place the first in order ends what is left of it and the last begins what is right of it."""
+    pts, segments = _segments(knots, method)
+    first, last = pts[0], pts[-1]
+    if len(pts) < search_from:
+        value = F.when(x == first[0], F.lit(first[1]))
+        for (x0, _), (x1, _), c in zip(pts, pts[1:], segments):
+            if x1 > x0:
+                value = value.when((x > x0) & (x <= x1), _polynomial(x - x0, [F.lit(k) for k in c]))
+    else:
+        n = len(pts)
+        places, table = _numbers([p for p, _ in pts]), [_numbers(c) for c in zip(*segments)]
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+        # number of knots left of x, bit by bit
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(places, at + step - 1) < x), at + step).otherwise(at))
+        inside = F.transform(F.array(below), lambda k: F.when(k.between(1, n - 1), _polynomial(x - F.get(places, k - 1), [F.get(c, k - 1) for c in table])))
+        value = F.when(x == first[0], F.lit(first[1])).otherwise(F.get(inside, F.lit(0)))
     if clip:
-        value = value.when(x < pts[0][0], F.lit(pts[0][1])).when(x > pts[-1][0], F.lit(pts[-1][1]))
+        value = F.when(x < first[0], F.lit(first[1])).when(x > last[0], F.lit(last[1])).otherwise(value)
     return value
 
 
-def isotonic_knots(points: DataFrame, x: str, y: str, weight: str | None = None, lo: float = 0.0, hi: float = 1.0) -> list[tuple[float, float]]:
-    """Monotone fit through weighted points, held in [lo, hi]."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
+def piecewise_linear(x: Column, knots: Sequence[tuple[float, float]], clip: bool = False) -> Column:
+    """Linear interpolation through knots; NULL outside them unless ``clip``."""
+    return piecewise(x, knots, clip)
+
+
+_FAN = 64  # neighbouring ranges pooled together in one round
+
+
+def _pool(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pool blocks (lo, hi, w, s) whose means s / w do not rise."""
+    out: list[list[float]] = []
+    for lo, hi, w, s in rows.sort_values("lo")[["lo", "hi", "w", "s"]].itertuples(index=False, name=None):
+        while out and out[-1][3] * w >= s * out[-1][2]:
+            last = out.pop()
+            lo, w, s = last[0], last[2] + w, last[3] + s
+        out.append([lo, hi, w, s])
+    return pd.DataFrame(out, columns=["lo", "hi", "w", "s"]).assign(range=rows["range"].iloc[0] // _FAN)
 
-    data = VectorAssembler(inputCols=[x], outputCol="_f").transform(points)
-    iso = IsotonicRegression(featuresCol="_f", labelCol=y, **({"weightCol": weight} if weight else {}))
-    model = iso.fit(data)
-    return [(float(a), min(hi, max(lo, float(b)))) for a, b in zip(model.boundaries, model.predictions)]
+
+def monotone_blocks(points: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """(lo, hi, value, weight) per level of the rising step function that fits weighted points best, by pooling adjacent violators.
+
+    Equal x are summed first. Each range of x is pooled on its own; what it leaves is a stack of blocks, and pooling the stacks of neighbouring
+    ranges gives what pooling all of their points would give, so rounds of ``_FAN`` ranges lead to one stack."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    sums = points.select(F.col(x).cast("double").alias("lo"), w.alias("w"), (F.col(y) * w).alias("s")) \
+        .filter(F.col("lo").isNotNull() & F.col("s").isNotNull() & (F.col("w") > 0)).groupBy("lo").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    ranged = ranks.range_bucket(sums, F.col("lo")).select("lo", F.col("lo").alias("hi"), "w", "s", F.col(ranks.BUCKET).cast("bigint").alias("range"))
+    left = 2 * ranks.slots(points) ** 2 + 1
+    while left:
+        ranged = ranged.groupBy("range").applyInPandas(_pool, "lo double, hi double, w double, s double, range bigint")
+        left //= _FAN
+    last = ranged.groupBy("range").applyInPandas(_pool, "lo double, hi double, w double, s double, range bigint")
+    return last.select("lo", "hi", (F.col("s") / F.col("w")).alias("value"), F.col("w").alias("weight"))
+
+
+def isotonic_knots(points: DataFrame, x: str, y: str, weight: str | None = None, lo: float = 0.0, hi: float = 1.0) -> list[tuple[float, float]]:
+    """Ends of the levels of a monotone fit through weighted points, held in [lo, hi]; only the fitted levels come to the driver."""
+    levels = sorted((r["lo"], r["hi"], min(hi, max(lo, r["value"]))) for r in monotone_blocks(points, x, y, weight).collect())
+    return [(x, v) for a, b, v in levels for x in ((a, b) if b > a else (a,))]
 
 
 def isotonic_curve(points: DataFrame, x: str, y: str, weight: str | None = None, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -70,16 +162,19 @@ class FactorSettings:
     means_as_pos: bool = True
     use_py: bool = False
     legacy: bool = False  # leave the lowest qi out, one qi bin less in uniform mode
-    method: str = "linear"
+    method: str = "linear"  # or "cubic" or "isotonic"
     weighted: bool = False
+    manual_qf: tuple[float, ...] | None = None  # percentiles of the bin edges, in place of n_qf and pad
+    manual_qi: tuple[float, ...] | None = None  # in quantile mode, in place of n_qi
 
 
 def factor_edges(df: DataFrame, cfg: FactorSettings, qf: str = "qf", qi: str = "qi") -> tuple[list[float], list[float]]:
     lo, hi = cfg.pad / 100, 1 - cfg.pad / 100
     probs = [lo + k * (hi - lo) / cfg.n_qf for k in range(cfg.n_qf + 1)]
-    wanted = {qf: [0.0, *probs, 1.0] if cfg.pad > 0 else probs}
+    probs = [0.0, *probs, 1.0] if cfg.pad > 0 else probs
+    wanted = {qf: probs if cfg.manual_qf is None else [p / 100 for p in cfg.manual_qf]}
     if cfg.qi_mode == "quantile":
-        wanted[qi] = [k / cfg.n_qi for k in range(cfg.n_qi + 1)]
+        wanted[qi] = [k / cfg.n_qi for k in range(cfg.n_qi + 1)] if cfg.manual_qi is None else [p / 100 for p in cfg.manual_qi]
     edges = percentile_edges(df, wanted)
     n = cfg.n_qi - 1 if cfg.legacy else cfg.n_qi
     return edges[qf], edges.get(qi) or [k / n for k in range(n + 1)]
@@ -138,6 +233,7 @@ class FactorCalibration:
     curve: DataFrame
     bins: DataFrame
     clip: bool
+    method: str = "linear"
 
 
 def fit_factor_calibration(df: DataFrame, cfg: FactorSettings = FactorSettings(), y: str = "y", r_original: float | None = None,
@@ -149,12 +245,13 @@ def fit_factor_calibration(df: DataFrame, cfg: FactorSettings = FactorSettings()
         pts = curve.filter("scaled IS NOT NULL")
         return FactorCalibration(isotonic_knots(pts, "pos", "scaled", "support" if cfg.weighted else None, cfg.min_pf, 1.0), curve, bins, True)
     knots = [(r["pos"], r["scaled"]) for r in curve.collect() if r["scaled"] is not None]  # one row per qf bin
-    return FactorCalibration([*knots, (1.0, 1.0)], curve, bins, False)
+    return FactorCalibration([*knots, (1.0, 1.0)], curve, bins, False, cfg.method)
 
 
-def apply_factor_calibration(df: DataFrame, knots: Sequence[tuple[float, float]], clip: bool = False, qf: str = "qf", qi: str = "qi") -> DataFrame:
+def apply_factor_calibration(df: DataFrame, knots: Sequence[tuple[float, float]], clip: bool = False, qf: str = "qf", qi: str = "qi",
+                             method: str = "linear") -> DataFrame:
     """Move probability from qi to qf along the curve: p_f, p_i, py and whether p_i had to be clamped."""
-    p_f = piecewise_linear(F.col(qf), knots, clip)
+    p_f = piecewise(F.col(qf), knots, clip, method)
     raw = F.when(F.col(qf) == 0, F.col(qi)).otherwise(F.try_divide(F.col(qi) * F.col(qf), F.col("p_f")))
     out = df.withColumn("p_f", p_f).withColumn("_i", raw)
     return out.withColumns({"p_i": s.clamp(F.col("_i")), "clamped": F.col("_i") > 1}).withColumn("py", F.col("p_f") * F.col("p_i")).drop("_i")
@@ -235,6 +332,7 @@ def factor_loss_terms(df: DataFrame, y: str = "y", qf_mean: float = 0.1, qf_min:
     def once(c: Column) -> Column:
         return F.max(c)
 
+    # fixed values: the names of the terms
     terms = {
         "logl": F.avg(-(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))),
         "pullmean": once(F.pow(mean - qf_mean, F.lit(2.0))), "pulldown": once(F.when(mean > qf_mean, mean).otherwise(0.0)),
@@ -263,5 +361,6 @@ def histogram_knots(preds: DataFrame, y: str = "y_true", p: str = "y_proba", n_b
     return [(0.0, 0.0), *sorted((r["y_proba_mean"], r[rate]) for r in rows), (1.0, 1.0)]
 
 
-def apply_histogram_calibration(preds: DataFrame, knots: Sequence[tuple[float, float]], p: str = "y_proba", out: str = "y_calibrated") -> DataFrame:
-    return preds.withColumn(out, piecewise_linear(F.col(p), knots))
+def apply_histogram_calibration(preds: DataFrame, knots: Sequence[tuple[float, float]], p: str = "y_proba", out: str = "y_calibrated",
+                                method: str = "linear") -> DataFrame:
+    return preds.withColumn(out, piecewise(F.col(p), knots, method=method))

@@ -62,10 +62,17 @@ def _apply(t):
     return rounded(cal.apply_factor_calibration(df, knots).drop("clamped", "y"))
 
 
-@query("isotonic_curve")
+# the best rising fit at a point: of all runs of points that end at or behind it, beginning at or before it, the largest of the least means
+ISOTONIC_SQL = f"""{PREDS_SQL}, pt AS (SELECT round(p_f, 2) AS x, avg(y_true) AS rate, CAST(count(*) AS DOUBLE) AS w, count(*)*avg(y_true) AS s FROM preds GROUP BY 1),
+  cu AS (SELECT *, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs FROM pt WINDOW o AS (ORDER BY x)),
+  mn AS (SELECT p.i, a.i AS ai, min((b.cs - a.cs + a.s)/(b.cw - a.cw + a.w)) AS m FROM cu p JOIN cu a ON a.i <= p.i JOIN cu b ON b.i >= p.i GROUP BY ALL),
+  fi AS (SELECT i, greatest(0.001, least(1.0, max(m))) AS fit FROM mn GROUP BY i)"""
+
+
+@query("isotonic_curve", f"WITH {ISOTONIC_SQL} SELECT round(x, 6) AS x, round(rate, 6) AS rate, w, round(fit, 6) AS fit FROM cu JOIN fi USING (i)")
 def _isotonic(t):
     points = t.preds.groupBy(F.round("p_f", 2).alias("x")).agg(F.avg("y_true").alias("rate"), F.count(F.lit(1)).cast("double").alias("w"))
-    return cal.isotonic_curve(points, "x", "rate", "w", 0.001, 1.0)
+    return rounded(cal.isotonic_curve(points, "x", "rate", "w", 0.001, 1.0))
 
 
 @query("histogram_calibrator", f"""WITH {PREDS_SQL}, {bins_sql('preds', [], 'SELECT 1 AS st, list_sort(list_distinct(q)) AS e FROM ' + quantile_sql('preds', 'y_proba', [k / 8 for k in range(9)]))},

@@ -76,6 +76,24 @@ def _indicator(t):
     return src.read_indicator(wide, "X.1", years)
 
 
+@query("read_ascii_grid", """WITH g AS (SELECT CAST(year(o_orderdate) AS INT) AS y, CAST(o_orderkey % 6 AS INT) AS r, CAST(o_custkey % 6 AS INT) AS c, count(*) AS n FROM orders GROUP BY ALL),
+  e AS (SELECT y, r, c FROM (SELECT DISTINCT y FROM g), range(0, 6) a(r), range(0, 6) b(c))
+  SELECT 'orders_' || y AS path, CAST(r AS INT) AS "row", CAST(c AS INT) AS col, -180 + (c + 0.5)*60::DOUBLE AS x, -90 + (6 - r - 0.5)*60::DOUBLE AS y, CAST(n AS DOUBLE) AS value
+  FROM e LEFT JOIN g USING (y, r, c)""")
+def _ascii(t):
+    """The lines of one grid per year; cells without orders have no data."""
+    n = t.orders.groupBy(F.year("o_orderdate").alias("y"), (F.col("o_orderkey") % 6).cast("int").alias("row"), (F.col("o_custkey") % 6).cast("int").alias("c")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    path = F.concat(F.lit("orders_"), F.col("y")).alias("path")
+    names = ["ncols 6", "nrows 6", "xllcorner -180", "yllcorner -90", "CELLSIZE 60", "NODATA_value -9999"]
+    header = n.select(path).distinct().withColumn("value", F.explode(F.array(*[F.lit(x) for x in names])))
+    by_col = F.map_from_entries(F.collect_list(F.struct("c", "n")))
+    every = n.select("y").distinct().withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    rows = every.join(n.groupBy("y", "row").agg(by_col.alias("m")), ["y", "row"], "left")
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(-9999)).cast("string")), " ")
+    return src.ascii_cells(header, rows.select(path, "row", text.alias("value")))
+
+
 # every day of 1997 at every cell that has a line in some year: the quantity shipped there, 0 on the other days
 DENSE_SQL = """cells0 AS (SELECT DISTINCT CAST(l_partkey % 6 AS INT) AS r, CAST(l_suppkey % 6 AS INT) AS c FROM lineitem),
   shipped AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_partkey % 6 AS INT) AS r, CAST(l_suppkey % 6 AS INT) AS c, sum(l_quantity) AS q

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions import scalars as s
 from pixelmill.operators import tables as tb
-from pixelmill.plans.lenses import COUNTRIES_SQL, NAMES_SQL, POINTS_SQL, PREDS_SQL, VALUES, VECTORS_SQL
+from pixelmill.plans.lenses import COUNTRIES_SQL, NAMES_SQL, POINTS_SQL, PREDS_SQL, VALUES, VECTORS_SQL, crc32_sql
 from pixelmill.plans.registry import query
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -103,7 +103,11 @@ def _fill_country_code(t):
     return t.countries.select("name", s.fill_country_code(F.col("iso3"), F.col("name")).alias("iso3"))
 
 
-@query("crc_id")
+def _hex_crc(text):
+    return f"upper(to_hex({crc32_sql(text)}))"
+
+
+@query("crc_id", f"""WITH {NAMES_SQL} SELECT id, {_hex_crc('path')} AS crc, {_hex_crc("('h: ' || h || ',' || chr(10) || 'v: ' || v || ',' || chr(10))")} AS crc_fields FROM names""")
 def _crc_id(t):
     return t.names.select("id", s.crc_id(F.col("path")).alias("crc"), s.crc_of_fields(F.create_map(
         F.lit("v"), F.col("v").cast("string"), F.lit("h"), F.col("h").cast("string"))).alias("crc_fields"))

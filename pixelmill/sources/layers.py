@@ -13,7 +13,7 @@ from pixelmill.functions import scalars as s
 HEADER = ("nrows", "ncols", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value")
 
 # Fixed value: form of a well-formed layer file name.
-LAYER_NAME = r"^[A-Z_0-9]+\.A[12]\d{6}\.h\d\dv\d\d\.\d{3}\.\d{8,}\.hdf$"
+LAYER_NAME = r"^[A-Z_0-9]+\.A[12][0-9]{6}\.h[0-9]{2}v[0-9]{2}\.[0-9]{3}\.[0-9]{8,}\.hdf$"
 
 
 def read_layer(cells: DataFrame, product: str, var: str, date=None) -> DataFrame:
@@ -43,6 +43,24 @@ def read_population_grid(grid: DataFrame, year: int, nodata: Sequence[float]) ->
     return grid.filter(F.col("year") == year).withColumn("value", s.nodata_to_null(F.col("value"), nodata))
 
 
+def _is_header(line: Column) -> Column:
+    return F.lower(F.regexp_extract(line, r"^(\S+)", 1)).isin(*HEADER)
+
+
+def ascii_cells(header: DataFrame, rows: DataFrame) -> DataFrame:
+    """Cells (path, row, col, x, y, value) from the header lines (path, value) and the lines of numbers (path, row, value) of ASCII grids."""
+    header = header.select("path", F.lower(F.regexp_extract("value", r"^(\S+)", 1)).alias("k"), F.regexp_extract("value", r"\s(\S+)$", 1).cast("double").alias("x")) \
+        .groupBy("path").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(k) for k in HEADER])
+    cells = rows.select("path", "row", F.posexplode(F.split("value", r"\s+")).alias("col", "_t")).join(header, "path")
+    value = F.nanvl(F.col("_t").cast("double"), F.lit(None).cast("double"))
+    west = F.coalesce(F.col("xllcorner"), F.col("xllcenter") - F.col("cellsize") / 2)
+    south = F.coalesce(F.col("yllcorner"), F.col("yllcenter") - F.col("cellsize") / 2)
+    return cells.select(
+        "path", "row", "col", (west + (F.col("col") + 0.5) * F.col("cellsize")).alias("x"),
+        (south + (F.col("nrows") - F.col("row") - 0.5) * F.col("cellsize")).alias("y"),
+        F.when(F.col("nodata_value").isNull() | ~s.isclose(value, F.col("nodata_value")), value).alias("value"))
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """ASCII grids: key-value header lines, then rows of numbers. Gives path, row, col, x, y, value.
 
@@ -51,26 +69,14 @@ def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_id"), F.trim("value").alias("value")).filter("value <> ''")
-    is_header = F.lower(F.regexp_extract("value", r"^(\S+)", 1)).isin(*HEADER)
-    header = lines.filter(is_header).select(
-        "path", F.lower(F.regexp_extract("value", r"^(\S+)", 1)).alias("k"),
-        F.regexp_extract("value", r"\s(\S+)$", 1).cast("double").alias("x")) \
-        .groupBy("path").agg(*[F.max(F.when(F.col("k") == k, F.col("x"))).alias(k) for k in HEADER])
-    data = lines.filter(~is_header)
+    data = lines.filter(~_is_header(F.col("value")))
     before = Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = data.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n")) \
         .select("path", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     in_block = F.row_number().over(Window.partitionBy("path", "_blk").orderBy("_id")) - 1
     rows = data.withColumn("row", in_block).join(offsets, ["path", "_blk"]) \
         .withColumn("row", (F.col("row") + F.col("_off")).cast("int"))
-    cells = rows.select("path", "row", F.posexplode(F.split("value", r"\s+")).alias("col", "_t")).join(header, "path")
-    value = F.nanvl(F.col("_t").cast("double"), F.lit(None).cast("double"))
-    west = F.coalesce(F.col("xllcorner"), F.col("xllcenter") - F.col("cellsize") / 2)
-    south = F.coalesce(F.col("yllcorner"), F.col("yllcenter") - F.col("cellsize") / 2)
-    return cells.select(
-        "path", "row", "col", (west + (F.col("col") + 0.5) * F.col("cellsize")).alias("x"),
-        (south + (F.col("nrows") - F.col("row") - 0.5) * F.col("cellsize")).alias("y"),
-        F.when(F.col("nodata_value").isNull() | ~s.isclose(value, F.col("nodata_value")), value).alias("value"))
+    return ascii_cells(lines.filter(_is_header(F.col("value"))), rows)
 
 
 def read_indicator(wide: DataFrame, code: str, years: Sequence[int], names: Sequence[str] = ("Country Name", "Country Code"),
