@@ -1,13 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. Up to ``REFERENCES`` pages per host, chosen by hash, are aligned by simple tree matching: blocks of
-equal tag and class are matched in order, and runs of like leaf blocks count as one node. A block text that all references have at
-the matched place is template; places whose text varies are slots. At least ``ALIKE`` references that differ in most of what
-varies between them are needed to call anything template, so near copies of an article do not make a template of it, and constant blocks
-in places of their own, however many, do not hinder it. A page's text is what it has in the slots
-of its article: the article is found by element, role or name, the rest of the page by what it is (navigation, header, footer, aside,
-form, script) or is named after (menu, advert, notice, comments ...) falls away. Inside an article a name must
-consist of such words only, and ids of headings and sections, slugs of their titles, never count.
+Pages of one host share a template. Up to ``REFERENCES`` pages per host, chosen by hash, are aligned by simple tree matching, menus, adverts and
+footers included: blocks of equal tag and class are matched in order, and runs of like leaf blocks count as one node. A block text that all
+references have at the matched place is template; places whose text varies are slots. At least ``ALIKE`` references that differ in most of what
+varies between them are needed, so near copies of an article do not make a template of it, and constant blocks in places of their own, however
+many, do not hinder it. The content of a host is the innermost place that holds ``MOST`` of the running text, text that varies and is no link:
+the wrapper is followed down from the page's root as long as one block inside does, and no text or heading that varies would be left behind.
+
+A page's text is what it has at that place. Element, role or name (article, main, content) break ties: of such elements those around or inside the
+place count, and they alone where a host has no wrapper. What is navigation, header, footer, aside, form or script by its element, or is named
+after such a part (menu, advert, notice, comments ...), falls away inside it. Inside an article a name must
+consist of such words only, ids of headings and sections, slugs of their titles, never count, and nothing is dropped for being constant: an
+article may share its paragraphs. Elsewhere a constant text goes when ``SUPPORT`` references or more agree on it.
 
 Only the references of a host meet in one task; the pages themselves are joined with the wrapper of their host, not grouped.
 
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import bounded, cut
 
 REFERENCES, ALIKE, DEEPEST = 8, 2, 200
+MOST, SUPPORT = 0.6, 3
 #: Tables of at most so many rows or bytes are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
@@ -56,7 +61,9 @@ _NAMES = frozenset("nav navbar navigation menu menubar masthead banner footer si
 #: Words that may stand beside these in a name that says what falls away inside an article.
 _BESIDE = frozenset("slot slots box list block container wrapper unit inner outer area items links buttons top bottom left right".split())
 _CONTENT = frozenset("content article post entry story main maincontent articlebody".split())
-_TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+_MAIN = frozenset("article main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TITLED = _HEADINGS | {"section"}
 _STARTS = frozenset("has no with without is".split())
 
 
@@ -78,7 +85,7 @@ def _names(value: str) -> list[list[str]]:
 def _look(tag: str, raw: str, in_article: bool) -> tuple[str, bool, str]:
     """Signature of a start tag, whether its content falls away, and its part: article, main, content or nothing."""
     if not raw.strip(" /\n\t\r"):
-        return tag, tag in _AWAY or (tag == "header" and not in_article), tag if tag in ("article", "main") else ""
+        return tag, tag in _AWAY or (tag == "header" and not in_article), tag if tag in _MAIN else ""
     found = {}
     for name, value in _ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), value.strip("\"'"))
@@ -95,7 +102,7 @@ def _look(tag: str, raw: str, in_article: bool) -> tuple[str, bool, str]:
                 away |= any(w in _NAMES for w in words) and all(w in _NAMES or w in _BESIDE or w.isdigit() for w in words)
             else:
                 away |= words[0] in _NAMES or words[-1] in _NAMES or words in (["header"], ["site", "header"], ["page", "header"])
-    role = tag if tag in ("article", "main") else ""
+    role = tag if tag in _MAIN else ""
     if not role and (found.get("role") == "main" or found.get("itemprop") == "articleBody"):
         role = "main"
     if not role and tag in BLOCKS and any(words and (words[0] in _CONTENT or words[-1] in _CONTENT) for words in named):
@@ -201,27 +208,36 @@ def _text(run: list[str]) -> str:
 
 
 class Shape:
-    """A block for matching: runs of like leaf blocks are one shape. Holds its texts and child shapes."""
+    """A block for matching: runs of like leaf blocks are one shape. Holds its texts, the share of them that is no link, and child shapes; ``node`` is
+    the block it was made from, ``content`` marks the place of the running text in a wrapper."""
 
-    __slots__ = ("sign", "texts", "kids", "count")
+    __slots__ = ("sign", "texts", "kids", "count", "node", "linked", "size", "away", "content")
 
     def __init__(self, sign: str):
         self.sign, self.texts, self.kids, self.count = sign, set(), [], 1
+        self.node, self.linked, self.size, self.away, self.content = None, 0, 0, False, False
 
+    def plain(self, fixed: set[str]) -> float:
+        """Length of the texts that are not among the given ones, less what is linked."""
+        return sum(len(t) for t in self.texts - fixed) * max(0.0, 1 - self.linked / self.size) if self.size and not self.away else 0.0
 
-def shape(node: Node, runs: dict[int, str], depth: int = 1) -> Shape:
-    """Shape of a block that does not fall away, down to the level ``DEEPEST``; ``runs`` gets the text of every run on the way by identity."""
+
+def shape(node: Node, runs: dict[int, str], depth: int = 1, away: bool = False) -> Shape:
+    """Shape of a block down to the level ``DEEPEST``; ``runs`` gets the text of every run on the way by identity."""
     out = Shape(node.sign)
+    out.node, out.linked, out.away = node, node.linked, away or node.away
     for kid in node.kids:
         if isinstance(kid, list):
             text = runs[id(kid)] = _text(kid)
             if text:
                 out.texts.add(text)
-        elif not kid.away and depth < DEEPEST:
-            made = shape(kid, runs, depth + 1)
+                out.size += len(text)
+        elif depth < DEEPEST:
+            made = shape(kid, runs, depth + 1, out.away)
             last = out.kids[-1] if out.kids else None
             if last is not None and last.sign == made.sign and not last.kids and not made.kids:
                 last.texts |= made.texts
+                last.linked, last.size = last.linked + made.linked, last.size + made.size
             else:
                 out.kids.append(made)
     return out
@@ -281,8 +297,32 @@ def _near_copies(a: Shape, b: Shape) -> bool:
     return len(common) * 2 >= min(own, other) - len(fixed)
 
 
+def _content(wrapper: Shape, matched: dict[int, list[Shape]]) -> Shape | None:
+    """Innermost place with most of the running text; ``matched`` has the shapes of all references by identity of the wrapper's."""
+    own: dict[int, float] = {}
+
+    def total(s: Shape) -> float:
+        own[id(s)] = sum(x.plain(s.texts) for x in matched[id(s)])
+        inside[id(s)] = own[id(s)] + sum(map(total, s.kids))
+        return inside[id(s)]
+
+    inside: dict[int, float] = {}
+    every = total(wrapper)
+    if not every:
+        return None
+    at = wrapper
+    while not own[id(at)]:
+        best = max((k for k in at.kids if k.kids), key=lambda k: inside[id(k)], default=None)
+        if best is None or inside[id(best)] < MOST * every:
+            break
+        if any(k is not best and k.node.tag in _HEADINGS and inside[id(k)] for k in at.kids):
+            break
+        at = best
+    return at
+
+
 def induce(pages: list[str]) -> str:
-    """Wrapper of a host as JSON, from its reference pages: the shapes that hold template texts; empty when there are none."""
+    """Wrapper of a host as JSON, from its reference pages: the shapes that hold template texts or lead to the content; empty when there are none."""
     chosen: list[Shape] = []
     for page in sorted(set(pages)):
         s = shape(parse(page), {})
@@ -291,15 +331,25 @@ def induce(pages: list[str]) -> str:
     if len(chosen) < ALIKE:
         return ""
     wrapper = chosen[0]
+    matched: dict[int, list[Shape]] = {}
+    todo = [wrapper]
+    while todo:
+        s = todo.pop()
+        own = Shape(s.sign)  # the wrapper's own page, as its texts are cut down below
+        own.texts, own.linked, own.size, own.away = set(s.texts), s.linked, s.size, s.away
+        matched[id(s)] = [own]
+        todo += s.kids
     for other in chosen[1:]:
         for a, b in match(wrapper, other)[1]:
             a.count += 1
             a.texts &= b.texts
+            matched[id(a)].append(b)
+    place = _content(wrapper, matched)
 
     def kept(s: Shape):
         kids = [k for k in map(kept, s.kids) if k]
-        fixed = sorted(s.texts) if s.count == len(chosen) else []
-        return [s.sign, fixed, kids] if kids or fixed else None
+        fixed = sorted(s.texts) if s.count == len(chosen) >= SUPPORT else []
+        return [s.sign, fixed, kids, s is place] if kids or fixed or s is place else None
 
     found = kept(wrapper)
     return json.dumps(found, ensure_ascii=False) if found else ""
@@ -309,16 +359,30 @@ def _shape_of(found: list) -> Shape:
     s = Shape(found[0])
     s.texts = set(found[1])
     s.kids = [_shape_of(k) for k in found[2]]
+    s.content = found[3]
     return s
 
 
-def _template(page: Node, runs: dict[int, str], wrapper: Shape) -> dict[str, set[str]]:
-    """Template texts of a page by signature of the block that holds them, from matching it with the wrapper."""
+def _template(page: Node, runs: dict[int, str], wrapper: Shape) -> tuple[dict[str, set[str]], Node | None]:
+    """Template texts of a page by signature of the block that holds them, and its content, from matching it with the wrapper."""
     fixed: dict[str, set[str]] = {}
+    place = None
     for w, own in match(wrapper, shape(page, runs))[1]:
         if w.texts & own.texts:
             fixed.setdefault(own.sign, set()).update(w.texts & own.texts)
-    return fixed
+        if w.content:
+            place = own.node
+    return fixed, place
+
+
+def _inside(node: Node) -> set[int]:
+    """Identities of a block and those inside it."""
+    out, todo = set(), [node]
+    while todo:
+        node = todo.pop()
+        out.add(id(node))
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    return out
 
 
 def _outermost(root: Node, role: str) -> list[Node]:
@@ -370,12 +434,17 @@ def extract(page: str | None, wrapper: Shape | None = None) -> str:
         return ""
     root = parse(page)
     runs: dict[int, str] = {}
-    fixed = _template(root, runs, wrapper) if wrapper is not None else {}
+    fixed, place = _template(root, runs, wrapper) if wrapper is not None else ({}, None)
+    within = _inside(place) if place is not None else set()
     for role in ("article", "main", "content"):
-        text = "\n".join(t for node in _outermost(root, role) for t in _blocks(node, runs, fixed, False))
+        nodes = _outermost(root, role)
+        if place is not None:  # elements around the content, or else those in it
+            nodes = [n for n in nodes if id(place) in _inside(n)] or [n for n in nodes if id(n) in within] or nodes
+        text = "\n".join(t for node in nodes for t in _blocks(node, runs, {} if role == "article" else fixed, False))
         if text:
             return text
-    return "\n".join(_blocks(root, runs, fixed, True))
+    text = "\n".join(_blocks(place, runs, fixed, True)) if place is not None else ""
+    return text or "\n".join(_blocks(root, runs, fixed, True))
 
 
 def with_hosts(pages: DataFrame) -> DataFrame:

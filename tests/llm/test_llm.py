@@ -525,6 +525,49 @@ def test_pages_against_plain_search(spark):
     assert {r.page_id: r.text for r in html_wrappers.extract_text(pages).collect()} == want
 
 
+def test_shared_paragraph_of_articles_stays(spark):
+    page = "<html><body><nav><a href=x>%s</a></nav><article><h1>Title %d</h1><p>own %d one</p><h2>Summary</h2><p>All our stories end like this one.</p><p>own %d two</p></article></body></html>"
+    rows = [(i, f"http://h{n}.example/{i}", page % ("menu" * i, i, i, i)) for n in (2, 7) for i in range(n)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert all(r.text == f"Title {r.page_id}\nown {r.page_id} one\nSummary\nAll our stories end like this one.\nown {r.page_id} two" for r in html_wrappers.extract_text(table).collect())
+
+
+def test_given_pages_by_induction_alone(spark, monkeypatch):
+    """Without any list of elements, roles or names the aligned pages of a host still give the article; hosts of one page have no wrapper."""
+    for name in ("_AWAY", "_ROLES", "_NAMES", "_CONTENT", "_MAIN"):
+        monkeypatch.setattr(html_wrappers, name, frozenset())
+    by_host = collections.defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        by_host[re.match("[a-z]+://([^/?#]*)", r.url)[1]].append(r.html)
+    right = wrong = 0
+    for pages in by_host.values():
+        wrapper = html_wrappers.induce(sorted(set(pages))[: html_wrappers.REFERENCES]) if len(set(pages)) > 1 else ""
+        if wrapper:
+            shape = html_wrappers._shape_of(html_wrappers.json.loads(wrapper))
+            for page in pages:
+                inner = re.split("<article>", page)[1].split("</article>")[0]
+                blocks = re.split(r"</?(?:p|h1)>", re.sub(r"<[^>]*$", "", inner).replace("<b>", "").replace("</b>", "").replace("<br>", " "))
+                same = html_wrappers.extract(page, shape) == "\n".join(" ".join(html.unescape(b).split()) for b in blocks if b.strip())
+                right, wrong = right + same, wrong + (not same)
+    assert right > 150 and wrong <= 0.02 * right
+
+
+def test_teasers_marked_as_articles_are_left_out(spark):
+    teasers = "<div class=more>" + "<article><h3><a href=y>Other %d</a></h3></article>" * 3 + "</div>"
+    page = "<html><body><article><h1>T %d</h1><p>running text of page %d and more of it</p></article>" + teasers + "</body></html>"
+    rows = [(i, f"http://h.example/{i}", page % (i, i, i + 1, i + 2, i + 3)) for i in range(6)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert all(r.text == f"T {r.page_id}\nrunning text of page {r.page_id} and more of it" for r in html_wrappers.extract_text(table).collect())
+
+
+def test_very_long_and_repeated_pages(spark):
+    page = "<html><body><div class=k1><p>Constant</p></div><div class=k2>%s</div></body></html>"
+    long = page % "".join(f"<p>line {k} of a long page</p>" for k in range(60_000))
+    rows = [(1, "http://h.example/1", long), (1, "http://h.example/1", long), (2, "http://h.example/2", page % "<p>short one</p>"), (3, "http://h.example/3", page % "<p>another</p>")]
+    got = html_wrappers.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, len("\n".join(f"line {k} of a long page" for k in range(60_000))))] * 2 + [(2, 9), (3, 7)]
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark, real, odd, tmp_path):
