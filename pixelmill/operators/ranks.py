@@ -80,10 +80,10 @@ def range_bucket(df: DataFrame, order: Column, tie: Column | None = None, cuts:
 
 
 def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie: Sequence[Column] = (),
-                 keys: Sequence[str] = (), ascending: bool = True, cuts: Sequence[float] | None = None) -> DataFrame:
+                 keys: Sequence[str] = (), ascending: bool = True, cuts: Sequence[float] | None = None, totals: bool = False) -> DataFrame:
     """Inclusive running sum of each column along (order, tie), per key group, over any number of rows.
 
-    ``cuts`` are known cuts of ``order`` in ascending sense.
+    ``cuts`` are known cuts of ``order`` in ascending sense. With ``totals`` every row also gets the sums of its group, as ``total_{name}``.
     """
     for name, c in sums.items():
         df = df.withColumn(f"_v_{name}", c)
@@ -96,8 +96,10 @@ def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie:
     # keys and bucket as one struct: NULL keys compare equal, and join and window share a partitioning
     place = F.struct(*keys, BUCKET)
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
     offsets = df.groupBy(*keys, BUCKET).agg(*[F.sum(f"_v_{s}").alias(f"_s_{s}") for s in sums]) \
-        .select(place.alias("_at"), *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums])
+        .select(place.alias("_at"), *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+                *[F.sum(f"_s_{s}").over(every).alias(f"total_{s}") for s in sums if totals])
     joined = df.withColumn("_at", place).join(offsets, "_at")
     within = Window.partitionBy("_at").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     for s in sums:
@@ -208,36 +210,37 @@ def flag_first_by_hash(df: DataFrame, key: Sequence[str], seed: int, takes: Mapp
 
     in_bucket = Window.partitionBy(*strata, BUCKET).orderBy("_h", *key)
     narrow = hashed.select(*strata, *key, "_h", bucket)
-    keep = ["_count"] if keep_count else []
+
+    def with_row(df: DataFrame, table: DataFrame, as_: str) -> DataFrame:
+        """``df`` with the row of ``table`` for its stratum as a struct; the only row, without strata, is a sub-query of the plan."""
+        fields = F.struct(*[table[c] for c in table.columns if c not in strata])
+        if not strata:
+            return df.withColumn(as_, table.select(fields).scalar())
+        return df.join(table, same(df, table, strata)).select(df["*"], fields.alias(as_))
+
     if strata:
         plan = checked_broadcast(plan)
-        edges = narrow.join(plan, same(narrow, plan, strata)).select(narrow["*"], *[plan[c] for c in plan.columns if c not in strata])
-    else:
-        one = plan.head().asDict()  # a single row of counts
-        edges = narrow.withColumns({c: F.lit(v) for c, v in one.items()})
-    edges = edges.filter(reduce(lambda a, b: a | b, [F.col(BUCKET) == F.col(f"_edge_{n}") for n in takes])) \
+    edges = with_row(narrow, plan, "_p")
+    edges = edges.filter(reduce(lambda a, b: a | b, [F.col(BUCKET) == F.col(f"_p._edge_{n}") for n in takes])) \
         .withColumn("_rank", F.row_number().over(in_bucket))
     last = edges.groupBy(*strata).agg(*[F.max(F.when(
-        (F.col(BUCKET) == F.col(f"_edge_{n}")) & (F.col("_rank") + F.col(f"_before_{n}") <= F.col(f"_take_{n}")),
+        (F.col(BUCKET) == F.col(f"_p._edge_{n}")) & (F.col("_rank") + F.col(f"_p._before_{n}") <= F.col(f"_p._take_{n}")),
         F.struct("_h", *key))).alias(f"_last_{n}") for n in takes])
     if strata:
-        cut = plan.join(last, same(plan, last, strata), "left").select(plan["*"], *[last[f"_last_{n}"] for n in takes])
-        new = [*[f"{k}_{n}" for n in takes for k in ("_edge", "_last")], *keep]
-        cut = checked_broadcast(cut)
-        out = hashed.join(cut, same(hashed, cut, strata)).select(hashed["*"], *[cut[c] for c in new])
-        edge = {n: F.col(f"_edge_{n}") for n in takes}
-        final = {n: F.col(f"_last_{n}") for n in takes}
+        last = plan.join(last, same(plan, last, strata), "left").select(plan["*"], *[last[f"_last_{n}"] for n in takes])
+        out = with_row(hashed, checked_broadcast(last), "_p")
+        final = {n: F.col(f"_p._last_{n}") for n in takes}
     else:
-        keys_found = last.head()  # a single row with one key per name
-        out = hashed.withColumns({c: F.lit(one[c]) for c in keep}) if keep else hashed
-        edge = {n: F.lit(one[f"_edge_{n}"]) for n in takes}
-        final = {n: k and F.struct(*[F.lit(v).alias(c) for c, v in k.asDict().items()])
-                 for n in takes for k in [keys_found[f"_last_{n}"]]}
+        out = with_row(with_row(hashed, plan, "_p"), last, "_l")
+        final = {n: F.col(f"_l._last_{n}") for n in takes}
     here, me = F.shiftright("_h", HASH_BITS - SUBSET_BITS), F.struct("_h", *key)
     for n in takes:
-        tail = F.lit(False) if final[n] is None else F.coalesce((here == edge[n]) & (me <= final[n]), F.lit(False))
-        out = out.withColumn(n, (here < edge[n]) | tail)
-    return out.drop("_h", *[f"{k}_{n}" for n in takes for k in ("_edge", "_last")])
+        edge = F.col(f"_p._edge_{n}")
+        # an empty table has no edge, and no row that would ask for it
+        out = out.withColumn(n, (here < edge) | F.coalesce((here == edge) & (me <= final[n]), F.lit(False)))
+    if keep_count:
+        out = out.withColumn("_count", F.col("_p._count"))
+    return out.drop("_h", "_p", "_l")
 
 
 def first_by_hash(df: DataFrame, key: Sequence[str], seed: int, take: Column, strata: Sequence[str] = (),

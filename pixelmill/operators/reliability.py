@@ -124,24 +124,31 @@ ERRORS = ("eace", "erce", "aace", "arce", "mace", "mrce")
 SETS = ("q", "u90", "u95", "umm")
 
 
-def suite_edges(counts: DataFrame, keys: Sequence[str], n_bins: int, cuts=None) -> DataFrame:
-    """Quantile edges and uniform edges up to the 90th, 95th percentile and from minimum to maximum, per run."""
-    probs = [k / n_bins for k in range(n_bins + 1)] + [0.9, 0.95]
-    q = ranks.quantiles(counts, "p", probs, keys, cuts=cuts, weight="n")
-    a = F.col("q")
-    edges = {"q": quantile_edges(F.slice(a, 1, n_bins + 1)), "u90": uniform_edges(0.0, a[n_bins + 1], n_bins),
-             "u95": uniform_edges(0.0, a[n_bins + 2], n_bins), "umm": uniform_edges(a[0], a[n_bins], n_bins)}
-    return q.select(*keys, F.array(*[F.struct(F.lit(n).alias("set"), e.alias("edges")) for n, e in edges.items()]).alias("sets"))
+def suite_probs(n_bins: int) -> list[float]:
+    return [k / n_bins for k in range(n_bins + 1)] + [0.9, 0.95]
 
 
-def calibration_suite_from_counts(counts: DataFrame, keys: Sequence[str] = (), n_bins: int = 10, knr: float | None = None, cuts=None) -> DataFrame:
-    bins = _binned(counts, suite_edges(counts, keys, n_bins, cuts), keys)
+def suite_sets(q: Column, n_bins: int) -> Column:
+    """Quantile edges and uniform edges up to the 90th, 95th percentile and from minimum to maximum, from the quantiles of ``suite_probs``."""
+    edges = {"q": quantile_edges(F.slice(q, 1, n_bins + 1)), "u90": uniform_edges(0.0, q[n_bins + 1], n_bins),
+             "u95": uniform_edges(0.0, q[n_bins + 2], n_bins), "umm": uniform_edges(q[0], q[n_bins], n_bins)}
+    return F.array(*[F.struct(F.lit(n).alias("set"), e.alias("edges")) for n, e in edges.items()])
+
+
+def calibration_suite_of(counts: DataFrame, sets: DataFrame, keys: Sequence[str], knr: float | None = None) -> DataFrame:
+    """The 24 calibration errors per run, from the counts and the edge sets of each run."""
+    bins = _binned(counts, sets, keys)
     if knr is not None:
         bins = with_adjustment(bins, knr, keys)
     errors = calibration_errors(bins, [*keys, "set"], adjusted=knr is not None)
     return errors.groupBy(*keys).agg(*[F.max(F.when(F.col("set") == n, F.col(e))).alias(f"{e}_{n}") for n in SETS for e in ERRORS])
 
 
+def calibration_suite_from_counts(counts: DataFrame, keys: Sequence[str] = (), n_bins: int = 10, knr: float | None = None, cuts=None) -> DataFrame:
+    q = ranks.quantiles(counts, "p", suite_probs(n_bins), keys, cuts=cuts, weight="n")
+    return calibration_suite_of(counts, q.select(*keys, suite_sets(F.col("q"), n_bins).alias("sets")), keys, knr)
+
+
 def calibration_suite(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequence[str] = (), n_bins: int = 10,
                       knr: float | None = None) -> DataFrame:
     """The 24 calibration errors per run."""

@@ -45,10 +45,10 @@ def restore_prior(df: DataFrame, label: str, key: Sequence[str], knr: float, see
 def undersample_to_rate(df: DataFrame, label: str, key: Sequence[str], n: int, r_pos: float, seed: int) -> DataFrame:
     """n rows at positive rate r_pos: negatives are cut to the wanted odds, then n rows are drawn. The
     rate of the input is kept in ``r_pos_original``."""
-    n_pos, rate = df.agg(F.count_if(label), F.avg(F.col(label).cast("double"))).head()
-    take = F.when(F.col(label), F.col("_count")).otherwise(F.bround(F.lit(n_pos * ((1 - r_pos) / r_pos))))
+    totals = df.agg(F.struct(F.count_if(label).alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))).scalar()
+    take = F.when(F.col(label), F.col("_count")).otherwise(F.bround(totals["n"] * ((1 - r_pos) / r_pos)))
     cut = ranks.first_by_hash(df, key, seed, take, [label], "_sel").filter("_sel").drop("_sel")
-    return exact_random_subset(cut, key, n, seed + 1).withColumn("r_pos_original", F.lit(rate))
+    return exact_random_subset(cut, key, n, seed + 1).withColumn("r_pos_original", totals["rate"])
 
 
 def balance_classes(df: DataFrame, label: str, key: Sequence[str], seed: int, oversample: bool = False) -> DataFrame:

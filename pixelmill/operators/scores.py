@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators import ranks
-from pixelmill.operators.reliability import calibration_suite_from_counts, score_counts
+from pixelmill.operators.reliability import calibration_suite_of, score_counts, suite_probs, suite_sets
 
 CLIP = 2.220446049250313e-16  # fixed value: smallest distance of a probability to 0 and 1 in the log loss
 
@@ -19,23 +22,37 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def confusion_from_counts(counts: DataFrame, keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+# A part of a score table: sums over the counts of a run, and the columns made of them.
+Part = tuple[list[Column], list[Column]]
+
+
+def measured(counts: DataFrame, keys: Sequence[str], *parts: Part) -> DataFrame:
+    """Columns of all parts per run, from one aggregation of the counts."""
+    sums = counts.groupBy(*keys).agg(*[a for sums, _ in parts for a in sums])
+    return sums.select(*keys, *[c for _, made in parts for c in made])
+
+
+def confusion_part(threshold: float = 0.5) -> Part:
     hit, pos, neg = F.col("p") > threshold, F.col("pos"), F.col("n") - F.col("pos")
 
     def total(c: Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
 
-    c = counts.groupBy(*keys).agg(total(F.when(hit, pos)).alias("tp"), total(F.when(~hit, neg)).alias("tn"),
-                                  total(F.when(hit, neg)).alias("fp"), total(F.when(~hit, pos)).alias("fn"))
-    tp, tn, fp, fn = (F.col(k).cast("double") for k in ("tp", "tn", "fp", "fn"))
+    sums = [total(F.when(hit, pos)).alias("_tp"), total(F.when(~hit, neg)).alias("_tn"), total(F.when(hit, neg)).alias("_fp"),
+            total(F.when(~hit, pos)).alias("_fn")]
+    tp, tn, fp, fn = (F.col(k).cast("double") for k in ("_tp", "_tn", "_fp", "_fn"))
     n = tp + tn + fp + fn
     acc = (tp + tn) / n
     by_chance = ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)
-    return c.select(
-        *keys, acc.alias("acc"), (_ratio(tp, tp + fn) + _ratio(tn, tn + fp) - 1).alias("accba"), (1 - acc).alias("zol"),
+    return sums, [
+        acc.alias("acc"), (_ratio(tp, tp + fn) + _ratio(tn, tn + fp) - 1).alias("accba"), (1 - acc).alias("zol"),
         _ratio(tp * tn - fp * fn, F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)).alias("mcc"),
         _ratio(acc - by_chance, 1 - by_chance).alias("kpa"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        _ratio(tp, tp + fn).alias("rcl"), _ratio(tp, tp + fp).alias("prc"), "tp", "tn", "fp", "fn")
+        _ratio(tp, tp + fn).alias("rcl"), _ratio(tp, tp + fp).alias("prc"), *[F.col(f"_{k}").alias(k) for k in ("tp", "tn", "fp", "fn")]]
+
+
+def confusion_from_counts(counts: DataFrame, keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    return measured(counts, keys, confusion_part(threshold))
 
 
 def confusion_scores(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
@@ -47,15 +64,17 @@ def pr_curve_from_counts(counts: DataFrame, keys: Sequence[str] = (), cuts=None)
     return ranks.running_sums(counts, F.col("p"), {"above": F.col("n"), "tp": F.col("pos")}, (), keys, ascending=False, cuts=cuts)
 
 
-def ranking_from_counts(counts: DataFrame, keys: Sequence[str] = (), cuts=None) -> DataFrame:
-    """Area under ROC (ties count half) and average precision, from one set of running sums."""
-    c = pr_curve_from_counts(counts, keys, cuts)
+def ranking_part() -> Part:
+    """Area under ROC (ties count half) and average precision, over a table with running sums."""
     neg, fp = F.col("n") - F.col("pos"), F.col("above") - F.col("tp")
-    s = c.groupBy(*keys).agg(
-        F.sum(F.col("pos")).cast("double").alias("_p"), F.sum(neg).cast("double").alias("_n"),
-        F.sum(F.col("pos") * (fp - neg / 2)).alias("_above"), F.sum(F.col("pos") * F.col("tp") / F.col("above")).alias("_prec"))
-    auroc = 1 - F.try_divide(F.col("_above"), F.col("_p") * F.col("_n"))
-    return s.select(*keys, auroc.alias("auroc"), F.when(F.col("_n") > 0, F.try_divide("_prec", "_p")).alias("avp"))
+    sums = [F.sum(F.col("pos")).cast("double").alias("_p"), F.sum(neg).cast("double").alias("_n"),
+            F.sum(F.col("pos") * (fp - neg / 2)).alias("_above"), F.sum(F.col("pos") * F.col("tp") / F.col("above")).alias("_prec")]
+    area = 1 - F.try_divide(F.col("_above"), F.col("_p") * F.col("_n"))
+    return sums, [area.alias("auroc"), F.when(F.col("_n") > 0, F.try_divide("_prec", "_p")).alias("avp")]
+
+
+def ranking_from_counts(counts: DataFrame, keys: Sequence[str] = (), cuts=None) -> DataFrame:
+    return measured(pr_curve_from_counts(counts, keys, cuts), keys, ranking_part())
 
 
 def auroc(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequence[str] = ()) -> DataFrame:
@@ -92,12 +111,15 @@ def precision_series(df: DataFrame, y: str, score: str, tie: Sequence[str], step
                                F.try_divide(F.col("hits"), F.col("rank") - (1 if legacy else 0)).alias("precision"))
 
 
-def losses_from_counts(counts: DataFrame, keys: Sequence[str] = (), eps: float = CLIP) -> DataFrame:
+def losses_part(eps: float = CLIP) -> Part:
     p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("p")))
     neg, n = F.col("n") - F.col("pos"), F.sum("n")
-    return counts.groupBy(*keys).agg(
-        (-F.sum(F.col("pos") * F.log(p) + neg * F.log(1 - p)) / n).alias("logl"),
-        (F.sum(F.col("pos") * F.pow(1 - F.col("p"), F.lit(2.0)) + neg * F.pow(F.col("p"), F.lit(2.0))) / n).alias("bssl"))
+    return [(-F.sum(F.col("pos") * F.log(p) + neg * F.log(1 - p)) / n).alias("logl"),
+            (F.sum(F.col("pos") * F.pow(1 - F.col("p"), F.lit(2.0)) + neg * F.pow(F.col("p"), F.lit(2.0))) / n).alias("bssl")], [F.col("logl"), F.col("bssl")]
+
+
+def losses_from_counts(counts: DataFrame, keys: Sequence[str] = (), eps: float = CLIP) -> DataFrame:
+    return measured(counts, keys, losses_part(eps))
 
 
 def log_loss(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequence[str] = (), eps: float = CLIP,
@@ -114,32 +136,56 @@ def log_loss(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequ
     return out.join(weighted, list(keys)) if keys else out.withColumn("wlogl", weighted.scalar())
 
 
-def stats_from_counts(counts: DataFrame, keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+def stats_part(threshold: float = 0.5) -> Part:
     n = F.sum("n")
     mean = F.sum(F.col("p") * F.col("n")) / n
     spread = F.sum(F.col("n") * F.col("p") * F.col("p")) / n - mean * mean
-    return counts.groupBy(*keys).agg(
-        n.alias("n_total"), F.sum("pos").alias("n_true"), (F.sum("pos") / n).alias("r_true"),
-        (F.coalesce(F.sum(F.when(F.col("p") > threshold, F.col("n"))), F.lit(0)) / n).alias("y_pred_mean"), F.min("p").alias("y_proba_min"),
-        F.max("p").alias("y_proba_max"), mean.alias("y_proba_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("y_proba_std"))
+    sums = [n.alias("n_total"), F.sum("pos").alias("n_true"), (F.sum("pos") / n).alias("r_true"),
+            (F.coalesce(F.sum(F.when(F.col("p") > threshold, F.col("n"))), F.lit(0)) / n).alias("y_pred_mean"), F.min("p").alias("y_proba_min"),
+            F.max("p").alias("y_proba_max"), mean.alias("y_proba_mean"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("y_proba_std")]
+    return sums, [F.col(c) for c in ("n_total", "n_true", "r_true", "y_pred_mean", "y_proba_min", "y_proba_max", "y_proba_mean", "y_proba_std")]
+
+
+def stats_from_counts(counts: DataFrame, keys: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
+    return measured(counts, keys, stats_part(threshold))
 
 
 def prediction_stats(preds: DataFrame, y: str = "y_true", p: str = "y_proba", keys: Sequence[str] = ()) -> DataFrame:
     return stats_from_counts(score_counts(preds, y, p, keys), keys)
 
 
+def quantiles_part(probs: Sequence[float], out: str) -> Part:
+    """Linearly interpolated quantiles as an array: the scores at which the running count crosses the rank below and above each position, at most two
+    per probability. Over a table with running sums from the highest score down and their totals."""
+    below = F.col("total_above") - F.col("above")
+
+    def positions(total: Column) -> Column:
+        # rounded, so that a rank like 62.99999999999999 is the 63 it stands for
+        return F.transform(F.array(*[F.lit(float(q)) for q in probs]), lambda q: F.round((total - 1) * q, 9))
+
+    crossed = F.exists(positions(F.col("total_above")), lambda r: (F.ceil(r) >= below) & (F.floor(r) < below + F.col("n")))
+    place = F.struct(below.alias("lo"), (below + F.col("n")).alias("hi"), F.col("p").alias("x"))
+
+    def at(rank: Column) -> Column:
+        return F.get(F.filter("_crossed", lambda e: (rank >= e["lo"]) & (rank < e["hi"])), F.lit(0))["x"]
+
+    value = F.transform(positions(F.col("_total")), lambda r: at(F.floor(r)) + (at(F.ceil(r)) - at(F.floor(r))) * (r - F.floor(r)))
+    return [F.collect_list(F.when(crossed, place)).alias("_crossed"), F.max("total_above").alias("_total")], [value.alias(out)]
+
+
 def score_runs(preds: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "y_proba", threshold: float = 0.5,
                knr: float | None = None, n_bins: int = 10) -> DataFrame:
-    """Every score of every run in one job: all parts read the same counts per (run, score)."""
+    """Every score of every run. One table of counts per (run, score) with running sums gives all that needs no bins, the bin edges as well, in one
+    aggregation per run; the bins of all edge sets are a second one."""
     keys = list(keys)
-    cuts = ranks.value_cuts(preds, p)
     counts = score_counts(preds, y, p, keys)
-    out = confusion_from_counts(counts, keys, threshold)
-    for part in (ranking_from_counts(counts, keys, cuts), losses_from_counts(counts, keys), stats_from_counts(counts, keys, threshold),
-                 calibration_suite_from_counts(counts, keys, n_bins, knr, cuts)):
-        new = [c for c in part.columns if c not in keys]
-        out = out.join(part, ranks.same(out, part, keys), "left").select(out["*"], *[part[c] for c in new])
-    return out
+    table = ranks.running_sums(counts, F.col("p"), {"above": F.col("n"), "tp": F.col("pos")}, (), keys, ascending=False,
+                               cuts=ranks.value_cuts(preds, p), totals=True)
+    runs = ranks.checked_broadcast(measured(table, keys, confusion_part(threshold), ranking_part(), losses_part(), stats_part(threshold),
+                                            quantiles_part(suite_probs(n_bins), "q")))  # one row per run
+    suite = calibration_suite_of(counts, runs.select(*keys, suite_sets(F.col("q"), n_bins).alias("sets")), keys, knr)
+    new = [c for c in suite.columns if c not in keys]
+    return runs.join(suite, ranks.same(runs, suite, keys), "left").select(*[runs[c] for c in runs.columns if c != "q"], *[suite[c] for c in new])
 
 
 def _average_ranks(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -211,24 +257,92 @@ def ensemble_mean_std(preds: DataFrame, key: Sequence[str], cols: Sequence[str])
     return preds.groupBy(*key).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+def _earlier_and_smaller(y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w[j] * w[i] over the pairs of an earlier j with a smaller value, by halves."""
+    if len(y) <= 64:
+        return float(np.sum(np.triu(y[:, None] < y[None, :], 1) * np.outer(w, w)))
+    half = len(y) // 2
+    order = np.argsort(y[:half], kind="stable")
+    upto = np.concatenate([[0.0], np.cumsum(w[:half][order])])
+    across = float(np.sum(w[half:] * upto[np.searchsorted(y[:half][order], y[half:], side="left")]))
+    return across + _earlier_and_smaller(y[:half], w[:half]) + _earlier_and_smaller(y[half:], w[half:])
+
+
+def _pairs_in_bucket(keys: Sequence[str], first: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Counts the pairs of a bucket of which one is lower in ``first`` and in y."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([first, "_y"], ascending=[True, False])  # of rows equal in the first none is counted
+        out = rows[list(keys)].iloc[:1].copy()
+        out["_c"] = _earlier_and_smaller(rows["_y"].to_numpy(dtype=float), rows["_w"].to_numpy(dtype=float))
+        return out
+
+    return count
+
+
+def kendall(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Kendall's tau-b per key group, as ``corr``; rows where either value is NULL are left out.
+
+    Both values are dealt into ranges. Two rows of different ranges of both are in order or not by their ranges, so counts per pair of
+    ranges tell how many there are; rows that share a range of x, or lie in one of y and different ones of x, are compared inside that range only, by
+    counting inversions in halves. Rows equal in both values are merged before that."""
+    keys = list(keys)
+    merged = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+        .agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    n_ranges = ranks.slots(pairs)
+    for value, bucket in (("_x", "_bx"), ("_y", "_by")):
+        merged = ranks.range_bucket(merged, F.col(value)).withColumn(bucket, F.floor(F.col(ranks.BUCKET) / (2 * n_ranges))).drop(ranks.BUCKET)
+    cells = merged.groupBy(*keys, "_bx", "_by").agg(F.sum("_w").alias("_n"))
+    # two ranges of x differ first in one bit: per bit and what stands before it, those with 0 and a lower range of y against those with 1
+    bit = F.explode(F.sequence(F.lit(0), F.lit((n_ranges + 2).bit_length())))
+    split = cells.withColumn("_bit", bit).withColumns({"_one": F.expr("shiftright(_bx, _bit) & 1"), "_over": F.expr("shiftright(_bx, _bit + 1)")})
+    along = split.groupBy(*keys, "_bit", "_over", "_by").agg(F.sum(F.when(F.col("_one") == 0, F.col("_n")).otherwise(0.0)).alias("_n0"),
+                                                           F.sum(F.when(F.col("_one") == 1, F.col("_n")).otherwise(0.0)).alias("_n1"))
+    before = Window.partitionBy(*keys, "_bit", "_over").orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of y
+    parts = [along.select(*keys, (F.col("_n1") * F.coalesce(F.sum("_n0").over(before), F.lit(0.0))).alias("_c"))]
+    schema = ", ".join([*(f"`{k}` {dict(merged.dtypes)[k]}" for k in keys), "_c double"])
+    for bucket, first in (("_bx", "_x"), ("_by", "_bx")):
+        parts.append(merged.groupBy(*keys, bucket).applyInPandas(_pairs_in_bucket(keys, first), schema))
+    concordant = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("_c").alias("_p"))
+
+    def ties(*values: str) -> DataFrame:
+        per = merged.groupBy(*keys, *values).agg(F.sum("_w").alias("_t"))
+        return per.groupBy(*keys).agg(F.sum(F.col("_t") * (F.col("_t") - 1) / 2).alias("_" + "".join(values).replace("_", "") + "t"))
+
+    out = merged.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    for part in (concordant, ties("_x"), ties("_y"), ties("_x", "_y")):
+        new = [c for c in part.columns if c not in keys]
+        out = out.join(part, ranks.same(out, part, keys), "left").select(out["*"], *[part[c] for c in new])
+    n0 = F.col("_all") * (F.col("_all") - 1) / 2
+    p = F.coalesce("_p", F.lit(0.0))
+    discordant = n0 - F.col("_xt") - F.col("_yt") + F.col("_xyt") - p
+    return out.select(*keys, F.try_divide(p - discordant, F.sqrt(n0 - F.col("_xt")) * F.sqrt(n0 - F.col("_yt"))).alias("corr"))
+
+
 def score_correlations(scores: DataFrame, run: Sequence[str], measures: Sequence[str], method: str = "pearson",
                        sort_by: str | None = None) -> DataFrame:
     """Correlation of every two measures over runs, long form, from one row per run instead of a self join.
 
     ``sort_by`` orders the first measure by its correlation with that measure.
     """
-    if method not in ("pearson", "spearman"):
-        raise ValueError("method must be 'pearson' or 'spearman'")
+    if method not in ("pearson", "spearman", "kendall"):
+        raise ValueError("method must be 'pearson', 'spearman' or 'kendall'")
     long = scores
-    if method == "spearman":
+    if method != "pearson":  # order is all that counts, and ranks give every measure the same ranges
         r = _average_ranks(scores.filter("value IS NOT NULL"), "value", ["measure"]).withColumnsRenamed({"_v": "value"})
         long = scores.join(r, ["measure", "value"]).select(*run, "measure", F.col("_rank").alias("value"))
     wide = long.groupBy(*run).agg(*[F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m) for m in measures])
     pairs = list(combinations_with_replacement(measures, 2))
-    one = wide.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), F.col(f"c{k}").alias("corr"))
-            for k, (p, q) in enumerate(pairs) for a, b in ({(p, q), (q, p)})]
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if method == "kendall":
+        each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
+        found = kendall(wide.select(F.explode(each).alias("_p")).select("_p.*"), "x", "y", ["a", "b"])
+        both = F.array_distinct(F.array(F.struct(F.col("a").alias("m1"), F.col("b").alias("m2")), F.struct(F.col("b").alias("m1"), F.col("a").alias("m2"))))
+        out = found.select(F.explode(both).alias("_m"), "corr").select("_m.m1", "_m.m2", "corr")
+    else:
+        one = wide.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+        rows = [F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), F.col(f"c{k}").alias("corr"))
+                for k, (p, q) in enumerate(pairs) for a, b in ({(p, q), (q, p)})]
+        out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     if sort_by is None:
         return out
     order = F.max(F.when(F.col("m2") == sort_by, F.col("corr")))

@@ -248,6 +248,24 @@ def _corrs_s(t):
     return rounded(sc.score_correlations(_long_scores(t), ["run"], ["a", "b", "c"], "spearman"))
 
 
+_TAU_ROWS = " UNION ALL ".join(f"""SELECT '{a}' AS m1, '{b}' AS m2, round(sum(sign(i.{a} - j.{a})*sign(i.{b} - j.{b}))/(sqrt(sum(abs(sign(i.{a} - j.{a})))::DOUBLE)*sqrt(sum(abs(sign(i.{b} - j.{b})))::DOUBLE)), 6) AS corr
+  FROM m i, m j""" for a in "abc" for b in "abc")
+
+
+@query("score_correlations_kendall", f"WITH {_MEASURES} {_TAU_ROWS}")
+def _corrs_k(t):
+    return rounded(sc.score_correlations(_long_scores(t), ["run"], ["a", "b", "c"], "kendall"))
+
+
+@query("kendall", f"""WITH {PREDS_SQL}, c AS (SELECT y_true AS a, round(y_proba, 2) AS b, count(*) AS w, l_linenumber AS k FROM preds GROUP BY ALL)
+  SELECT i.k, round(sum(i.w*j.w*sign(i.a - j.a)*sign(i.b - j.b))/(sqrt(sum(i.w*j.w*abs(sign(i.a - j.a)))::DOUBLE)*sqrt(sum(i.w*j.w*abs(sign(i.b - j.b)))::DOUBLE)), 6) AS corr
+  FROM c i JOIN c j ON i.k = j.k GROUP BY 1""")
+def _kendall(t):
+    """Of all predictions of a line number, which have many ties."""
+    rows = t.preds.select(F.col("l_linenumber").alias("k"), "y_true", F.round("y_proba", 2).alias("p"))
+    return rounded(sc.kendall(rows, "y_true", "p", ["k"]))
+
+
 @query("rank_measures", f"WITH {_MEASURES}, x AS ({_CORR_ROWS.format(src='m')}) SELECT m1, corr FROM x WHERE m2 = 'c'")
 def _rank_measures(t):
     return sc.rank_measures(rounded(sc.score_correlations(_long_scores(t), ["run"], ["a", "b", "c"])), "c")

@@ -195,7 +195,7 @@ def test_point_in_polygon(spark):
     b = spark.createDataFrame([("A", "AAA", 1, str([list(p) for p in ring]))], "name string, iso3 string, continent int, ring string")
     pts = {0: (1.0, 1.0), 1: (2.0, 2.0), 2: (3.5, 3.0), 3: (2.0, 1.0), 4: (5.0, 1.0), 5: (0.0, 2.0)}
     df = spark.createDataFrame([(k, *v) for k, v in pts.items()], "id int, lon double, lat double")
-    got = {r["id"]: r["country"] for r in context.add_country_and_continent(df, src.read_boundaries(b), ring="ring").collect()}
+    got = {r["id"]: r["country"] for r in context.add_country_and_continent(df, src.read_boundaries(b), rings="rings").collect()}
     assert got == {0: "A", 1: None, 2: "A", 3: "A", 4: None, 5: "A"}
 
 
