@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 MAX_SLOTS = 1 << 14
@@ -28,15 +29,34 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def _cuts(df: DataFrame, cols: list[str], n: int) -> list[list[float]]:
+def number_of(df: DataFrame, c: Column) -> Column:
+    """A column of any ordered type as a double that never falls where the column rises: days, microseconds, or the first six bytes of a text."""
+    kind = df.select(c).schema[0].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.hex(F.substring(c.cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
+def _cuts(df: DataFrame, cols: list[str], n: int) -> tuple[list[list[float]], bool]:
+    """Approximate cuts of equal counts per column, and whether NULLs of the first fill a range of their own."""
     probs = F.expr("array(" + ", ".join(f"{k / n!r}D" for k in range(1, n)) + ")")
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(2 * n)).alias(c) for c in cols]).head()
-    return [list(row[c] or []) for c in cols]
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, F.lit(2 * n)).alias(c) for c in cols],
+                 (F.count_if(F.col(cols[0]).isNull()) * n > F.count(F.lit(1))).alias("_none")).head()
+    return [list(row[c] or []) for c in cols], bool(row["_none"])
 
 
 def _bucketize(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Number of cuts at or below a value; NaN and NULL come behind all."""
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    kept = Bucketizer(splits=splits, inputCol=col, outputCol=out, handleInvalid="keep").transform(df)
+    return kept.withColumn(out, F.coalesce(out, F.lit(float(len(splits) - 1))))
 
 
 BROADCAST_ROWS = 10_000
@@ -55,24 +75,31 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def value_cuts(df: DataFrame, col: str) -> list[float]:
     """Approximate equal-count cuts of a column, to be shared by operators that order by it."""
-    return _cuts(df, [col], slots(df))[0]
+    return _cuts(df, [col], slots(df))[0][0]
 
 
-def range_bucket(df: DataFrame, order: Column, tie: Column | None = None, cuts: Sequence[float] | None = None) -> DataFrame:
-    """Add an integer bucket that grows with (order, tie) and holds about 1/slots of the rows.
+def range_bucket(df: DataFrame, order: Column, tie: Column | None = None, cuts: Sequence[float] | None = None, ascending: bool = True) -> DataFrame:
+    """Add an integer bucket that grows (or, descending, falls) with ``order``, then with ``tie``, and holds about 1/slots of the rows; NULLs come last.
 
-    A single ``order`` value that fills several buckets alone is cut further along ``tie``.
+    Any ordered type will do; texts that share their first six bytes count as one value here. A single value, or NULL, that fills several buckets
+    alone is cut further along ``tie``.
     """
     n = slots(df)
-    df = df.withColumn("_o", order.cast("double"))
+    place = number_of(df, order)
+    df = df.withColumn("_o", place if ascending else -place)
     if tie is not None:
-        df = df.withColumn("_t", tie.cast("double"))
-    found = [cuts] if cuts is not None and tie is None else _cuts(df, ["_o"] + (["_t"] if tie is not None else []), n)
+        df = df.withColumn("_t", number_of(df, tie))
+    none = False
+    found = [cuts]
+    if cuts is None or tie is not None:
+        found, none = _cuts(df, ["_o"] + (["_t"] if tie is not None else []), n)
     main = found[0]
     hot = sorted({a for a, b in zip(main, main[1:]) if a == b})
     df = _bucketize(df, "_o", main, "_b1").withColumn(BUCKET, F.col("_b1").cast("bigint") * 2 * n)
-    if hot and tie is not None:
-        is_hot = F.col("_o").isin(hot)
+    if (hot or none) and tie is not None:
+        is_hot = F.col("_o").isin(hot) if hot else F.lit(False)
+        # an empty value is no number of its own to the cuts, so it is told apart first
+        is_hot = F.coalesce(is_hot, F.lit(False)) | (F.col("_o").isNull() if none else F.lit(False))
         df = _bucketize(df, "_t", found[1], "_b2")
         df = df.withColumn(BUCKET, F.col(BUCKET) + F.when(is_hot, F.col("_b2").cast("bigint")).otherwise(n + 1)) \
             .drop("_b2")
@@ -81,17 +108,16 @@ def range_bucket(df: DataFrame, order: Column, tie: Column | None = None, cuts:
 
 def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie: Sequence[Column] = (),
                  keys: Sequence[str] = (), ascending: bool = True, cuts: Sequence[float] | None = None, totals: bool = False) -> DataFrame:
-    """Inclusive running sum of each column along (order, tie), per key group, over any number of rows.
+    """Inclusive running sum of each column along (order, tie), per key group, over any number of rows; NULLs of ``order`` come last.
 
     ``cuts`` are known cuts of ``order`` in ascending sense. With ``totals`` every row also gets the sums of its group, as ``total_{name}``.
     """
     for name, c in sums.items():
         df = df.withColumn(f"_v_{name}", c)
     tie = list(tie)
-    order = order if ascending else -order
     if cuts is not None and not ascending:
         cuts = [-c for c in cuts]
-    df = range_bucket(df, order, tie[0] if tie else None, cuts)
+    df = range_bucket(df, order, tie[0] if tie else None, cuts, ascending)
     keys = list(keys)
     # keys and bucket as one struct: NULL keys compare equal, and join and window share a partitioning
     place = F.struct(*keys, BUCKET)
@@ -101,7 +127,8 @@ def running_sums(df: DataFrame, order: Column, sums: Mapping[str, Column], tie:
         .select(place.alias("_at"), *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
                 *[F.sum(f"_s_{s}").over(every).alias(f"total_{s}") for s in sums if totals])
     joined = df.withColumn("_at", place).join(offsets, "_at")
-    within = Window.partitionBy("_at").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    along = order.asc_nulls_last() if ascending else order.desc_nulls_last()
+    within = Window.partitionBy("_at").orderBy(along, *tie).rowsBetween(Window.unboundedPreceding, 0)
     for s in sums:
         joined = joined.withColumn(s, F.col(f"_off_{s}") + F.sum(f"_v_{s}").over(within))
     return joined.drop("_at", BUCKET, *[f"_v_{s}" for s in sums], *[f"_off_{s}" for s in sums])

@@ -41,6 +41,35 @@ def test_hot_value_is_split(skewed):
     assert b.agg(F.max("count")).head()[0] < 6000 / 5
 
 
+@pytest.fixture(scope="module")
+def odd_orders(spark):
+    """Orders of other types: nine rows of ten have none; texts with a common beginning; dates and times."""
+    k = F.col("id")
+    r = (k * 7919) % 6007
+    return spark.range(6000).select(
+        k, (k % 3).alias("g"), F.when(r % 10 == 0, r.cast("double")).alias("sparse"), F.concat(F.lit("éa"), (r % 700).cast("string")).alias("text"),
+        F.when(r % 4 > 0, F.date_add(F.lit("2001-01-01").cast("date"), (r % 900).cast("int"))).alias("day"),
+        F.timestamp_micros(r * 86_400_000_123).alias("ts")).cache()
+
+
+@pytest.mark.parametrize("order", ["sparse", "text", "day", "ts"])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_row_index_of_any_order(odd_orders, order, ascending):
+    rows = ranks.row_index(odd_orders, F.col(order), [F.col("id")], ["g"], ascending=ascending).collect()
+    for g in range(3):
+        own = [r for r in rows if r["g"] == g]
+        has, none = ([r for r in own if (r[order] is None) == missing] for missing in (False, True))
+        has.sort(key=lambda r: r["id"])
+        has.sort(key=lambda r: r[order].encode() if order == "text" else r[order], reverse=not ascending)
+        assert [r["rn"] for r in [*has, *sorted(none, key=lambda r: r["id"])]] == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("order", ["sparse", "text", "day", "ts"])
+def test_no_order_fills_one_bucket(odd_orders, order):
+    b = ranks.range_bucket(odd_orders, F.col(order), F.col("id")).groupBy(ranks.BUCKET).count()
+    assert b.agg(F.max("count")).head()[0] < 6000 / 5
+
+
 def test_quantiles(skewed):
     probs = [0, 0.1, 0.33, 0.5, 0.9, 1]
     pdf = skewed.toPandas()
