@@ -33,6 +33,7 @@ WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
 LEADERS = 4  # per bucket and round, after the first round with one
 _WIDE = 1 << 19  # hash values computed at once
+_PER_TASK = 200_000  # tested pairs read by one task
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
@@ -235,8 +236,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         now = led.select("t", "h", "last.node")
         ever = now if ever is None else ever.union(now)
         led = led.select(*by, F.struct("last.w", "last.tie").alias("last"))
-        tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
-        if new.isEmpty():
+        count = done.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("alike").alias("links")).head()
+        own = done.select("a", "b").coalesce(1 + count["pairs"] // _PER_TASK)  # few pairs in few files
+        tested = own if tested is None else tested.union(own)
+        if not count["links"]:
             break
         moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
