@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-
-def crc32_sql(text: str) -> str:
-    """DuckDB expression of the unsigned CRC-32 of an ASCII string that isn't empty."""
-    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
-    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+from pixelmill.plans.lenses import crc32_sql
 
 
 def _enc(value: str) -> str:

@@ -16,6 +16,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from pixelmill.llm import (conversations, html_wrappers, language, line_runs, mixing, near_duplicates, pieces, secrets_crf, weak_quality,
                            winnowing)
+from pixelmill.llm import components as components_module
 from pixelmill.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -274,7 +275,10 @@ def test_rest_finds_every_alike_pair(spark):
     assert alike and alike <= found and len(found) < 160 * 159 / 4
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    """By rounds of stars, and by one task where there are few links."""
+    monkeypatch.setattr(components_module, "FEW", few)
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u int, v int")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
