@@ -122,7 +122,7 @@ def test_empty_bins_stay(spark):
 def test_population(spark):
     grid = spark.createDataFrame([(0, 0, 2000, 10.0), (0, 0, 2005, 20.0)], "row int, col int, year int, value double")
     ask = spark.createDataFrame([(0, 0, 2003), (0, 0, 2005), (0, 0, 2007)], "row int, col int, year int")
-    got = {r["year"]: r["x_gpw4"] for r in context.add_population_density(ask, grid).collect()}
+    got = {r["year"]: r["x_gpw4"] for r in context.add_population_density(ask, grid, published=(2000, 2005)).collect()}
     assert got == {2003: pytest.approx(16), 2005: 20, 2007: None}
 
 
