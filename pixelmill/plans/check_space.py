@@ -75,17 +75,14 @@ POLYGONS_SQL = f"""{COUNTRIES_SQL}, hit AS (SELECT id, lon, lat, name, iso3, con
     ON lon BETWEEN xmin + 10 AND xmin + 25 AND lat BETWEEN ymin + 4 AND ymin + 12)"""
 
 
-def _ring(*corners):
-    return [(F.col(x) + dx, F.col(y) + dy) for x, dx, y, dy in corners]
-
-
-TRIANGLE = _ring(("xmin", 0, "ymin", 0), ("xmax", 0, "ymin", 0), ("xmin", 0, "ymax", 0))
-HOLE = _ring(("xmin", 10, "ymin", 4), ("xmin", 25, "ymin", 4), ("xmin", 25, "ymin", 12), ("xmin", 10, "ymin", 12))
-APART = _ring(("xmax", -20, "ymax", -9), ("xmax", -3, "ymax", -9), ("xmax", -3, "ymax", -2), ("xmax", -20, "ymax", -2))
+TRIANGLE = [("xmin", 0, "ymin", 0), ("xmax", 0, "ymin", 0), ("xmin", 0, "ymax", 0)]
+HOLE = [("xmin", 10, "ymin", 4), ("xmin", 25, "ymin", 4), ("xmin", 25, "ymin", 12), ("xmin", 10, "ymin", 12)]
+APART = [("xmax", -20, "ymax", -9), ("xmax", -3, "ymax", -9), ("xmax", -3, "ymax", -2), ("xmax", -20, "ymax", -2)]
 
 
 def _rings(*rings):
-    return F.array(*[F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in r]) for r in rings])
+    """Array of rings of (column, distance from it) for longitude and latitude."""
+    return F.array(*[F.array(*[F.struct((F.col(x) + dx).alias("lon"), (F.col(y) + dy).alias("lat")) for x, dx, y, dy in r]) for r in rings])
 
 
 @query("add_country_polygons", f"""WITH {GEO_SQL}, {POLYGONS_SQL} SELECT p.id, p.lon, p.lat, name AS country, {_FILL_ISO} AS iso3, continent
