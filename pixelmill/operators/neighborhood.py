@@ -1,7 +1,7 @@
 """Values and counts in the square around a cell, over the edges of tiles.
 
 Tiles of one grid meet without gaps, so cell (i, j) of tile (v, h) is cell (v * n + i, h * n + j) of the whole grid, n cells being the side of a
-tile. Events and cells are looked for in blocks of that grid: an event goes to its own block and to those it can reach, mostly one, instead
+tile. Events and cells are looked for in blocks of that grid: an event goes to its own block and to those it can reach, instead
 of to every cell around it. Layers are cut to the tiles and dates that samples can see before anything is sent.
 """
 
@@ -31,7 +31,7 @@ def _global(df: DataFrame, n: int) -> DataFrame:
 
 
 def _block_side(dist: int) -> int:
-    return 4 * dist
+    return 2 * dist
 
 
 def _with_block(df: DataFrame, dist: int) -> DataFrame:
@@ -41,7 +41,7 @@ def _with_block(df: DataFrame, dist: int) -> DataFrame:
 
 
 def _to_blocks(df: DataFrame, dist: int) -> DataFrame:
-    """An event under every block with a cell that it is near to: one to four."""
+    """An event under every block with a cell that it is near to."""
     side = _block_side(dist)
     for g, b in (("_gi", "_bi"), ("_gj", "_bj")):
         df = df.withColumn(b, F.explode(F.sequence(F.floor((F.col(g) - dist) / side), F.floor((F.col(g) + dist) / side))))
