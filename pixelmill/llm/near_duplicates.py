@@ -8,9 +8,9 @@ band; the longest common subsequence inside the band is found with bit vectors.
 
 Equal texts are one node. Inside a bucket no pairs are formed: members are compared with the bucket's leader, the node that shares
 most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. Buckets that then still hold several
-components are dealt into ``LEADERS`` parts by hash, each part elects its next leader, and so on until a round finds no link; members of
+components elect their next leader, and so on while links are no rarer than one in ``PAYS`` pairs of a round; members of
 buckets still open that never led are then compared by an exact prefix filter over their rarest shingles, so a crowd hides no pair. A second
-family of buckets, keyed by two successive tables, has leaders of its own. A round forms at most ``LEADERS`` pairs per node and bucket.
+family of buckets, keyed by two successive tables, has leaders of its own. A round forms at most one pair per node and bucket.
 
 Edge cases: equal texts always share a class; a NULL text is a class of its own per doc_id; a text of fewer than five words is one
 shingle; a text without a word is only like texts equal to it; rows that repeat get the same class; an empty table gives no rows.
@@ -31,7 +31,7 @@ from pixelmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
-LEADERS = 4  # per bucket and round, after the first round with one
+PAYS = 10  # pairs per link up to which a round is followed by another
 _WIDE = 1 << 19  # hash values computed at once
 _PER_TASK = 200_000  # tested pairs read by one task
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -151,14 +151,13 @@ def _text_key():
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """(t, h, node, size, w, tie, part) of the buckets with several members. w: members of all buckets of a node, high for the hub of a
+    """(t, h, node, size, w, tie) of the buckets with several members. w: members of all buckets of a node, high for the hub of a
     group."""
     entries = nodes.select("node", "size", F.posexplode("sketch").alias("t", "h"))
     shared = entries.groupBy("t", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut(entries.join(shared, ["t", "h"]))
     weight = members.groupBy("node").agg(F.sum("n").alias("w"))
-    part = F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("part")
-    return cut(members.join(weight, "node").select("t", "h", "node", "size", "w", F.xxhash64("t", "node").alias("tie"), part))
+    return cut(members.join(weight, "node").select("t", "h", "node", "size", "w", F.xxhash64("t", "node").alias("tie")))
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -205,25 +204,26 @@ def rare_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that share a bucket with some other one; ``docs`` has (node, text).
 
-    In the first round every bucket elects one leader. Then, round by round, the buckets that still hold several components elect the
-    next leader of each part, and members of other components are compared with all of them, until a round finds no further link. What
-    then is in a bucket with members of several components that never led is compared by ``rare_pairs``, so no pair that shares a
-    bucket stays open. A bucket whose members are one component is left out of all later rounds, and the new links of a round join the
-    roots of its components only. A pair whose numbers of shingles differ by more than the similarity allows moves no text."""
+    In every round each bucket that still holds several components elects its next leader, and members of other components are compared with it.
+    Once a round finds few links, what is in a bucket with members of several components and never led there is compared by ``rare_pairs``, so
+    no pair that shares a bucket stays open. A bucket whose members are one component is left out of all later rounds, and the new links of a
+    round join the roots of its components only. A pair whose numbers of shingles differ by more than the similarity allows moves no text."""
     rows = shared_buckets(nodes)
     ids = cut(rows.select("node").distinct())
     texts = cut(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     roots = ids.select("node", F.col("node").alias("root"))
     led = tested = ever = None
+    pays = True
     while True:
         rows = rows.join(roots, "node")
         buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
         rows = cut(rows.join(buckets, ["t", "h"]))
-        by, able = ["t", "h"], rows
+        if not pays:
+            break
+        able = rows
         if led is not None:
-            able = rows.join(led, [c for c in led.columns if c != "last"]).filter(F.struct("w", "tie") < F.col("last"))
-            by = ["t", "h", "part"]
-        led = cut(able.groupBy(*by).agg(F.max(F.struct("w", "tie", "node", "root", "size")).alias("last")))
+            able = rows.join(led, ["t", "h"]).filter(F.struct("w", "tie") < F.col("last"))
+        led = cut(able.groupBy("t", "h").agg(F.max(F.struct("w", "tie", "node", "root", "size")).alias("last")))
         leaders = led.select("t", "h", *(F.col(f"last.{c}").alias(f"a_{c}") for c in ("node", "root", "size")))
         near = F.least("size", "a_size") >= F.greatest("size", "a_size") * SIMILARITY - 1e-9
         pairs = rows.join(leaders, ["t", "h"]).filter((F.col("root") != F.col("a_root")) & near) \
@@ -235,18 +235,16 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         new = done.filter("alike").select("u", "v")
         now = led.select("t", "h", "last.node")
         ever = now if ever is None else ever.union(now)
-        led = led.select(*by, F.struct("last.w", "last.tie").alias("last"))
+        led = led.select("t", "h", F.struct("last.w", "last.tie").alias("last"))
         count = done.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("alike").alias("links")).head()
         own = done.select("a", "b").coalesce(1 + count["pairs"] // _PER_TASK)  # few pairs in few files
         tested = own if tested is None else tested.union(own)
-        if not count["links"]:
-            break
-        moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        if count["links"]:
+            moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         rows = rows.drop("root")
-    left = rows.join(ever, ["t", "h", "node"], "left_anti")
-    several = left.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
-    left = cut(left.join(several, ["t", "h"]).select("node", "root").distinct())
+        pays = count["links"] * PAYS > count["pairs"]
+    left = cut(rows.join(ever, ["t", "h", "node"], "left_anti").select("node", "root").distinct())
     if left.isEmpty():
         return roots
     both = with_texts(rare_pairs(left, texts).join(tested, ["a", "b"], "left_anti"), texts)
