@@ -5,9 +5,11 @@ s is linear in the features of a text; the weights minimise the logistic loss on
 ridge. Only differences count, so s has no zero point: the limit between the labels is the quantile of s that the share of label 0 demands,
 and the score is the logistic function of s less that limit, shifted so that the limit lies at ``LIMIT``.
 
-Features come from the text alone, the whole of it: shares of pairs of successive character classes, and what words and lines repeat. Labels are read from a
-bounded sample, about ``PER_LABEL`` documents of each label chosen by key hash; ``PARTNERS`` pairs are formed per document of the sample. Scoring is one
-pass over the documents with a fixed table of weights.
+Features come from the text alone, the whole of it: shares of pairs of successive character classes, and what words and lines repeat. Every labelled
+document teaches: documents are dealt by key hash into blocks of about ``PER_LABEL`` documents of the commoner label, ``PARTNERS`` pairs are formed per
+document inside its block, and each Newton step sums the loss, its gradient and its curvature over all blocks. Documents of a rare label are dealt into
+several blocks, so that each block has ``LEAST`` of them. The limit is an exact quantile over all of them. Scoring is one pass over the documents with a
+fixed table of weights.
 
 Edge cases: a NULL text is an empty one, and an empty text has a score like any other; rows that repeat are scored each, equal texts equally; a NULL
 doc_id is not held out and teaches nothing; a label other than 0 and 1 is none; a document given several times under one key teaches once per
@@ -16,7 +18,8 @@ label; without documents of both labels every score is ``LIMIT``, which predicts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelmill.llm.common import bounded, widened, word_hashes
+from pixelmill.llm.common import bounded, cut, widened, word_hashes
+from pixelmill.operators import ranks
 
-#: Bound of the training sample: expected documents per label.
+#: Expected documents of the commoner label that meet in one block.
 PER_LABEL = 4000
-PARTNERS = 16  # preference pairs per document of the sample
+LEAST = 64  # documents of the rarer label in a block
+PARTNERS = 16  # preference pairs per document of a block
 LIMIT = 0.3
 CHUNK = 1 << 20  # code points looked at once
-STEPS, RATE, RIDGE = 400, 0.05, 1e-4
+STEPS, RIDGE = 60, 1e-4
+_PAIRS = 8192  # pairs whose differences are held at once
 
 # classes of code points: other letters, small, capital, digit, white space, line end, then marks
 _CLASSES = ["", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".", ",", "!", "?", ":;", "'\"`", "()[]{}", "|", "#*$%&<>", "-_/\\@=+~^"]
@@ -131,18 +137,49 @@ def loss(weights: np.ndarray, x: np.ndarray, good: np.ndarray, bad: np.ndarray)
     return float(np.logaddexp(0, -d).mean() + RIDGE * weights @ weights), x.T @ each + 2 * RIDGE * weights
 
 
-def descend(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """Weights of least loss, by gradient steps of adapted length."""
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
-    for t in range(1, STEPS + 1):
-        _, g = loss(w, x, good, bad)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+def curvature(weights: np.ndarray, x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Number of pairs, and the sums over them of the logistic loss, its gradient and its second derivatives, as one array."""
+    n = x.shape[1]
+    s = x @ weights
+    d = s[good] - s[bad]
+    lost = 1 / (1 + np.exp(np.clip(d, -700, 700)))
+    each = np.bincount(bad, lost, len(x)) - np.bincount(good, lost, len(x))
+    h = np.zeros((n, n))
+    root = np.sqrt(lost * (1 - lost)).astype(np.float32)
+    short = x.astype(np.float32)  # only the length of a step depends on the second derivatives
+    for at in range(0, len(d), _PAIRS):
+        some = slice(at, at + _PAIRS)
+        part = (short[good[some]] - short[bad[some]]) * root[some, None]
+        h += part.T @ part
+    return np.concatenate([[len(d), np.logaddexp(0, -d).sum()], each @ x, h.ravel()])
+
+
+def newton(summed: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """Weights of least loss. ``summed`` gives ``curvature`` over all pairs; a step that raises the loss is halved."""
+    w = step = np.zeros(n)
+    last = math.inf
+    for _ in range(STEPS):
+        count, lost, *_ = parts = summed(w)
+        value = lost / count + RIDGE * w @ w
+        if value > last + 1e-12:
+            step = step / 2
+            w = w + step
+            continue
+        last = value
+        step = np.linalg.solve(parts[2 + n :].reshape(n, n) / count + 2 * RIDGE * np.eye(n), parts[2 : 2 + n] / count + 2 * RIDGE * w)
+        if np.abs(step).max() < 1e-9:
+            break
+        w = w - step
     return w
 
 
+def descend(x: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Weights of least loss of the pairs of one table."""
+    return newton(lambda w: curvature(w, x, good, bad), x.shape[1])
+
+
 def quantile_limit(s: np.ndarray, label: np.ndarray, n_bad: float, n_good: float) -> float:
-    """Value of s below which the share of label 0 lies, midway between neighbours; the sample counts by the size of its labels."""
+    """Value of s below which the share of label 0 lies, midway between neighbours; the rows count by the size of their labels."""
     weight = np.where(label == 1, n_good / max(1, (label == 1).sum()), n_bad / max(1, (label == 0).sum()))
     order = np.argsort(s, kind="stable")
     upto = np.cumsum(weight[order])
@@ -152,12 +189,16 @@ def quantile_limit(s: np.ndarray, label: np.ndarray, n_bad: float, n_good: float
     return float((s[order[k]] + s[order[k + 1]]) / 2)
 
 
+def scale_of(std: np.ndarray) -> np.ndarray:
+    """Factor that gives a feature the deviation 1; 0 for a constant one."""
+    return np.where(std > 1e-9, 1 / np.maximum(std, 1e-9), 0)
+
+
 def train(x: np.ndarray, label: np.ndarray, n_bad: float, n_good: float) -> Model:
-    """Model from the features and labels of the sample and the sizes of the labels at large."""
+    """Model from the features and labels of one block and the sizes of the labels at large."""
     if not (label == 0).any() or not (label == 1).any():
         return Model(np.zeros(N_FEATURES), 0.0)
-    mean, std = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(std > 1e-9, 1 / np.maximum(std, 1e-9), 0)
+    mean, scale = x.mean(axis=0), scale_of(x.std(axis=0))
     z = (x - mean) * scale
     good, bad = pairs(int((label == 1).sum()), int((label == 0).sum()))
     w = descend(z, np.flatnonzero(label == 1)[good], np.flatnonzero(label == 0)[bad]) * scale
@@ -171,20 +212,80 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], lists], ["doc_id", "quality", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Learn from the texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
+def _block(rows: pa.Table) -> pa.Table:
+    """The rows of a block as one: features of label 1, then of label 0, and which of them are at home here."""
+    rows = rows.sort_by([("quality", "descending"), ("doc_id", "ascending")])
+    x = rows["x"].combine_chunks().flatten().to_numpy()
+    n_good = int(rows["quality"].to_numpy().sum())
+    home = (rows["copy"].to_numpy() == 0).astype(np.uint8)
+    return pa.table({"n_good": pa.array([n_good], pa.int32()), "home": pa.array([home.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
+
+
+def _opened(row) -> tuple[int, np.ndarray, np.ndarray]:
+    return row["n_good"], np.frombuffer(row["home"], bool), np.frombuffer(row["x"]).reshape(-1, N_FEATURES)
+
+
+def _sums(row) -> np.ndarray:
+    """Documents of label 1 and 0 that are at home in the block, and the sums of their features."""
+    n_good, home, x = _opened(row)
+    return np.concatenate([[home[:n_good].sum(), home[n_good:].sum()], x[home].sum(axis=0)])
+
+
+def _block_curvature(row, w: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    n_good, _, x = _opened(row)
+    if n_good in (0, len(x)):
+        return np.zeros(2 + len(w) + len(w) ** 2)
+    good, bad = pairs(n_good, len(x) - n_good)
+    return curvature(w, (x - mean) * scale, good, bad + n_good)
+
+
+def blocks(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """(n_good, home, x) per block of the labelled documents of ``docs``, all of them."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)) \
         .select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality")).distinct()
     sizes = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    n_bad, n_good = sizes.get(0, 0), sizes.get(1, 0)
-    share = F.when(F.col("quality") == 1, min(1.0, per_label / max(1, n_good))).otherwise(min(1.0, per_label / max(1, n_bad)))
-    draw = F.xxhash64(F.lit("quality"), F.col("_id")) / F.lit(2.0**64) + 0.5
-    chosen = F.broadcast(known.filter(draw <= share))  # about per_label keys of each label
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "text")
-    found = rows.mapInArrow(_features, "doc_id bigint, quality int, x array<double>")
-    sample = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values(["doc_id", "quality"])  # bounded as the keys are
-    x = np.array(sample["x"].tolist()).reshape(-1, N_FEATURES)
-    return train(x, sample["quality"].to_numpy(), n_bad, n_good)
+    n = max(1, math.ceil(max(sizes.values(), default=0) / per_label))
+    copies = {q: min(n, math.ceil(LEAST * n / max(1, sizes.get(q, 0)))) for q in (0, 1)}  # 1 for a label that is not rare
+    rows = docs.select("doc_id", "text").join(known.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "text")
+    found = rows.mapInArrow(_features, "doc_id bigint, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    last = F.when(F.col("quality") == 1, copies[1] - 1).otherwise(copies[0] - 1)
+    dealt = found.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.withColumn("block", F.pmod(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(n)) + F.col("copy"), F.lit(n)))
+    return cut(dealt.repartition(n, "block").groupBy("block").applyInArrow(_block, "n_good int, home binary, x binary"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    """Learn from the texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality). What reaches the driver are sums of the size of the weights and
+    their second derivatives."""
+    table = blocks(docs, labels, per_label)
+    if table.isEmpty():
+        return Model(np.zeros(N_FEATURES), 0.0)
+
+    def summed(part: Callable) -> np.ndarray:
+        return table.rdd.map(part).treeReduce(np.add)
+
+    n_good, n_bad, *total = summed(_sums)
+    n = n_good + n_bad
+    if not n_good or not n_bad:
+        return Model(np.zeros(N_FEATURES), 0.0)
+    mean = np.array(total) / n
+
+    def squares(row) -> np.ndarray:
+        _, home, x = _opened(row)
+        return ((x[home] - mean) ** 2).sum(axis=0)
+
+    scale = scale_of(np.sqrt(summed(squares) / n))
+    w = newton(lambda w: summed(lambda row: _block_curvature(row, w, mean, scale)), N_FEATURES) * scale
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, home, x = _opened(row)
+                yield pa.RecordBatch.from_arrays([pa.array(x[home] @ w)], ["s"])
+
+    # as many lie below the limit as have label 0; midway between neighbours
+    limit = ranks.quantiles(cut(table.mapInArrow(ranked, "s double")), "s", [(n_bad - 0.5) / (n - 1)]).head()["q"][0]
+    return Model(w, limit)
 
 
 def scored(docs: DataFrame, model: Model, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -138,3 +138,24 @@ def test_nothing_to_learn(spark, rows):
 
 def test_null_key_is_not_held_out(spark):
     assert [r.h for r in frame(spark, [(None, "a")]).select(ranking.held_out(F.col("doc_id")).alias("h")).collect()] == [False]
+
+
+def test_every_label_teaches(spark):
+    """Blocks hold every labelled document once at home, a rare label is in each block, and the weights are those of least loss over all blocks."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("Aa1.,!"[k] * (1 + k) for k in rng.integers(0, 6, 12)) + ("!" if i % 20 else ".")) for i in range(400)]
+    marks = [(i, int(i % 20 == 0)) for i in range(400)]
+    docs, given = frame(spark, rows), labels(spark, marks)
+    table = [ranking._opened(r) for r in ranking.blocks(docs, given, per_label=50).collect()]
+    assert len(table) > 4 and sum(int(home.sum()) for _, home, _ in table) == 400 and all(n == 20 for n, _, _ in table)
+    home = np.concatenate([x[h] for _, h, x in table])
+    assert np.allclose(np.sort(home.sum(axis=1)), np.sort([plain(t).sum() for _, t in rows]))
+    model = ranking.fit(docs, given, per_label=50)
+    mean, scale = home.mean(axis=0), ranking.scale_of(home.std(axis=0))
+    parts = [((x - mean) * scale, *ranking.pairs(n, len(x) - n), n) for n, _, x in table]
+    w = np.where(scale > 0, model.weights / np.where(scale > 0, scale, 1), 0)
+    n_pairs = sum(len(g) for _, g, _, _ in parts)
+    total = lambda w: sum(np.logaddexp(0, -((x @ w)[g] - (x @ w)[b + n])).sum() for x, g, b, n in parts) / n_pairs + ranking.RIDGE * w @ w
+    assert all(total(w) <= total(w + e * d) for d in np.eye(len(w))[scale > 0] for e in (-0.01, 0.01))
+    s = np.sort(home @ model.weights)
+    assert abs(model.shift - (s[379] + s[380]) / 2) < 1e-9
