@@ -149,8 +149,7 @@ def _features(t):
     out = features.build(samples, {
         "weather": [("tp", t.daily, meta, 2, 1)], "fire_weather": (t.daily, meta), "roads": (roads, meta), "countries": (t.countries, None),
         "burn": (t.burn.withColumns(shift), 1, 10), "population": (_yeargrid(t.orders), meta, (1995, 1998, 2001)), "lightning": (full_climatology(t), meta, True),
-        "land_cover": ("human", land, HUMAN, 1), "indicators": [("gdp", _indicator(t))], "one_hot": range(1, 18)}, n=TILE)
-    return out.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "country", "iso3", "continent", F.round("x_road", 4).alias("x_road"),
-                      "x_nf", F.round("x_gpw4", 4).alias("x_gpw4"), F.round("x_tp_0", 6).alias("x_tp_0"), F.round("x_tp_hist_mean", 6).alias("x_tp_hist_mean"),
-                      F.round("x_fwi", 6).alias("x_fwi"), F.round("x_lightn", 6).alias("x_lightn"), "x_human", F.round("x_gdp", 2).alias("x_gdp"),
-                      *[f"x_lct_{k}" for k in range(1, 18)])
+        "land_cover": ("human", land, HUMAN, 1), "indicators": [("gdp", _indicator(t))], "one_hot": range(1, 18)}, n=TILE,
+        digits={"lat": 6, "lon": 6, "x_road": 4, "x_gpw4": 4, "x_tp_0": 6, "x_tp_hist_mean": 6, "x_fwi": 6, "x_lightn": 6, "x_gdp": 2})
+    return out.select("id", "lat", "lon", "country", "iso3", "continent", "x_road", "x_nf", "x_gpw4", "x_tp_0", "x_tp_hist_mean", "x_fwi", "x_lightn",
+                      "x_human", "x_gdp", *[f"x_lct_{k}" for k in range(1, 18)])

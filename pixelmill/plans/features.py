@@ -1,4 +1,4 @@
-"""Feature table for a sample index: coordinates once, then one lookup per source, all lazy."""
+"""Feature table for a sample index: coordinates once per cell and day, then one lookup per source."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelmill.checkpoints import cut
 from pixelmill.functions import grid as g
 from pixelmill.functions import scalars as s
 from pixelmill.operators import context, neighborhood, weather
@@ -21,7 +22,7 @@ def with_coordinates(samples: DataFrame) -> DataFrame:
     return samples.withColumns({**c, "d": s.yday_to_date(F.col("year"), F.col("yday")), "i": F.col("i2"), "j": F.col("j2")})
 
 
-def build(samples: DataFrame, sources: Mapping[str, tuple], n: int = neighborhood.SIDE) -> DataFrame:
+def build(samples: DataFrame, sources: Mapping[str, tuple], n: int = neighborhood.SIDE, digits: Mapping[str, int] | None = None) -> DataFrame:
     """Append every source given. Keys and values:
 
     weather -> [(name, daily grid, meta, ndays, agg_start)], fire_weather -> (daily grid, meta), population -> (grid, meta, published years),
@@ -29,12 +30,35 @@ def build(samples: DataFrame, sources: Mapping[str, tuple], n: int = neighborhoo
     burn -> (burn layers, distance, hindsight), vegetation -> (name, cells), land_cover -> (name, layers, classes, distance),
     countries -> (table, rings), indicators -> [(name, table)], which needs countries, and one_hot -> classes of the samples' ``lct``.
 
-    ``n`` is the number of cells along the side of a tile.
+    ``n`` is the number of cells along the side of a tile, ``digits`` has the decimals of columns that are to be rounded.
 
-    The samples are wide, so they are joined once per grid and once for everything at their own cell,
-    however many sources there are: the sources are first put next to each other on the distinct keys.
+    All but indicators and classes is looked up for the distinct cells and days of the samples, and joined to these once. Cells and days with their
+    coordinates are computed first and cut off (``checkpoints.cut``): the sources look at them many times, and conditions on a coordinate
+    would else be pushed into each reading of the samples, to be computed for every sample there. Indicators come last, as a code that several
+    countries share gives a row for each of them; values are rounded before that.
     """
-    base = out = with_coordinates(samples)
+    digits = digits or {}
+    key = ["yday", "year", "i2", "j2", "h", "v"]
+    found = _looked_up(cut(with_coordinates(samples.select(*key).distinct())), sources, n)
+    found = found.withColumns({c: F.round(c, k) for c, k in digits.items() if c in found.columns})
+    new = [c for c in found.columns if c not in key]
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in key], *[F.col(c).alias(f"_{c}") if c in samples.columns else F.col(c) for c in new])
+    # a sample without a day still has the country of its cell
+    out = samples.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), "left")
+    out = out.select(*[F.col(f"_{c}").alias(c) if c in new else c for c in samples.columns], *[c for c in new if c not in samples.columns])
+    for name, table in sources.get("indicators", ()):
+        if "iso3" not in out.columns:
+            raise ValueError("indicators need the country of a sample")
+        if f"x_{name}" in digits:
+            table = table.withColumn("indicator_value", F.round("indicator_value", digits[f"x_{name}"]))
+        out = context.add_indicator(out, table, name)
+    return out.select("*", *s.one_hot(F.col("lct"), sources["one_hot"])) if "one_hot" in sources else out
+
+
+def _looked_up(base: DataFrame, sources: Mapping[str, tuple], n: int) -> DataFrame:
+    """Every source next to ``base``, which is joined once per grid and once for everything at its own cell, however many sources there are: these
+    are first put next to each other on the distinct keys."""
+    out = base
     by_grid: dict[g.GridMeta, list[Callable[[DataFrame], DataFrame]]] = defaultdict(list)
     for name, grid, meta, ndays, start in sources.get("weather", ()):
         by_grid[meta].append(partial(weather.add_weather, grid=grid, var=name, ndays=ndays, agg_start=start))
@@ -72,12 +96,6 @@ def build(samples: DataFrame, sources: Mapping[str, tuple], n: int = neighborhoo
     if "countries" in sources:
         table, rings = sources["countries"]
         out = context.add_country_and_continent(out, table, rings=rings)
-    for name, table in sources.get("indicators", ()):
-        if "iso3" not in out.columns:
-            raise ValueError("indicators need the country of a sample")
-        out = context.add_indicator(out, table, name)
-    if "one_hot" in sources:
-        out = out.select("*", *s.one_hot(F.col("lct"), sources["one_hot"]))
     return out.drop("i", "j")
 
 

@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelmill.functions.grid import GridMeta
 from pixelmill.operators import asof, calibration, context, models, neighborhood, scores, weather
+from pixelmill.plans import features
 from pixelmill.sources import layers as src
 from pixelmill.sources import links
 
@@ -277,3 +279,23 @@ def test_kendall_against_all_pairs(spark, kind):
     for key in (None, 1):
         x, y = (np.array([r[k] for r in rows if r[0] == key]) for k in (1, 2))
         assert abs(got[key] - tau(x, y)) < 1e-9
+
+
+# ---- features
+
+def test_features_read_samples_once_and_indicators_come_last(spark, tmp_path):
+    rows = [(1, 3, 8, 11, 0, 0, 2001, 9), (2, 4, 8, 11, 0, 0, 2001, 9), (3, 3, 8, 11, 0, 0, 2001, None), (4, 3, None, 11, 0, 0, 2001, 9)]
+    spark.createDataFrame(rows, "id int, lct int, v int, h int, i2 int, j2 int, year int, yday int").write.parquet(str(tmp_path / "samples"))
+    countries = spark.createDataFrame([("A", "X", 1, -80.0, -60.0, 0.0, 40.0)], "name string, iso3 string, continent int, xmin double, xmax double, ymin double, ymax double")
+    indicator = spark.createDataFrame([("X", 2001, 1.26), ("X", 2001, 2.0)], "country_iso3 string, year int, indicator_value double")
+    meta = GridMeta(60.0, 0.0, -180.0, 0.0, -30.0, 90.0, 6, 6)
+    roads = spark.createDataFrame([(2, 1, 0.123)], "row int, col int, value double")
+    out = features.build(spark.read.parquet(str(tmp_path / "samples")), {
+        "roads": (roads, meta), "fire_weather": (spark.createDataFrame([(2, 1, D(2001, 1, 9), 5.0)], "row int, col int, date date, value double"), meta),
+        "countries": (countries, None), "indicators": [("gdp", indicator)], "one_hot": [3]}, n=N, digits={"x_gdp": 1, "x_road": 2})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "COS(" not in plan and plan.count("Relation [") == 1  # coordinates are computed once per cell and day, and not in each source's reading
+    got = sorted(map(tuple, out.select("id", "country", "d", "x_road", "x_fwi", "x_gdp", "x_lct_3").collect()), key=lambda r: (r[0], r[5] or 0))
+    day = D(2001, 1, 9)
+    assert got == [(1, "A", day, 0.12, 5.0, 1.3, True), (1, "A", day, 0.12, 5.0, 2.0, True), (2, "A", day, 0.12, 5.0, 1.3, False), (2, "A", day, 0.12, 5.0, 2.0, False),
+                   (3, "A", None, None, None, 1.3, True), (3, "A", None, None, None, 2.0, True), (4, None, day, None, None, None, True)]
