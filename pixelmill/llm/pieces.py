@@ -6,7 +6,8 @@ equal words get different segmentations while every run gives the same. The key
 in its text, the place of the pair and the piece it would give.
 
 Pieces never join a space to what stands before it, so a text is cut before its runs of spaces. Of short parts the undropped merges are
-remembered: an occurrence that drops none of these has their result, any other is merged on its own.
+remembered: an occurrence that drops none of these has their result, any other is merged on its own. Parts have numbers, and what is known of
+them lies in flat arrays, so a task's memory is that of its remembered parts and of about one megabyte of text at a time.
 Characters without a piece become byte pieces, and so does the space mark itself when it is part of a text: decoding is lossless.
 
 Edge cases: NULL text has NULL ids; the empty text has none; rows that repeat get equal ids unless a copy number tells them apart; other columns pass through; an empty table
@@ -30,9 +31,11 @@ from pixelmill.llm.common import bounded, mix, unused, widened
 
 MARK = "▁"
 SEED, DROPOUT = 17, 0.1
-_KEPT = 100_000  # remembered parts per generation
+_KEPT = 100_000  # remembered parts, at most twice as many before the oldest go
 _SHORT = 24  # longer parts are rare and merged one by one
 _ROWS = 4096  # short parts merged at once, of about one length
+_SLICE = 1 << 15  # occurrences whose merges are looked at together
+_SPACE = 0  # number of a mark that is part of a text
 _TABLE_BITS = 21
 
 
@@ -112,13 +115,17 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, seed: int = SEED, dropout: float = DROPOUT):
         self.v, self.seed, self.limit = vocabulary, seed, int(dropout * 2**32)
         self.keys = mix(np.arange(1, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)).tolist()  # the seed's own key
-        self.new: dict[str, tuple[bytes, bytes]] = {}  # ids without dropout, and the merges on the way
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        # parts by number: ids without dropout, the merges on the way (piece and place), the batch that met the part last
+        self.parts: list[str] = [MARK + "\n", "\n"]  # a mark of the text itself, under a name that no part has, and the line end
+        self.number = _Numbers(self.parts)
+        self.ids, self.steps, self.met, self.round = _Lists(), _Lists(2), np.zeros(2, np.int64), 0
+        self.ids.append([array("i", [vocabulary.byte_ids[b] for b in x]).tobytes() for x in (MARK.encode(), b"\n")], 4)
+        self.steps.append([b"", b""], 16)
         self.letters = np.full(0x110000, -1, np.int32)  # piece of a single character
         for piece, k in vocabulary.ids.items():
             if len(piece) == 1:
                 self.letters[ord(piece)] = k
-        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.part = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
     def merge(self, part: str, key: int, drop: bool = True) -> bytes:
         """Ids of one part by the agenda."""
@@ -240,79 +247,145 @@ class Encoder:
         h = ((h ^ (h >> 12)) * 0x297A2D39) & 0xFFFFFFFF
         return (h ^ (h >> 15)) < self.limit
 
-    def _remember(self, parts: list[str]) -> None:
-        """Undropped ids and merges of short parts, kept for two generations."""
-        if len(self.new) >= _KEPT:
-            self.old, self.new = self.new, {}
-        missing = []
-        for p in parts:
-            if (x := self.old.get(p)) is not None:
-                self.new[p] = x
-            elif p not in self.new:
-                missing.append(p)
-        missing.sort(key=len)
-        for a in range(0, len(missing), _ROWS):
-            some, way = missing[a : a + _ROWS], []
-            self.new.update(zip(some, zip(self.merge_all(some, 0, way), way)))
+    def _learn(self, fresh: list[str], first: int) -> None:
+        """Append the undropped ids and merges of parts that have just got the numbers from ``first`` on; long ones have none."""
+        ids, steps = [b""] * len(fresh), [b""] * len(fresh)
+        short = sorted((k for k, p in enumerate(fresh) if len(p) <= _SHORT), key=lambda k: len(fresh[k]))
+        for a in range(0, len(short), _ROWS):
+            way: list[bytes] = []
+            some = short[a : a + _ROWS]
+            found = self.merge_all([fresh[k] for k in some], 0, way)
+            for k, x, y in zip(some, found, way):
+                ids[k], steps[k] = x, y
+        self.parts += fresh
+        self.ids.append(ids, 4)
+        self.steps.append(steps, 16)
+
+    def _forget(self) -> None:
+        """Keep the short parts that were met last, once there are too many."""
+        if len(self.parts) < 2 * _KEPT:
+            return
+        short = np.fromiter(map(len, self.parts), np.int64, len(self.parts)) <= _SHORT
+        by_age = np.flatnonzero(short)
+        by_age = by_age[np.argsort(-self.met[by_age], kind="stable")]
+        kept = np.sort(np.concatenate([[0, 1], by_age[by_age > 1][:_KEPT]]))
+        self.parts = list(map(self.parts.__getitem__, kept.tolist()))
+        self.number = _Numbers(self.parts)
+        self.ids, self.steps, self.met = self.ids.take(kept), self.steps.take(kept), self.met[kept]
 
     def encode_all(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray | None]:
-        """Ids of whole texts; a text's key and the place of a part in it make the key of that occurrence. NULL gives NULL."""
-        space = array("i", [self.v.byte_ids[b] for b in MARK.encode()]).tobytes()
-        line_end = array("i", [self.v.byte_ids[10]]).tobytes()
-        found: list[list[bytes | None] | None] = []
-        parts, lists, places, owners = [], [], [], []
-        for text, key in zip(texts, keys):
-            if text is None:
-                found.append(None)
-                continue
-            out: list[bytes | None] = []
+        """Ids of whole texts; a text's key and the place of a part in it make the key of that occurrence. NULL gives NULL.
+
+        An occurrence is the number of its part from here on, so a batch holds each of its parts once."""
+        self._forget()
+        known = len(self.parts)
+        numbers = array("i")
+        counts = []  # parts of each text, marks and line ends included
+        for text in texts:
+            before = len(numbers)
             for at, segment in enumerate((" " + text).split(MARK) if text else []):
                 if at:
-                    out.append(space)
-                for k, line in enumerate(segment.replace(" ", MARK).split("\n")):
-                    if k:
-                        out.append(line_end)
-                    some = self.part.findall(line)
-                    places.append(np.arange(len(out), len(out) + len(some)))
-                    out += some  # the text of a part stands in its place until its ids do
-                    parts += some
-                    owners.append(len(some))
-                    lists.append((out, key))
-            found.append(out)
-        if not parts:
-            return [None if x is None else np.frombuffer(b"".join(x), np.int32) for x in found]
-        place = np.concatenate(places)
-        own = np.array([k & (2**64 - 1) for _, k in lists], np.uint64)
-        key = mix(np.repeat(own, owners) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(self.keys[0])) & np.uint64(0xFFFFFFFF)
-        distinct = list(dict.fromkeys(parts))
-        which = np.fromiter(map(dict(zip(distinct, range(len(distinct)))).__getitem__, parts), np.int64, len(parts))
-        length = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        self._remember([p for p, n in zip(distinct, length.tolist()) if n <= _SHORT])
-        known = [self.new[p] if n <= _SHORT else (None, b"") for p, n in zip(distinct, length.tolist())]
-        values: list[bytes | None] = list(map([x[0] for x in known].__getitem__, which.tolist()))
-        for i in np.flatnonzero(length[which] > _SHORT).tolist():
-            values[i] = self.merge(parts[i], int(key[i]))
-        if self.limit:
-            steps = np.frombuffer(b"".join(x[1] for x in known), np.int64).reshape(-1, 2)
-            count = np.array([len(x[1]) // 16 for x in known])
-            start = np.cumsum(count) - count
-            short = np.flatnonzero(count[which] > 0)
-            n = count[which[short]]
+                    numbers.append(_SPACE)
+                numbers.extend(map(self.number.__getitem__, self.part.findall(segment.replace(" ", MARK))))
+            counts.append(len(numbers) - before)
+        fresh = self.number.fresh
+        self._learn(fresh, known)
+        self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
+        self.round += 1
+        which, count = np.frombuffer(numbers, np.int32), np.array(counts, np.int64)
+        self.met[which] = self.round
+        start, size = self.ids.start[which], self.ids.size[which]
+        # the others are merged on their own: long parts, and those that drop a merge
+        long = np.array([len(p) > _SHORT for p in fresh], bool)
+        alone = np.flatnonzero(np.concatenate([np.zeros(known, bool), long])[which]) if long.any() else np.empty(0, np.int64)
+        key = self._keys(count, keys) if self.limit or len(alone) else np.empty(0, np.uint64)
+        merged = [self.merge(self.parts[which[i]], int(key[i])) for i in alone.tolist()]
+        other = self._dropping(which, key) if self.limit else np.empty(0, np.int64)
+        other = other[np.argsort(self.lengths(which[other]), kind="stable")]
+        for a in range(0, len(other), _ROWS):
+            some = other[a : a + _ROWS]
+            merged += self.merge_all([self.parts[i] for i in which[some].tolist()], key[some])
+        own = np.concatenate([alone, other])
+        size[own] = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
+        start[own] = len(self.ids.flat) + np.cumsum(size[own]) - size[own]
+        flat = np.concatenate([self.ids.flat, np.frombuffer(b"".join(merged), np.int32)])
+        for p, apart in zip(fresh, long):
+            if apart:  # met anew it has another key
+                del self.number[p]
+        fresh.clear()
+        out, at = [], 0
+        for text, n in zip(texts, counts):
+            own_start, own_size = start[at : at + n], size[at : at + n]
+            ends = np.cumsum(own_size)
+            out.append(None if text is None else flat[np.arange(ends[-1] if n else 0) + np.repeat(own_start - ends + own_size, own_size)])
+            at += n
+        return out
+
+    def _keys(self, count: np.ndarray, keys: list[int]) -> np.ndarray:
+        """Key of every occurrence, from that of its text and its place there."""
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        own = np.array([k & (2**64 - 1) for k in keys], np.uint64)
+        return mix(np.repeat(own, count) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(self.keys[0])) & np.uint64(0xFFFFFFFF)
+
+    def _dropping(self, which: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Occurrences that drop a merge of their part; looked at slice by slice, as each has several merges."""
+        found = [np.empty(0, np.int64)]
+        for a in range(0, len(which), _SLICE):
+            some = which[a : a + _SLICE]
+            n = self.steps.size[some]
+            short = np.flatnonzero(n)
+            if not len(short):
+                continue
+            n = n[short]
             first = np.cumsum(n) - n
-            at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(start[which[short]], n)
-            hit = self._dropped(steps[at, 0], steps[at, 1], np.repeat(key[short].astype(np.int64), n))
-            other = short[np.logical_or.reduceat(hit, first)] if len(short) else short
-            other = other[np.argsort(length[which[other]], kind="stable")]
-            for a in range(0, len(other), _ROWS):
-                some = other[a : a + _ROWS]
-                for i, x in zip(some.tolist(), self.merge_all([parts[i] for i in some.tolist()], key[some])):
-                    values[i] = x
-        at = 0
-        for (out, _), n, own_places in zip(lists, owners, places):
-            if n:
-                out[own_places[0] : own_places[0] + n] = values[at : at + n]
-                at += n
-        return [None if x is None else np.frombuffer(b"".join(x), np.int32) for x in found]
+            at = np.arange(n.sum()) + np.repeat(self.steps.start[some[short]] - first, n)
+            pair = self.steps.flat.reshape(-1, 2)[at].astype(np.int64)
+            hit = self._dropped(pair[:, 0], pair[:, 1], np.repeat(key[a : a + _SLICE][short].astype(np.int64), n))
+            found.append(a + short[np.logical_or.reduceat(hit, first)])
+        return np.concatenate(found)
+
+    def lengths(self, which: np.ndarray) -> np.ndarray:
+        """Characters of parts by their numbers."""
+        return np.fromiter(map(len, map(self.parts.__getitem__, which.tolist())), np.int64, len(which))
+
+
+class _Numbers(dict):
+    """Number of each part; a part that is new gets the next one and is listed in ``fresh``."""
+
+    def __init__(self, parts: list[str]):
+        super().__init__(zip(parts, range(len(parts))))
+        self.next, self.fresh = len(parts), []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = self.next
+        self.next += 1
+        self.fresh.append(part)
+        return n
+
+
+class _Lists:
+    """Lists of 32-bit numbers, one behind the other in a flat array; ``start`` and ``size`` count its rows of ``width`` numbers."""
+
+    def __init__(self, width: int = 1):
+        self.width, self.flat = width, np.empty(0, np.int32)
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def append(self, lists: list[bytes], row: int) -> None:
+        """Add lists given as bytes, ``row`` bytes for a row; 64-bit numbers are narrowed."""
+        size = np.fromiter(map(len, lists), np.int64, len(lists)) // row
+        more = np.frombuffer(b"".join(lists), f"i{row // self.width}").astype(np.int32)
+        self.start = np.concatenate([self.start, len(self.flat) // self.width + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, more])
+
+    def take(self, which: np.ndarray) -> _Lists:
+        made = _Lists(self.width)
+        made.size = self.size[which]
+        ends = np.cumsum(made.size)
+        made.start = ends - made.size
+        at = np.arange(ends[-1]) + np.repeat(self.start[which] - made.start, made.size)
+        made.flat = self.flat.reshape(-1, self.width)[at].ravel()
+        return made
 
 
 def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
@@ -337,7 +410,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, seed: int = SE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(shared.value)
         encoder = Encoder(v, seed, dropout)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 1 << 20):  # what a batch takes in memory is many times its text
             texts, keys = batch["text"].to_pylist(), batch[key].to_pylist()
             found = encoder.encode_all(texts, keys)
             same = [None if t is None else decode_ids(v, x) == t for t, x in zip(texts, found)]

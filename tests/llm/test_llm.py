@@ -359,6 +359,26 @@ def test_rounds_on_arrays_equal_the_agenda(vocabulary):
     assert encoder.merge_all(parts, encoder.keys[0]) == [encoder.merge(p, encoder.keys[0]) for p in parts]
 
 
+def test_an_encoder_holds_little(vocabulary, monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 12))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(300)]  # 1.2 MB
+    encoder = pieces.Encoder(vocabulary)
+    tracemalloc.start()
+    found = encoder.encode_all(texts, list(range(300)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # bytes; 64e6 when a batch held each occurrence as an object
+    monkeypatch.setattr(pieces, "_KEPT", 100)  # what is forgotten changes nothing
+    forgetful = pieces.Encoder(vocabulary)
+    for a in range(0, 300, 50):
+        again = forgetful.encode_all([*texts[a : a + 50], None, "", "▁\n ▁", "x" * 99], [*range(a, a + 50), 1, 1, 1, 1])
+        assert all(np.array_equal(x, y) for x, y in zip(again, found[a : a + 50])) and again[50] is None and not len(again[51])
+        assert [pieces.decode_ids(vocabulary, x) for x in again[51:]] == ["", "▁\n ▁", "x" * 99]
+
+
 def test_every_occurrence_has_its_own_dropout(spark, vocabulary):
     v, text = vocabulary, " ".join(["international"] * 2000)
     rows = pieces.encode(docs(spark, [(i, text, "en", "s") for i in (1, 2, 2)]), v).collect()
