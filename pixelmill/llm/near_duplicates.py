@@ -7,9 +7,9 @@ order, c / (n1 + n2 - c), at least 0.8. An alignment that reaches it leaves at m
 band; the longest common subsequence inside the band is found with bit vectors.
 
 Equal texts are one node. Inside a bucket no pairs are formed: members are compared with the bucket's leader, the node that shares
-most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. Buckets that then still hold several
-components elect their next leader, and so on while links are no rarer than one in ``PAYS`` pairs of a round; members of
-buckets still open that never led are then compared by an exact prefix filter over their rarest shingles, so a crowd hides no pair. A second
+most buckets over all tables (the hub of a group of copies), ties broken by a hash per table. A bucket whose members that never led
+are still of several components elects its next leader, and so on while more than one in ``PAYS`` of those compared with its last one joined it,
+whatever other buckets find; what then is open is compared by an exact prefix filter over its rarest shingles, so a crowd hides no pair. A second
 family of buckets, keyed by two successive tables, has leaders of its own. A round forms at most one pair per node and bucket.
 
 Edge cases: equal texts always share a class; a NULL text is a class of its own per doc_id; a text of fewer than five words is one
@@ -31,7 +31,7 @@ from pixelmill.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, SAMPLED = 12, 2
-PAYS = 10  # pairs per link up to which a round is followed by another
+PAYS = 10  # members compared per one that joins the leader, up to which a bucket elects another; so small a share of rows is no round
 _WIDE = 1 << 19  # hash values computed at once
 _PER_TASK = 200_000  # tested pairs read by one task
 _SEEDS = mix(np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -204,47 +204,49 @@ def rare_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, root) of the nodes that share a bucket with some other one; ``docs`` has (node, text).
 
-    In every round each bucket that still holds several components elects its next leader, and members of other components are compared with it.
-    Once a round finds few links, what is in a bucket with members of several components and never led there is compared by ``rare_pairs``, so
-    no pair that shares a bucket stays open. A bucket whose members are one component is left out of all later rounds, and the new links of a
-    round join the roots of its components only. A pair whose numbers of shingles differ by more than the similarity allows moves no text."""
+    In every round each busy bucket elects its next leader, which leaves it once members of other components are compared with it. So what is left in a
+    bucket was never compared with each other, and a bucket where that is one component is settled. A bucket stays busy by the share of its own
+    members that join; once few rows are in busy buckets, what is left in unsettled ones is compared by ``rare_pairs``, so no pair that shares a
+    bucket stays open, and how much is left grows with the groups themselves. The new links of a round join the roots of its components only. A
+    pair whose numbers of shingles differ by more than the similarity allows moves no text."""
+    nothing = F.lit(None).cast("binary")
     rows = shared_buckets(nodes)
     ids = cut(rows.select("node").distinct())
+    rows = rows.select("*", *(nothing.alias(c) for c in ("was", "a_node", "a_was", "a_root")))
     texts = cut(docs.join(ids, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     roots = ids.select("node", F.col("node").alias("root"))
-    led = tested = ever = None
-    pays = True
+    tested = None
     while True:
-        rows = rows.join(roots, "node")
-        buckets = rows.groupBy("t", "h").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("t", "h")
-        rows = cut(rows.join(buckets, ["t", "h"]))
-        if not pays:
+        rows = rows.join(roots, "node").withColumn("led", F.coalesce(F.col("node") == F.col("a_node"), F.lit(False)))
+        rest = F.when(~F.col("led"), F.col("root"))
+        other = F.col("was") != F.col("a_was")
+        pays = F.count_if(other & (F.col("root") == F.col("a_root"))) * PAYS > F.count_if(other) if tested is not None else F.lit(True)
+        buckets = rows.groupBy("t", "h").agg((F.min(rest) < F.max(rest)).alias("open"), pays.alias("busy")).filter("open").select("t", "h", "busy")
+        rows = cut(rows.filter(~F.col("led")).join(buckets, ["t", "h"]).select("t", "h", "node", "size", "w", "tie", "root", "busy"))
+        share = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("busy").alias("busy")).head()
+        if share["busy"] * PAYS <= share["rows"]:
             break
-        able = rows
-        if led is not None:
-            able = rows.join(led, ["t", "h"]).filter(F.struct("w", "tie") < F.col("last"))
-        led = cut(able.groupBy("t", "h").agg(F.max(F.struct("w", "tie", "node", "root", "size")).alias("last")))
-        leaders = led.select("t", "h", *(F.col(f"last.{c}").alias(f"a_{c}") for c in ("node", "root", "size")))
+        busy = rows.filter("busy")
+        led = busy.groupBy("t", "h").agg(F.max(F.struct("w", "tie", "node", "root", "size")).alias("last"))
+        leaders = cut(led.select("t", "h", *(F.col(f"last.{c}").alias(f"a_{c}") for c in ("node", "root", "size"))))
         near = F.least("size", "a_size") >= F.greatest("size", "a_size") * SIMILARITY - 1e-9
-        pairs = rows.join(leaders, ["t", "h"]).filter((F.col("root") != F.col("a_root")) & near) \
+        pairs = busy.join(leaders, ["t", "h"]).filter((F.col("root") != F.col("a_root")) & near) \
             .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b"),
                     F.greatest("a_root", "root").alias("u"), F.least("a_root", "root").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = cut(with_texts(pairs, texts).mapInArrow(_alike, "a binary, b binary, u binary, v binary, alike boolean"))
         new = done.filter("alike").select("u", "v")
-        now = led.select("t", "h", "last.node")
-        ever = now if ever is None else ever.union(now)
-        led = led.select("t", "h", F.struct("last.w", "last.tie").alias("last"))
         count = done.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("alike").alias("links")).head()
         own = done.select("a", "b").coalesce(1 + count["pairs"] // _PER_TASK)  # few pairs in few files
         tested = own if tested is None else tested.union(own)
         if count["links"]:
             moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
             roots = cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        rows = rows.drop("root")
-        pays = count["links"] * PAYS > count["pairs"]
-    left = cut(rows.join(ever, ["t", "h", "node"], "left_anti").select("node", "root").distinct())
+        after = leaders.join(roots.select(F.col("node").alias("a_node"), F.col("root").alias("a_now")), "a_node")
+        after = after.select("t", "h", "a_node", F.col("a_root").alias("a_was"), F.col("a_now").alias("a_root"))
+        rows = rows.withColumnRenamed("root", "was").drop("busy").join(after, ["t", "h"], "left")
+    left = cut(rows.select("node", "root").distinct())
     if left.isEmpty():
         return roots
     both = with_texts(rare_pairs(left, texts).join(tested, ["a", "b"], "left_anti"), texts)
